@@ -35,7 +35,9 @@ from factloom.streaming.ingest import ingest_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-KEY = [F.col("doc_id"), F.col("sent_no").cast("long").alias("sent_no")]
+
+def key() -> list[Column]:
+    return [F.col("doc_id"), F.col("sent_no").cast("long").alias("sent_no")]
 
 
 def query(f: Query) -> Query:
@@ -90,7 +92,7 @@ def explode_sentences(spark, sf_dir):
     listed = documents(spark, sf_dir).select(
         "doc_id", X.split_sentences(F.col("fulltext")).alias("sentence_list")
     )
-    return explode_column(listed, "sentence_list", "sentence", "sent_no").select(*KEY, "sentence")
+    return explode_column(listed, "sentence_list", "sentence", "sent_no").select(*key(), "sentence")
 
 
 @query
@@ -108,27 +110,27 @@ def concat_arrays(spark, sf_dir):
 def tokenize_ws(spark, sf_dir):
     words = X.tokenize_ws(F.col("sentence"))
     return D.sentences(spark, sf_dir).select(
-        *KEY, F.size(words).cast("long").alias("n_words"), joined(words).alias("words")
+        *key(), F.size(words).cast("long").alias("n_words"), joined(words).alias("words")
     )
 
 
 @query
 def tokenize_wordpunct(spark, sf_dir):
     words = X.tokenize_wordpunct(F.col("sentence"), X.ENGLISH)
-    return D.sentences(spark, sf_dir).select(*KEY, joined(words).alias("words"))
+    return D.sentences(spark, sf_dir).select(*key(), joined(words).alias("words"))
 
 
 @query
 def remove_stopwords(spark, sf_dir):
     words = X.remove_stopwords(X.tokenize_ws(F.col("sentence")))
-    return D.sentences(spark, sf_dir).select(*KEY, joined(words).alias("filtered"))
+    return D.sentences(spark, sf_dir).select(*key(), joined(words).alias("filtered"))
 
 
 @query
 def ngrams(spark, sf_dir):
     with_words = word_columns(D.sentences(spark, sf_dir))
     return with_words.select(
-        *KEY,
+        *key(),
         joined("bigrams").alias("bigrams"),
         joined(X.ngrams(F.col("filtered"), 3)).alias("trigrams"),
     )
@@ -137,7 +139,7 @@ def ngrams(spark, sf_dir):
 @query
 def raw_features(spark, sf_dir):
     features = X.sentence_features(F.col("sentence"))
-    return D.sentences(spark, sf_dir).select(*KEY, joined(features).alias("raw_features"))
+    return D.sentences(spark, sf_dir).select(*key(), joined(features).alias("raw_features"))
 
 
 # --- features -----------------------------------------------------------------
@@ -156,14 +158,14 @@ def vocabulary_capped(spark, sf_dir):
 
 @query
 def term_counts(spark, sf_dir):
-    return vocabulary.term_counts(D.sentences(spark, sf_dir)).select(*KEY, "term", "n")
+    return vocabulary.term_counts(D.sentences(spark, sf_dir)).select(*key(), "term", "n")
 
 
 @query
 def feature_stages(spark, sf_dir):
     with_words = D.sentences(spark, sf_dir).transform(word_columns)
     return with_words.select(
-        *KEY,
+        *key(),
         *[F.size(c).cast("long").alias(f"n_{c}") for c in ("words", "filtered", "bigrams")],
         joined(F.array_sort(F.array_distinct("raw_features"))).alias("features"),
     )
@@ -190,13 +192,13 @@ def dictionary_vocab(spark, sf_dir):
 @query
 def entity_hits(spark, sf_dir):
     matched = dictionary.match_dictionary(D.sentences(spark, sf_dir), D.taxa(spark))
-    return dictionary.entity_hits(matched).select(*KEY)
+    return dictionary.entity_hits(matched).select(*key())
 
 
 @query
 def entity_matches(spark, sf_dir):
     matched = dictionary.match_dictionary(D.sentences(spark, sf_dir), D.taxa(spark))
-    return matched.select(*KEY, "sentence", counted("matches").alias("entity_matches"))
+    return matched.select(*key(), "sentence", counted("matches").alias("entity_matches"))
 
 
 @query
@@ -204,7 +206,7 @@ def entity_counts(spark, sf_dir):
     matched = dictionary.match_dictionary(D.sentences(spark, sf_dir), D.taxa(spark), min_tf=1)
     found = dictionary.entity_map(matched)
     return found.select(
-        *KEY,
+        *key(),
         F.col("entity_counts").cast("long").alias("entity_counts"),
         F.aggregate(F.map_values("entity_matches"), F.lit(0), lambda a, n: a + n)
         .cast("long")
@@ -216,7 +218,7 @@ def entity_counts(spark, sf_dir):
 def entity_taxa(spark, sf_dir):
     taxa = D.taxa(spark)
     matched = dictionary.match_dictionary(D.sentences(spark, sf_dir), taxa)
-    return dictionary.matched_entities(matched, taxa).select(*KEY, "alias", "n", "entity")
+    return dictionary.matched_entities(matched, taxa).select(*key(), "alias", "n", "entity")
 
 
 # --- row sets -----------------------------------------------------------------
@@ -247,7 +249,7 @@ def threshold_filter(spark, sf_dir):
         dictionary.match_dictionary(D.sentences(spark, sf_dir), D.taxa(spark), min_tf=1)
     )
     return rows.at_least(found, entity_counts=2).select(
-        *KEY, F.col("entity_counts").cast("long").alias("entity_counts")
+        *key(), F.col("entity_counts").cast("long").alias("entity_counts")
     )
 
 
@@ -439,14 +441,14 @@ def pos_tag(spark, sf_dir):
     tokens = tagging.token_rows(tagged(spark, sf_dir))
     lexicon = stage(tagging.learn_lexicon(tokens).filter("n >= 3"), "lexicon")
     found = tagging.gather_tokens(tagging.tag_tokens(tokens, lexicon))
-    return found.select(*KEY, joined(C.tagged_words(F.col("words"), F.col("tags"))).alias("tagged"))
+    return found.select(*key(), joined(C.tagged_words(F.col("words"), F.col("tags"))).alias("tagged"))
 
 
 @query
 def chunk_features(spark, sf_dir):
     found = chunking.chunk_features(tagged(spark, sf_dir))
     return found.select(
-        *KEY,
+        *key(),
         F.col("tok_no").cast("long").alias("tok_no"),
         *chunking.FEATURES.values(),
     )
@@ -469,14 +471,14 @@ def nb_tag(spark, sf_dir):
     model = chunking.load_chunker(trained(spark, sf_dir))
     features = chunking.chunk_features(tagged(spark, sf_dir).drop("iob"), placed=False)
     found = tagging.gather_tokens(chunking.tag_chunks(features, model), ["word", "iob"])
-    return found.select(*KEY, joined("iob").alias("iob"))
+    return found.select(*key(), joined("iob").alias("iob"))
 
 
 @query
 def chunk_iob(spark, sf_dir):
     found = relations.chunk_rows(relations.with_chunks(tagged(spark, sf_dir)))
     return found.select(
-        *KEY, F.col("chunk_no").cast("long").alias("chunk_no"), "label", "text", "gap_after"
+        *key(), F.col("chunk_no").cast("long").alias("chunk_no"), "label", "text", "gap_after"
     )
 
 
@@ -487,14 +489,14 @@ def chunk_iob(spark, sf_dir):
 def relations_(spark, sf_dir):
     found = relations.relation_rows(relations.with_chunks(tagged(spark, sf_dir)))
     return found.select(
-        *KEY, F.col("chunk_no").cast("long").alias("chunk_no"), "subj", "filler", "obj"
+        *key(), F.col("chunk_no").cast("long").alias("chunk_no"), "subj", "filler", "obj"
     )
 
 
 @query
 def filler_pattern(spark, sf_dir):
     found = relations.relation_rows(relations.with_chunks(tagged(spark, sf_dir)))
-    return found.filter(F.col("filler").rlike(C.INTERACTION_PATTERN)).select(*KEY, "subj", "filler", "obj")
+    return found.filter(F.col("filler").rlike(C.INTERACTION_PATTERN)).select(*key(), "subj", "filler", "obj")
 
 
 @query
@@ -502,7 +504,7 @@ def triples(spark, sf_dir):
     chunked = relations.with_chunks(tagged(spark, sf_dir))
     found = C.as_triples(C.matching(C.relations(F.col("chunks"))))
     return chunked.select(
-        *KEY, F.size(found).cast("long").alias("triples_counts"), spelled(found).alias("triples")
+        *key(), F.size(found).cast("long").alias("triples_counts"), spelled(found).alias("triples")
     )
 
 
@@ -510,7 +512,7 @@ def triples(spark, sf_dir):
 def triples_all(spark, sf_dir):
     found = relations.named_triples(D.sentences(spark, sf_dir))
     return found.select(
-        *KEY, F.size("triples").cast("long").alias("n"), spelled("triples").alias("triples")
+        *key(), F.size("triples").cast("long").alias("n"), spelled("triples").alias("triples")
     )
 
 
@@ -521,20 +523,20 @@ def triples_all(spark, sf_dir):
 def gazetteer_phrases(spark, sf_dir):
     phrases = G.find_phrases(F.col("sentence"), D.GAZETTEER_PATTERNS)
     found = explode_rows(D.sentences(spark, sf_dir), ["doc_id", "sent_no"], phrases, "_p")
-    return found.select(*KEY, "_p.phrase", "_p.tag")
+    return found.select(*key(), "_p.phrase", "_p.tag")
 
 
 @query
 def gazetteer_iob(spark, sf_dir):
     found = relations.gazetteer_sentences(D.sentences(spark, sf_dir), D.GAZETTEER_PATTERNS)
-    return found.select(*KEY, joined("iob").alias("iob"))
+    return found.select(*key(), joined("iob").alias("iob"))
 
 
 @query
 def triples_gazetteer(spark, sf_dir):
     found = relations.gazetteer_triples(D.sentences(spark, sf_dir), D.GAZETTEER_PATTERNS)
     return found.select(
-        *KEY, F.size("triples").cast("long").alias("n"), spelled("triples").alias("triples")
+        *key(), F.size("triples").cast("long").alias("n"), spelled("triples").alias("triples")
     )
 
 
@@ -550,7 +552,7 @@ def interaction_workflow(spark, sf_dir):
         unique, D.taxa(spark), model, min_tf=1, min_entities=1, min_triples=1
     )
     return found.select(
-        *KEY,
+        *key(),
         joined("doi").alias("doi"),
         "sentences",
         joined(

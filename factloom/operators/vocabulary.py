@@ -37,7 +37,10 @@ def fit_vocabulary(
         terms.groupBy("term").agg(df.alias("df"), tf.alias("tf")).filter(F.col("df") >= min_df)
     )
     if vocab_size is not None:
-        vocabulary = vocabulary.orderBy(F.desc("tf"), "term").limit(vocab_size)
+        # Not a sort with a limit: that would send this many rows of every partition
+        # to one task.
+        ranked = rank_vocabulary(vocabulary)
+        vocabulary = ranked.filter(F.col("idx") < vocab_size).drop("idx")
     return vocabulary
 
 
@@ -101,4 +104,4 @@ def term_counts(
         "left_semi",
         broadcast=fits_broadcast(vocabulary),
         spread_by=SENTENCE_KEY,
-    )
+    ).select(*SENTENCE_KEY, "term", "n")
