@@ -487,7 +487,7 @@ def chunk_iob(spark, sf_dir):
 
 @query
 def relations_(spark, sf_dir):
-    found = relations.relation_rows(relations.with_chunks(tagged(spark, sf_dir)))
+    found = relations.relation_rows(tagged(spark, sf_dir))
     return found.select(
         *key(), F.col("chunk_no").cast("long").alias("chunk_no"), "subj", "filler", "obj"
     )
@@ -495,16 +495,17 @@ def relations_(spark, sf_dir):
 
 @query
 def filler_pattern(spark, sf_dir):
-    found = relations.relation_rows(relations.with_chunks(tagged(spark, sf_dir)))
+    found = relations.relation_rows(tagged(spark, sf_dir))
     return found.filter(F.col("filler").rlike(C.INTERACTION_PATTERN)).select(*key(), "subj", "filler", "obj")
 
 
 @query
 def triples(spark, sf_dir):
-    chunked = relations.with_chunks(tagged(spark, sf_dir))
-    found = C.as_triples(C.matching(C.relations(F.col("chunks"))))
-    return chunked.select(
-        *key(), F.size(found).cast("long").alias("triples_counts"), spelled(found).alias("triples")
+    found = relations.sentence_triples(tagged(spark, sf_dir))
+    return found.select(
+        *key(),
+        F.size("triples").cast("long").alias("triples_counts"),
+        spelled("triples").alias("triples"),
     )
 
 

@@ -23,27 +23,27 @@ def following(tags: Column, end: str = END) -> Column:
 def tags_since(tags: Column, mark: str = "DT") -> Column:
     """For each word, the sorted set of tags after the last ``mark`` before it, joined by ``+``.
 
-    The sentence is cut into stretches that end with a ``mark``. Within one, a tag
-    is in the set of every word after its first occurrence, so it is enough to know
-    where each different tag first occurs. Costs the sentence's length times the
-    number of different tags.
+    The sentence is cut into stretches that end with a ``mark``. Within one, the set
+    grows only at the first occurrence of a tag, so each set is made once and
+    repeated up to the word where the next tag comes in. Costs the sentence's length
+    times the number of different tags.
     """
 
     def stretch_sets(stretch: Column) -> Column:
-        return let(
-            F.transform(
-                F.array_sort(F.array_distinct(stretch)),
-                lambda tag: F.struct(
-                    tag.alias("tag"), F.array_position(stretch, tag).alias("first")
-                ),
-            ),
-            lambda firsts: F.transform(
-                stretch,
-                lambda _, i: F.array_join(
-                    F.transform(F.filter(firsts, lambda f: f["first"] <= i), lambda f: f["tag"]),
-                    "+",
-                ),
-            ),
+        # Different tags in the order of their first occurrence.
+        return let(F.array_distinct(stretch), lambda tags_in: sets_of(stretch, tags_in))
+
+    def sets_of(stretch: Column, tags_in: Column) -> Column:
+        def repeated(tag: Column, j: Column) -> Column:
+            last = F.size(stretch).cast("long")
+            until = F.coalesce(F.array_position(stretch, F.get(tags_in, j + 1)), last)
+            return F.array_repeat(
+                F.array_join(F.array_sort(F.slice(tags_in, 1, j + 1)), "+"),
+                (until - F.array_position(stretch, tag)).cast("int"),
+            )
+
+        return F.when(F.size(stretch) == 0, F.array().cast("array<string>")).otherwise(
+            F.concat(F.array(F.lit("")), F.flatten(F.transform(tags_in, repeated)))
         )
 
     def in_sentence(all_tags: Column) -> Column:

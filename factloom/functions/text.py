@@ -125,17 +125,25 @@ def sentence_features(
     return raw_features(words, grams)
 
 
-def mark_terms(terms: Column) -> Column:
-    """``array<struct<term, is_first>>``: one row's terms, each term marked once.
+def repeats_last(terms: Column) -> Column:
+    """``struct<n, terms>``: the ``n`` different terms first, then every repeat.
 
-    Summing the marks of a term over all rows gives the number of rows it is in.
+    Listing terms this way lets one explode count both the rows a term is in and
+    its occurrences. Most sentences repeat few terms, many none.
     """
+
+    def repeats(ordered: Column) -> Column:
+        return F.filter(ordered, lambda t, i: (i > 0) & (t == F.get(ordered, i - 1)))
+
     return let(
-        F.sort_array(terms),
-        lambda ordered: F.transform(
-            ordered,
-            lambda t, i: F.struct(
-                t.alias("term"), ((i == 0) | (t != F.get(ordered, i - 1))).alias("is_first")
+        terms,
+        lambda listed: let(
+            F.array_distinct(listed),
+            lambda different: F.struct(
+                F.size(different).alias("n"),
+                F.when(F.size(different) == F.size(listed), different)
+                .otherwise(F.concat(different, let(F.sort_array(listed), repeats)))
+                .alias("terms"),
             ),
         ),
     )

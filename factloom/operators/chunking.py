@@ -80,19 +80,32 @@ def train_chunker(features: DataFrame, label: str = "iob") -> DataFrame:
     Counts are all there is to a Naive Bayes model; save it as a Parquet table.
     Every token has every feature, so a label's own count is the sum of its rows
     of any one feature.
+
+    All features but the word are made of the few tags around a token. Tokens are
+    first counted by word and by those tags, in one shuffle that combines on the
+    map side; only the distinct combinations are then listed feature by feature.
     """
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("fname"), F.col(column).alias("fval"))
-                for name, column in FEATURES.items()
-            ]
-        )
+    tags = ["pos", "prevpos", "nextpos", "tags_since_dt"]
+    combined = features.select("word", *tags, F.col(label).alias("label")).groupingSets(
+        [["word", "label"], [*tags, "label"]], "word", *tags, "label"
     )
+    counted = combined.agg(F.grouping("word").alias("_by_tags"), F.count(F.lit(1)).alias("n"))
+    derived = {
+        **{name: F.col(column) for name, column in FEATURES.items() if column in tags},
+        "prevpos+pos": F.concat_ws("+", "prevpos", "pos"),
+        "pos+nextpos": F.concat_ws("+", "pos", "nextpos"),
+    }
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("fname"), value.alias("fval"))
+
+    pairs = F.when(
+        F.col("_by_tags") == 1, F.array(*[pair(name, value) for name, value in derived.items()])
+    ).otherwise(F.array(pair("word", F.col("word"))))
     return (
-        features.select(F.col(label).alias("label"), pairs.alias("_f"))
+        explode_rows(counted, ["label", "n"], pairs, "_f")
         .groupBy("_f.fname", "_f.fval", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 

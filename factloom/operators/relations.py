@@ -29,13 +29,36 @@ def chunk_rows(chunked: DataFrame) -> DataFrame:
     return rows.select(*SENTENCE_KEY, "_c.*")
 
 
-def relation_rows(chunked: DataFrame, require_following: bool = True) -> DataFrame:
-    """``(doc_id, sent_no, chunk_no, subj, filler, obj)``."""
-    related = C.relations(F.col("chunks"), require_following)
-    rows = explode_rows(chunked, SENTENCE_KEY, related, "_r")
+def _related(require_following: bool = True, show_tags: bool = True):
+    return C.sentence_relations(
+        F.col("words"), F.col("tags"), F.col("iob"), require_following, show_tags
+    )
+
+
+def relation_rows(
+    tagged: DataFrame, require_following: bool = True, show_tags: bool = True
+) -> DataFrame:
+    """``(doc_id, sent_no, chunk_no, subj, filler, obj)`` of labelled sentences."""
+    rows = explode_rows(tagged, SENTENCE_KEY, _related(require_following, show_tags), "_r")
     return rows.select(*SENTENCE_KEY, "_r.*")
 
 
+def sentence_triples(
+    tagged: DataFrame,
+    pattern: str | None = C.INTERACTION_PATTERN,
+    keep: Sequence[str] = (),
+    show_tags: bool = True,
+) -> DataFrame:
+    """``(doc_id, sent_no, keep…, triples)`` of labelled sentences, ``[]`` if there are none.
+
+    Without a pattern all relations are kept.
+    """
+    related = _related(show_tags=show_tags)
+    if pattern is not None:
+        related = C.matching(related, pattern)
+    return tagged.select(*SENTENCE_KEY, *keep, C.as_triples(related).alias("triples"))
+
+
 def model_triples(
     tagged: DataFrame,
     model: ChunkModel,
@@ -52,11 +75,8 @@ def model_triples(
     pattern all relations are kept.
     """
     labelled = tag_chunks(chunk_features(tagged, keep, placed), model)
-    chunked = with_chunks(gather_tokens(labelled, ("word", "pos", "iob")), show_tags)
-    related = C.relations(F.col("chunks"))
-    if pattern is not None:
-        related = C.matching(related, pattern)
-    return chunked.select(*SENTENCE_KEY, *keep, C.as_triples(related).alias("triples"))
+    gathered = gather_tokens(labelled, ("word", "pos", "iob"))
+    return sentence_triples(gathered, pattern, keep, show_tags)
 
 
 def no_triples():
@@ -83,12 +103,11 @@ def named_triples(sentences: DataFrame, tagger=rule_tags, iob=capitalised_iob) -
     ``iob`` makes labels from the list of words; by default a run of capitalised
     words is one entity. No shuffle: each sentence is handled within its row.
     """
-    return _sentence_triples(
-        sentences.withColumn("words", tokenize_wordpunct(F.col("sentence"))).withColumn(
-            "iob", iob(F.col("words"))
-        ),
-        tagger,
+    words = sentences.withColumn("words", tokenize_wordpunct(F.col("sentence")))
+    labelled = words.withColumn("tags", tagger(F.col("words"))).withColumn(
+        "iob", iob(F.col("words"))
     )
+    return sentence_triples(labelled, pattern=None)
 
 
 def gazetteer_sentences(sentences: DataFrame, patterns: G.Patterns, **options) -> DataFrame:
@@ -103,10 +122,5 @@ def gazetteer_triples(
     sentences: DataFrame, patterns: G.Patterns, tagger=rule_tags, **options
 ) -> DataFrame:
     """``(doc_id, sent_no, triples)``: all relations between gazetteer names."""
-    return _sentence_triples(gazetteer_sentences(sentences, patterns, **options), tagger)
-
-
-def _sentence_triples(labelled: DataFrame, tagger) -> DataFrame:
-    chunked = with_chunks(labelled.withColumn("tags", tagger(F.col("words"))))
-    triples = C.as_triples(C.relations(F.col("chunks")))
-    return chunked.select(*SENTENCE_KEY, triples.alias("triples"))
+    labelled = gazetteer_sentences(sentences, patterns, **options)
+    return sentence_triples(labelled.withColumn("tags", tagger(F.col("words"))), pattern=None)

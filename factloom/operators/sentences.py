@@ -93,10 +93,15 @@ def counted_terms(
 
 
 def marked_terms(sentences: DataFrame, features: Column | None = None) -> DataFrame:
-    """Rows ``(term, is_first)``: every occurrence, one of each sentence marked."""
+    """Rows ``(term, is_first)``: every occurrence, one of each sentence marked.
+
+    Summing the marks of a term gives the number of sentences it is in.
+    """
     if features is None:
         features = X.sentence_features(F.col("sentence"))
-    return explode_rows(sentences, [], X.mark_terms(features), "_t").select("_t.*")
+    lists = sentences.select(X.repeats_last(features).alias("_l")).select("_l.n", "_l.terms")
+    rows = explode_rows(lists, ["n"], F.col("terms"), "term", "_place")
+    return rows.select("term", (F.col("_place") < F.col("n")).alias("is_first"))
 
 
 def enough(n: Column, size: Column | None, min_tf: float) -> Column:

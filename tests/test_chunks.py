@@ -76,14 +76,14 @@ def test_chunks_against_a_plain_walk(labelled):
 
 def test_relations_against_a_plain_walk(labelled):
     chunked = with_chunks(labelled, show_tags=False)
-    got = {tuple(r) for r in relation_rows(chunked).collect()}
+    got = {tuple(r) for r in relation_rows(labelled, show_tags=False).collect()}
     expected = set()
     for r in labelled.collect():
         found = plain_chunks(r["words"], r["iob"])
         for k in range(len(found) - 2):
             expected.add((r["doc_id"], r["sent_no"], k, found[k][2], found[k][3], found[k + 1][2]))
     assert got == expected
-    more = relation_rows(chunked, require_following=False).count()
+    more = relation_rows(labelled, require_following=False).count()
     assert more == sum(max(len(plain_chunks(r["words"], r["iob"])) - 1, 0) for r in labelled.collect())
     assert chunk_rows(chunked).count() == sum(
         len(plain_chunks(r["words"], r["iob"])) for r in labelled.collect()
@@ -95,7 +95,7 @@ def test_n_chunks_give_n_minus_2_relations(spark, chunks, relations):
     words = ["w"] * (2 * chunks + 1)
     iob = ["O"] + ["B-X", "O"] * chunks
     df = spark.createDataFrame([(1, 0, words, ["NN"] * len(words), iob)], TAGGED)
-    assert relation_rows(with_chunks(df)).count() == relations
+    assert relation_rows(df).count() == relations
 
 
 @pytest.mark.parametrize(
@@ -177,6 +177,17 @@ def test_features(labelled):
     assert got == expected
 
 
+def test_training_counts(labelled):
+    expected = Counter(
+        (name, value, label)
+        for r in labelled.collect()
+        for f, label in zip(plain_features(r["words"], r["tags"]), r["iob"])
+        for name, value in f.items()
+    )
+    model = chunking.train_chunker(chunking.chunk_features(labelled)).collect()
+    assert {(r["fname"], r["fval"], r["label"]): r["n"] for r in model} == expected
+
+
 def plain_bayes(train):
     """A classifier from the textbook formula, with 0.5 added to each count."""
     labels, counts, values = Counter(), defaultdict(Counter), defaultdict(set)
@@ -275,4 +286,4 @@ def test_long_sentence(spark):
     words, tags = ["w"] * size, (["NN", "VB", "IN"] * size)[:size]
     df = spark.createDataFrame([(1, 0, words, tags, ["B-X", "O"] * (size // 2))], TAGGED)
     assert chunking.chunk_features(df).count() == size
-    assert relation_rows(with_chunks(df)).count() == size // 2 - 2
+    assert relation_rows(df).count() == size // 2 - 2

@@ -122,12 +122,14 @@ def test_counts_against_a_plain_count(spark):
     random.seed(5)
     lists = [[random.choice("abcde") for _ in range(random.randint(0, 30))] for _ in range(100)]
     df = spark.createDataFrame([(x,) for x in lists], "x array<string>")
-    for row in df.select("x", X.count_terms(F.col("x")).alias("c"), X.mark_terms(F.col("x")).alias("m")).collect():
+    both = df.select("x", X.count_terms(F.col("x")).alias("c"), X.repeats_last(F.col("x")).alias("m"))
+    for row in both.collect():
         assert [(c["term"], c["n"]) for c in row["c"]] == sorted(
             (t, row["x"].count(t)) for t in set(row["x"])
         )
-        assert sorted(m["term"] for m in row["m"]) == sorted(row["x"])
-        assert [m["term"] for m in row["m"] if m["is_first"]] == sorted(set(row["x"]))
+        n, terms = row["m"]["n"], row["m"]["terms"]
+        assert sorted(terms) == sorted(row["x"])
+        assert sorted(terms[:n]) == sorted(set(row["x"]))
 
 
 def test_long_sentence_costs_its_length(spark):
