@@ -438,8 +438,10 @@ def pos_lexicon(spark, sf_dir):
 @query
 def pos_tag(spark, sf_dir):
     # The lexicon holds the words seen 3 times or more; others fall back to the rule.
-    tokens = tagging.token_rows(tagged(spark, sf_dir))
-    lexicon = stage(tagging.learn_lexicon(tokens).filter("n >= 3"), "lexicon")
+    sentences = tagged(spark, sf_dir)
+    learned = tagging.learn_lexicon(tagging.token_rows(sentences))
+    lexicon = stage(learned.filter("n >= 3"), "lexicon")
+    tokens = tagging.token_rows(sentences, ["words"], placed=False)
     found = tagging.gather_tokens(tagging.tag_tokens(tokens, lexicon))
     return found.select(*key(), joined(C.tagged_words(F.col("words"), F.col("tags"))).alias("tagged"))
 

@@ -23,8 +23,16 @@ def tag_sentences(
     return with_words.withColumn("tags", tagger(F.col("words")))
 
 
-def token_rows(tagged: DataFrame, columns: Sequence[str] = ("words", "tags")) -> DataFrame:
-    """``(doc_id, sent_no, tok_no, word, pos[, iob])`` of tagged sentences."""
+def token_rows(
+    tagged: DataFrame, columns: Sequence[str] = ("words", "tags"), placed: bool = True
+) -> DataFrame:
+    """``(doc_id, sent_no, tok_no, word, pos[, iob])`` of tagged sentences.
+
+    With ``placed=False`` the compact sentence rows are spread by sentence before they
+    are taken apart, so that gathering the tokens again moves nothing.
+    """
+    if not placed:
+        tagged = tagged.repartition(*SENTENCE_KEY)
     names = {"words": "word", "tags": "pos", "iob": "iob"}
     fields = [F.col(f"_t.{c}").alias(names[c]) for c in columns]
     tokens = explode_rows(tagged, SENTENCE_KEY, F.arrays_zip(*columns), "_t", "tok_no")
