@@ -96,4 +96,36 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged
 """
 
-ORACLES = {"op5_mixing": OP5, "op6_quality_rules": OP6}
+TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+OP7 = rf"""
+with docs as (
+  select row_number() over () as rid, doc_id, {TERMS} as w from documents),
+items as (
+  select coalesce(item_id::varchar, 'null') as item, {TERMS} as w from benchmark),
+sized as (select *, least(10, len(w)) as n from items where len(w) > 0),
+windows as (
+  select distinct item, n, w[i:i + n - 1] as phrase
+  from (select *, unnest(range(1, len(w) - n + 2)) as i from sized)),
+lengths as (select distinct n from windows),
+places as (
+  select rid, i, n, w[i:i + n - 1] as phrase
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, lengths)),
+found as (select rid, i, p.n, item from places p join windows using (n, phrase)),
+hits as (
+  select rid, count(distinct p) as n_hit
+  from (select rid, unnest(range(i, i + n)) as p from found) group by rid),
+named as (
+  select rid, count(distinct item) as n_items,
+         string_agg(distinct item, ',' order by item) as ids
+  from found group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+       coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (rid) left join named using (rid)
+"""
+
+ORACLES = {"op7_decontamination": OP7, "op5_mixing": OP5, "op6_quality_rules": OP6}

@@ -9,6 +9,7 @@ from factloom.llm.common import read
 from factloom.llm.language_id import identify_languages
 from factloom.llm.line_frequency import apply_rules
 from factloom.llm.mixing import mix
+from factloom.llm.positional_index import decontaminate
 from factloom.llm.token_counts import count_tokens
 
 
@@ -38,4 +39,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_language_id, op5_mixing, op6_quality_rules)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op4_language_id,
+        op5_mixing,
+        op6_quality_rules,
+        op7_decontamination,
+    )
+}
