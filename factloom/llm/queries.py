@@ -9,7 +9,9 @@ from factloom.llm.common import read
 from factloom.llm.language_id import identify_languages
 from factloom.llm.line_frequency import apply_rules
 from factloom.llm.mixing import mix
+from factloom.llm.order_minhash import near_duplicates
 from factloom.llm.positional_index import decontaminate
+from factloom.llm.randomness import find_secrets
 from factloom.llm.token_counts import count_tokens
 
 
@@ -43,6 +45,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -51,5 +61,7 @@ QUERIES = {
         op5_mixing,
         op6_quality_rules,
         op7_decontamination,
+        op8_near_duplicates,
+        op9_secret_scans,
     )
 }
