@@ -236,28 +236,24 @@ def candidate_texts(sketched: DataFrame, docs: DataFrame, pairs: DataFrame) -> D
     return stage(rows.join(chosen, ["_key", "_row"]).dropDuplicates(["_key"]), "texts")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, class_id, class_size, keeps)`` of every row of ``docs``.
-
-    ``class_id`` is the least doc_id of the class; ``keeps`` marks one row of each
-    class, the one with that id. Equal texts are one class without being compared.
-    Null and empty texts are alone, each a class of its own; a text without words is
-    alike only its copies; a text of fewer than five words is one five-mer. Rows with a
-    null doc_id belong to classes, which they don't name unless all ids are null; of
-    rows that repeat a doc_id, the equal ones all are marked as kept or none. Other
-    columns are not looked at; an empty table gives an empty result.
-    """
-    docs = docs.select("doc_id", "text")
-    has_text = F.coalesce(F.col("text"), F.lit("")) != ""
-    rows = docs.filter(has_text)
-    keyed = stage(rows.select("doc_id", text_key(F.col("text")).alias("_key"), sketch(F.col("text")).alias("_sketch")), "sketched")
+def classed_texts(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with a text as ``(doc_id, _key)``, and the texts as
+    ``(_key, _first, class_id, class_size)``; both are written tables."""
+    keyed = stage(
+        docs.select(
+            "doc_id", text_key(F.col("text")).alias("_key"), sketch(F.col("text")).alias("_sketch")
+        ),
+        "sketched",
+    )
     texts = stage(
         keyed.groupBy("_key").agg(
-            F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_copies"), F.min("_sketch").alias("_sketch")
+            F.min("doc_id").alias("_first"),
+            F.count(F.lit(1)).alias("_copies"),
+            F.min("_sketch").alias("_sketch"),
         ),
         "distinct",
     )
-    labels = classes_of_texts(texts.filter("_sketch is not null"), rows, threshold)
+    labels = classes_of_texts(texts.filter("_sketch is not null"), docs, threshold)
     known = texts.select("_key", "_first", "_copies")
     if labels is None:
         known = known.withColumn("_class", F.col("_key"))
@@ -265,8 +261,52 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         named = labels.select(F.col("node").alias("_key"), F.col("component").alias("_class"))
         known = known.join(named, "_key", "left").withColumn("_class", F.coalesce("_class", "_key"))
     known = stage(known, "classed")
-    sizes = known.groupBy("_class").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size"))
-    of_text = stage(known.join(sizes, "_class").select("_key", "class_id", "class_size"), "of_text")
-    found = keyed.select("doc_id", "_key").join(of_text, "_key").select("doc_id", "class_id", "class_size")
-    alone = docs.filter(~has_text).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return found.unionAll(alone).withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    sizes = known.groupBy("_class").agg(
+        F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size")
+    )
+    of_text = known.join(sizes, "_class").select("_key", "_first", "class_id", "class_size")
+    return keyed.select("doc_id", "_key"), stage(of_text, "of_text")
+
+
+def has_text(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) != ""
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id, class_size, keeps)`` of every row of ``docs``.
+
+    ``class_id`` is the least doc_id of the class; ``keeps`` marks the row with that id.
+    Equal texts are one class without being compared. Null and empty texts are alone,
+    each a class of its own; a text without words is alike only its copies; a text of
+    fewer than five words is one five-mer. Rows with a null doc_id belong to classes,
+    which they don't name unless all ids are null; rows that repeat a doc_id and its
+    text are all marked as kept or none. Other columns are not looked at; an empty
+    table gives an empty result.
+    """
+    docs = docs.select("doc_id", "text")
+    keyed, texts = classed_texts(docs.filter(has_text(F.col("text"))), threshold)
+    found = keyed.join(texts, "_key").select("doc_id", "class_id", "class_size")
+    alone = docs.filter(~has_text(F.col("text"))).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
+    )
+    keeps = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return found.unionAll(alone).withColumn("keeps", keeps)
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id.
+
+    Of rows that repeat its id and text one stays. Null and empty texts all stay. All
+    columns are passed on.
+    """
+    some = docs.filter(has_text(F.col("text")))
+    keyed, texts = classed_texts(some.select("doc_id", "text"), threshold)
+    kept = texts.filter(F.col("_first").eqNullSafe(F.col("class_id"))).select(
+        F.col("_key").alias("_kept_key"), F.col("_first").alias("_kept_id")
+    )
+    same = (text_key(F.col("text")) == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    rows = some.join(kept, same, "left_semi")
+    repeated = keyed.groupBy("_key", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(docs.filter(~has_text(F.col("text"))))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import read
 from factloom.llm.language_id import identify_languages
+from factloom.llm.license_scan import scan_licences
 from factloom.llm.line_frequency import apply_rules
 from factloom.llm.mixing import mix
 from factloom.llm.order_minhash import near_duplicates
 from factloom.llm.positional_index import decontaminate
+from factloom.llm.quotations import as_mail, link_quotations
 from factloom.llm.randomness import find_secrets
 from factloom.llm.token_counts import count_tokens
 
@@ -26,6 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(as_mail(read(spark, sf_dir, "conversations")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
@@ -53,15 +59,21 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_chat_formatting,
         op4_language_id,
         op5_mixing,
         op6_quality_rules,
         op7_decontamination,
         op8_near_duplicates,
         op9_secret_scans,
+        op10_license_scans,
     )
 }
