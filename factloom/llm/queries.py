@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import read
+from factloom.llm.exact_substrings import deduplicate_substrings
 from factloom.llm.language_id import identify_languages
 from factloom.llm.license_scan import scan_licences
 from factloom.llm.line_frequency import apply_rules
@@ -32,6 +33,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(as_mail(read(spark, sf_dir, "conversations")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_substrings(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op2_chat_formatting,
+        op3_substring_dedup,
         op4_language_id,
         op5_mixing,
         op6_quality_rules,
