@@ -335,7 +335,11 @@ SELECT doc_id, md5(text) AS text_md5, lang FROM documents
 WHERE length(text) <= 100 OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text))""",
     "sample_hash": """
 SELECT doc_id, source FROM documents
-WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 100""",
+WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) < 0.1 * 4294967296""",
+    "sample_hash_small": """
+SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT)
+      < 0.0005 * 4294967296""",
     "threshold_filter": f"""WITH {matched(1)}
 SELECT doc_id, sent_no, count(*) AS entity_counts FROM hit GROUP BY ALL HAVING count(*) >= 2""",
     "stage_counts": f"""WITH {matched(3)}

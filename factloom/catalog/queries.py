@@ -243,6 +243,12 @@ def sample_hash(spark, sf_dir):
     return rows.sample_by_hash(documents(spark, sf_dir), "doc_id", 0.1).select("doc_id", "source")
 
 
+@query
+def sample_hash_small(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    return rows.sample_by_hash(orders, "l_orderkey", 0.0005)
+
+
 @query
 def threshold_filter(spark, sf_dir):
     found = dictionary.entity_map(
@@ -439,8 +445,8 @@ def pos_lexicon(spark, sf_dir):
 def pos_tag(spark, sf_dir):
     # The lexicon holds the words seen 3 times or more; others fall back to the rule.
     sentences = tagged(spark, sf_dir)
-    learned = tagging.learn_lexicon(tagging.token_rows(sentences))
-    lexicon = stage(learned.filter("n >= 3"), "lexicon")
+    learned = tagging.learn_lexicon(tagging.token_rows(sentences), min_count=3)
+    lexicon = stage(learned, "lexicon")
     tokens = tagging.token_rows(sentences, ["words"], placed=False)
     found = tagging.gather_tokens(tagging.tag_tokens(tokens, lexicon))
     return found.select(*key(), joined(C.tagged_words(F.col("words"), F.col("tags"))).alias("tagged"))

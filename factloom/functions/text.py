@@ -22,8 +22,11 @@ ABBREVIATIONS = (
     "ca cf vs etc al approx resp sp spp subsp var e.g i.e"
 ).split()
 
-_BLANKS = " \t\n\f\r"
-_BLANK = r"[ \t\n\f\r]"
+# White space as Java's patterns know it, and all white space of publishers' texts.
+_BLANKS = " \t\n\x0b\f\r"
+_BLANK = r"[ \t\n\x0B\f\r]"
+_ANY_BLANKS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+_ANY_BLANK = f"[{_ANY_BLANKS}]"
 _CLOSER = "[\"'”’)\\]]"
 _OPENER = "[\"'“‘(\\[]"
 
@@ -38,16 +41,16 @@ def sentence_break(abbreviations: Iterable[str] = ABBREVIATIONS) -> str:
     known = "|".join(a.replace(".", r"\.") for a in abbreviations)
     # The blank comes first so that the look-behinds run at blanks only.
     return (
-        rf"{_BLANK}(?<=[.!?]{_CLOSER}{{0,2}}{_BLANK})"
-        rf"(?<!(?<![\p{{L}}\p{{N}}_])(?:{known}|\p{{Lu}})\.{_BLANK})"
-        rf"{_BLANK}*(?={_OPENER}{{0,2}}\p{{Lu}})"
+        rf"{_ANY_BLANK}(?<=[.!?]{_CLOSER}{{0,2}}{_ANY_BLANK})"
+        rf"(?<!(?<![\p{{L}}\p{{N}}_])(?:{known}|\p{{Lu}})\.{_ANY_BLANK})"
+        rf"{_ANY_BLANK}*(?={_OPENER}{{0,2}}\p{{Lu}})"
     )
 
 
 def split_sentences(text: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
     """Sentences of ``text`` in order; blank pieces are left out, null gives ``[]``."""
     pieces = F.split(text, sentence_break(abbreviations))
-    kept = F.filter(pieces, lambda s: F.trim(s, F.lit(_BLANKS)) != "")
+    kept = F.filter(pieces, lambda s: F.rlike(s, F.lit(f"[^{_ANY_BLANKS}]")))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
@@ -69,7 +72,7 @@ def tokenize_wordpunct(sentence: Column, stopwords: Iterable[str] = ()) -> Colum
     Stop words are compared in lower case; what is kept keeps its case.
     """
     tokens = F.regexp_extract_all(
-        sentence, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0)
+        sentence, F.lit(rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_ANY_BLANKS}]+"), F.lit(0)
     )
     return remove_stopwords(tokens, stopwords)
 

@@ -43,17 +43,18 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 
 def sample_by_hash(df: DataFrame, key: Column | str, fraction: float) -> DataFrame:
-    """A sample that is the same however the data lie: 1000 buckets of the key's hash."""
+    """A sample that is the same however the data lie: the key's 32-bit hash is below the fraction."""
     key = F.col(key) if isinstance(key, str) else key
     digest = F.md5(key.cast("string").cast("binary"))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000
-    return df.filter(bucket < F.lit(fraction * 1000))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return df.filter(place < F.lit(fraction * 2**32))
 
 
 def at_least(df: DataFrame, **minimums: int | None) -> DataFrame:
     """Rows where each named column reaches its minimum; None sets none."""
     for column, minimum in minimums.items():
-        df = df.filter(F.col(column) >= (minimum or 0))
+        if minimum is not None:
+            df = df.filter(F.col(column) >= minimum)
     return df
 
 

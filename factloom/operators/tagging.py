@@ -39,8 +39,8 @@ def token_rows(
     return tokens.select(*SENTENCE_KEY, "tok_no", *fields)
 
 
-def learn_lexicon(tokens: DataFrame) -> DataFrame:
-    """``(word, pos, n)``: each lowercased word's most frequent tag.
+def learn_lexicon(tokens: DataFrame, min_count: int = 1) -> DataFrame:
+    """``(word, pos, n)``: each lowercased word's most frequent tag, if seen ``min_count`` times.
 
     Ties go to the tag that sorts last. The first aggregate combines on the map
     side; the second one sees at most one row per word and tag.
@@ -49,7 +49,7 @@ def learn_lexicon(tokens: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     best = counted.groupBy("word").agg(F.max(F.struct("n", "pos")).alias("_best"))
-    return best.select("word", "_best.pos", "_best.n")
+    return best.select("word", "_best.pos", "_best.n").filter(F.col("n") >= min_count)
 
 
 def tag_tokens(

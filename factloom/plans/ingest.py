@@ -31,13 +31,17 @@ def split_parsed(parsed: DataFrame, paths: Mapping[str, str] = JATS_PATHS) -> In
     )
 
 
+# What the files of each source are called.
+FILE_NAMES = {"EUPMC": "*.xml.gz", "PLOS": "*.xml"}
+
+
 def ingest_articles(
     spark: SparkSession,
     path: str,
     *,
     done: DataFrame | None = None,
     source: str = "EUPMC",
-    file_names: str = "*.xml.gz",
+    file_names: str | None = None,
     paths: Mapping[str, str] = JATS_PATHS,
     spread: int | None = None,
     **options,
@@ -48,6 +52,9 @@ def ingest_articles(
     read that. The skip happens on the listing of file names, ahead of reading
     any of them.
     """
+    if source not in FILE_NAMES:
+        raise ValueError(f"unknown source {source!r}; known are {sorted(FILE_NAMES)}")
+    file_names = file_names or FILE_NAMES[source]
     scan = scan_xml_single if source == "PLOS" else scan_xml
     inputs: str | list[str] = path
     if done is not None:
@@ -57,9 +64,8 @@ def ingest_articles(
             .load(path)
             .select(F.col("path").alias("name"))
         )
-        suffix = file_names.lstrip("*")
-        # File names only, and only those still to be read.
-        inputs = [r["name"] for r in pending(listing, done, suffix).toLocalIterator()]
+        # File names only, and only those still to be read; the listing is filtered already.
+        inputs = [r["name"] for r in pending(listing, done, "").toLocalIterator()]
     if not inputs:
         empty = spark.createDataFrame([], "file string, xml string")
         return split_parsed(parse_articles(empty, paths=paths, **options), paths)
@@ -77,12 +83,16 @@ def write_ingested(
 ) -> None:
     """Append records as JSON, rejects as a table, and then note the files as done.
 
-    A file counts as done if any of its articles was read, so a file that failed
-    as a whole is tried again.
+    A file counts as done if all of its articles were read. Of a file with a reject
+    nothing is written but the reject, so that trying it again repeats no record.
     """
-    write_json(ingested.articles.drop("file"), f"{output}/articles", compression, "append")
+    broken = ingested.rejects.select("file").distinct()
+    whole = ingested.articles.join(broken, "file", "left_anti")
+    write_json(whole.drop("file"), f"{output}/articles", compression, "append")
     ingested.rejects.write.mode("append").parquet(f"{output}/rejects")
-    record_done(ingested.articles.select(F.col("file").alias("key")), ledger)
+    # The reader gives paths with escapes, the listing plain ones.
+    plain = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+    record_done(whole.select(plain.alias("key")), ledger)
 
 
 def done_files(spark: SparkSession, ledger: str) -> DataFrame:

@@ -39,11 +39,12 @@ def extract_interactions(
 
     Sentences without a dictionary term never reach the tagger, nor do those that
     miss ``min_entities`` or that lack ``hint``, a regular expression that any
-    sentence with a matching filler must match. With a pattern of your own, give
-    its hint, or None to tag every sentence left. All steps after the match work
+    sentence with a matching filler must match. With a pattern or tagger of your own, give
+    a hint, or None to tag every sentence left. All steps after the match work
     on the partitioning by sentence that the match has made.
     """
-    if pattern != INTERACTION_PATTERN and hint == INTERACTION_HINT:
+    own = pattern != INTERACTION_PATTERN or tagger is not rule_tags
+    if own and hint == INTERACTION_HINT:
         hint = None
     if sample:
         articles = sample_rows(articles, sample)

@@ -7,7 +7,6 @@ checkpointed blocks), and gives Spark the true size of the table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local folder stands in only where the session itself is local.
+    Without it, a folder under the warehouse stands in where the session itself is local.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.gettempdir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

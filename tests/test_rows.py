@@ -58,6 +58,16 @@ def test_hash_sample(spark):
     assert some.exceptAll(wider).count() == 0
 
 
+def test_small_hash_sample(spark):
+    some = sample_by_hash(spark.range(400_000), "id", 0.0005)
+    assert 130 < some.count() < 270
+
+
+def test_no_threshold_keeps_null(spark):
+    df = spark.createDataFrame([(None,), (1,)], "a int")
+    assert at_least(df, a=None).count() == 2
+
+
 def test_bernoulli_sample(spark):
     assert 800 < sample_rows(spark.range(10_000), 0.1).count() < 1200
 

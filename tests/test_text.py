@@ -190,3 +190,12 @@ def test_rank_and_cap(spark):
     )
     capped = fit_vocabulary(marked_terms(df), min_df=1, vocab_size=2)
     assert {r["term"] for r in capped.collect()} == {r["term"] for r in ranked[:2]}
+
+
+def test_blanks_of_publishers(spark):
+    df = spark.createDataFrame([("c\u00a0d\u2009e\u202ff",)], "s string")
+    assert df.select(X.tokenize_wordpunct(F.col("s"))).first()[0] == ["c", "d", "e", "f"]
+    df = spark.createDataFrame([("One ended.\u00a0Two began.",)], "s string")
+    assert df.select(X.split_sentences(F.col("s"))).first()[0] == ["One ended.", "Two began."]
+    df = spark.createDataFrame([("A\x0bb",)], "s string")
+    assert df.select(X.tokenize_ws(F.col("s"))).first()[0] == ["a", "b"]
