@@ -22,26 +22,23 @@ WINDOW = 5
 
 def lines(text: Column) -> Column:
     """The lines that have a word."""
-    return F.filter(
-        F.split(text, "\n", -1), lambda line: F.length(F.translate(line, BLANKS, "")) > 0
-    )
+    return F.filter(F.split(text, "\n", -1), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
 
 
 def normalised(line: Column) -> Column:
     """Lower case, digits alike, single blanks, none at the ends."""
-    alike = F.translate(
-        line, string.ascii_uppercase + string.digits + BLANKS,
-        string.ascii_lowercase + "0" * 10 + " " * len(BLANKS),
-    )
-    return F.trim(F.when(F.contains(alike, F.lit("  ")), F.regexp_replace(alike, " +", " ")).otherwise(alike))
+    # Most lines have neither digits nor odd blanks, and a test is cheaper than a change.
+    alike = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, "[0-9]", "0")).otherwise(line)
+    odd = F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20"))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(alike, r"[\x20\x09-\x0D]+", " ")).otherwise(alike)))
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words in five-word windows that occur twice or more."""
+def repeated_words(held: Column) -> Column:
+    """Of an array of words, the number in five-word windows that occur twice or more."""
 
     def of_windows(windows: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(
@@ -62,26 +59,31 @@ def repeated_words(words: Column) -> Column:
         )
         return F.aggregate(step, F.lit(0), lambda total, n: total + n)
 
-    def body(held: Column) -> Column:
-        hashed = F.transform(
-            F.sequence(F.lit(0), F.size(held) - WINDOW),
-            lambda k: F.xxhash64(*[F.get(held, k + j) for j in range(WINDOW)]),
-        )
-        return F.when(F.size(held) < WINDOW, 0).otherwise(let(hashed, of_windows))
+    hashed = F.transform(
+        F.sequence(F.lit(0), F.size(held) - WINDOW),
+        lambda k: F.xxhash64(*[F.get(held, k + j) for j in range(WINDOW)]),
+    )
+    return F.when(F.size(held) < WINDOW, 0).otherwise(let(hashed, of_windows))
+
 
-    return let(words, body)
+def measured(text: Column) -> Column:
+    """Struct of the counts of a text that the rules look at, as long."""
+    symbols = F.when(
+        F.rlike(text, F.lit(f"[{SYMBOLS}]")), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    ).otherwise(0)
+    repeated_lines = let(lines(text), lambda held: F.size(held) - F.size(F.array_distinct(held)))
 
+    def counts(words: Column) -> Column:
+        columns = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": symbols,
+            "n_dup_lines": repeated_lines,
+            "n_repeat_words": repeated_words(words),
+        }
+        return F.struct(*[value.cast("long").alias(name) for name, value in columns.items()])
 
-def measured(text: Column) -> dict[str, Column]:
-    """The counts of a text that the rules look at, as long."""
-    columns = {
-        "n_words": word_count(text),
-        "word_chars": F.length(F.translate(text, BLANKS, "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
-        "n_dup_lines": let(lines(text), lambda held: F.size(held) - F.size(F.array_distinct(held))),
-        "n_repeat_words": repeated_words(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))),
-    }
-    return {name: value.cast("long") for name, value in columns.items()}
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts)
 
 
 def host(source: Column) -> Column:
@@ -136,15 +138,18 @@ def apply_rules(
         F.split(text, "\n", -1), lambda x: ~F.array_contains("_frequent", F.xxhash64(normalised(x)))
     )
     cleaned = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
-    rows = rows.withColumns(measured(text)).withColumn("cleaned", F.when(F.col("text").isNotNull(), cleaned))
-    left = F.when(F.col("_frequent").isNull(), F.col("n_words")).otherwise(
-        word_count(F.coalesce("cleaned", F.lit("")))
+    rows = rows.withColumn("_m", measured(text)).withColumn(
+        "cleaned", F.when(F.col("text").isNotNull(), cleaned)
     )
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = rows.withColumns({name: F.col("_m")[name] for name in names})
+    same = F.length(F.coalesce("cleaned", F.lit(""))) == F.length(text)
+    left = F.when(same, F.col("n_words")).otherwise(word_count(F.coalesce("cleaned", F.lit(""))))
     depleted = (F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_left * F.col("n_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
         rows.withColumn("n_words_left", left)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
-        .drop("_host", "_frequent")
+        .drop("_host", "_frequent", "_m")
     )

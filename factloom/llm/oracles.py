@@ -66,9 +66,8 @@ dup as (
   where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
 normal as (
   select rid, host, text, line,
-         trim(regexp_replace(translate(regexp_replace(line, '[\x20\x09-\x0D]', ' ', 'g'),
-              'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
-              ' +', ' ', 'g'), ' ') as norm
+         lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '0', 'g'),
+              '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as norm
   from lines),
 hosts as (select host, count(distinct text) as n from docs group by host),
 frequent as (
