@@ -40,10 +40,12 @@ def prepared_items(items: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(_key, _at, term)``: where in the documents the ``terms`` stand, as a stored table."""
-    postings = docs.select(
+    # The key digests a whole text, so it is made before the words are rows, not for each.
+    keyed = docs.select(
         document_key(F.col("doc_id"), F.col("text")).alias("_key"),
-        F.posexplode(words(F.col("text"))).alias("_at", "term"),
+        words(F.col("text")).alias("_words"),
     )
+    postings = keyed.select("_key", F.posexplode("_words").alias("_at", "term"))
     return stage(joined(postings, terms, ["term"]), "postings")
 
 
