@@ -14,8 +14,8 @@ from factloom.staging import stage
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 24 * 1024 * 1024
 
-# What a word is for most of the operators: no ASCII white space in it.
-WORD = r"[^\x20\x09-\x0D]+"
+# Between words, for most of the operators: ASCII white space.
+BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -31,6 +31,14 @@ def document_key(doc_id: Column, text: Column) -> Column:
     )
 
 
+def cut_words(text: Column, between: str = BETWEEN_WORDS) -> Column:
+    """The words of a text, in order: the non-empty pieces left by the pattern ``between``.
+
+    Cutting between words reads a text once; extracting each match copies much more.
+    """
+    return F.array_remove(F.split(text, between), "")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 

@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
-from factloom.llm.common import ascii_lower, document_key, joined, small
+from factloom.llm.common import ascii_lower, cut_words, document_key, joined, small
 from factloom.staging import stage
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Words of a text, ASCII letters in lower case; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    return cut_words(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN_TERMS)
 
 
 def prepared_items(items: DataFrame) -> DataFrame:
