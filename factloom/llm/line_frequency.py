@@ -8,12 +8,11 @@ as are documents that fail the rules on the text itself.
 
 from __future__ import annotations
 
-import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
-from factloom.llm.common import BLANKS, WORD, joined
+from factloom.llm.common import cut_words, joined
 from factloom.staging import stage
 
 SYMBOLS = "#*$%&|<>"
@@ -34,7 +33,7 @@ def normalised(line: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
+    return F.size(cut_words(text)).cast("long")
 
 
 def repeated_words(held: Column) -> Column:
@@ -83,7 +82,7 @@ def measured(text: Column) -> Column:
         }
         return F.struct(*[value.cast("long").alias(name) for name, value in columns.items()])
 
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts)
+    return let(cut_words(text), counts)
 
 
 def host(source: Column) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD, joined, numbered
+from factloom.llm.common import cut_words, joined, numbered
 from factloom.staging import stage
 
 # Documents of a source are dealt by hash into this many parts to find where the
@@ -76,7 +76,7 @@ def mix(
         "doc_id",
         F.col("source").isNull().alias("_no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.size(cut_words(text)).cast("long").alias("size"),
         place(F.col("doc_id"), seed).alias("_place"),
     ).withColumn("_part", F.col("_place") % PARTS)
     sized = stage(sized, "sized")
