@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
-from factloom.llm.common import ascii_lower
+from factloom.llm.common import ascii_lower, cut_words
 from factloom.staging import stage
 
 NONE = "none"
@@ -108,7 +108,7 @@ def words_of(text: str) -> list[str]:
 
 def words(text: Column) -> Column:
     """Words of letters and digits of ASCII; a classifier of English notices needs no others."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return cut_words(ascii_lower(text), "[^a-z0-9]+")
 
 
 def bigrams(held: Column) -> Column:
