@@ -34,7 +34,7 @@ def document_key(doc_id: Column, text: Column) -> Column:
 def cut_words(text: Column, between: str = BETWEEN_WORDS) -> Column:
     """The words of a text, in order: the non-empty pieces left by the pattern ``between``.
 
-    Cutting between words reads a text once; extracting each match copies much more.
+    Extracting each match instead took eight times as long where it was measured.
     """
     return F.array_remove(F.split(text, between), "")
 
