@@ -216,16 +216,23 @@ def with_bytes(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     )
     texts = docs.select("_doc", "text").join(F.broadcast(lists) if small(lists) else lists, "_doc")
 
+    columns = ["anchor", "_doc", "start", "strings", "many", "bytes"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows of several documents leave together, up to about PIECE bytes.
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for doc, text, wanted in zip(batch["_doc"], encoded(batch["text"]), batch["_list"], strict=True):
-                yield pd.DataFrame(
-                    [
-                        (w["anchor"], doc, w["start"], w["strings"], w["many"], text[w["start"] : w["start"] + w["strings"] + WIDTH - 1])
-                        for w in wanted
-                    ],
-                    columns=["anchor", "_doc", "start", "strings", "many", "bytes"],
-                )
+                for w in wanted:
+                    part = text[w["start"] : w["start"] + w["strings"] + WIDTH - 1]
+                    rows.append((w["anchor"], doc, w["start"], w["strings"], w["many"], part))
+                    size += len(part)
+                    if size > PIECE:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return texts.mapInPandas(
         cut, "anchor long, _doc long, start long, strings long, many boolean, bytes binary"
