@@ -157,16 +157,20 @@ class Classifier:
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, sample: int) -> DataFrame:
-    """``(_paragraph, label, _fold)``: at most ``sample`` paragraphs beside the notices."""
+    """``(_paragraph, label, _fold)``: the notices, and of ``sample`` different paragraphs
+    those that have no word pair of a notice."""
     families = [NONE, *NOTICES]
     known = [(v, float(families.index(f))) for f, notices in NOTICES.items() for n in notices for v in variants(n)]
     known += [(m, 0.0) for m in MENTIONS]
     told = F.array(*[F.lit(b) for b in sorted(set().union(*(bigrams_of(t) for t, label in known if label)))])
-    other = paragraphs(docs).select("_paragraph").filter(
+    # The least hashes of different paragraphs: the same sample however the table is split.
+    # Hashes alone are shuffled; the texts of those below the bound are read again.
+    hashed = paragraphs(docs).select("_paragraph", F.xxhash64("_paragraph").alias("_hash"))
+    least = hashed.select("_hash").distinct().orderBy("_hash").limit(sample)
+    bound = least.agg(F.max("_hash")).first()[0]
+    other = hashed.filter(F.col("_hash") <= F.lit(bound)).select("_paragraph").distinct().filter(
         ~F.arrays_overlap(let(words(F.col("_paragraph")), bigrams), told)
     )
-    # The least hashes of different paragraphs: the same sample however the table is split.
-    other = other.distinct().orderBy(F.xxhash64("_paragraph"), "_paragraph").limit(sample)
     rows = spark.createDataFrame(known, "_paragraph string, label double").unionAll(
         other.select("_paragraph", F.lit(0.0).alias("label"))
     )
