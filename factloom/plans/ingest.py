@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 from factloom.functions.xml import parse_articles
 from factloom.schema import JATS_PATHS
-from factloom.sources.articles import assemble_records, scan_xml, scan_xml_single, write_json
+from factloom.sources.articles import (
+    assemble_records,
+    scan_xml_single,
+    write_json,
+    xml_lines,
+    xml_parts,
+)
 from factloom.sources.manifest import base_name, pending, record_done
-from factloom.staging import fresh_path
+from factloom.staging import stage
 
 
 @dataclass
@@ -44,6 +50,7 @@ def ingest_articles(
     file_names: str | None = None,
     paths: Mapping[str, str] = JATS_PATHS,
     spread: int | None = None,
+    skip_broken: bool = True,
     **options,
 ) -> Ingested:
     """Scan a folder, leave out files already ``done``, parse, split off rejects.
@@ -51,31 +58,59 @@ def ingest_articles(
     Parsed articles are written to a staged table once; records and rejects both
     read that. The skip happens on the listing of file names, ahead of reading
     any of them.
+
+    Beside articles that do not parse, rejects are files in which no article was found
+    (unreadable ones among them), and files whose end is missing, which shows by an
+    element that is not closed. A gzip file cut short that has no element around its
+    articles cannot be told from a whole one; ``skip_broken=False`` ends the job at any
+    file that cannot be unpacked.
     """
     if source not in FILE_NAMES:
         raise ValueError(f"unknown source {source!r}; known are {sorted(FILE_NAMES)}")
     file_names = file_names or FILE_NAMES[source]
-    scan = scan_xml_single if source == "PLOS" else scan_xml
+    listing = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", file_names)
+        .load(path)
+        .select(F.col("path").alias("name"), F.col("_metadata.file_path").alias("file"))
+    )
     inputs: str | list[str] = path
     if done is not None:
-        listing = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", file_names)
-            .load(path)
-            .select(F.col("path").alias("name"))
-        )
-        # File names only, and only those still to be read; the listing is filtered already.
-        inputs = [r["name"] for r in pending(listing, done, "").toLocalIterator()]
+        # The listing is filtered by name already.
+        listing = pending(listing, done, "")
+    listing = stage(listing, "listing")
+    if done is not None:
+        # File names only, and only those still to be read.
+        inputs = [r["name"] for r in listing.select("name").toLocalIterator()]
     if not inputs:
         empty = spark.createDataFrame([], "file string, xml string")
         return split_parsed(parse_articles(empty, paths=paths, **options), paths)
-    raw = scan(spark, inputs, file_names=file_names)
-    if spread and source != "PLOS":
-        raw = raw.repartition(spread)
-    target = fresh_path(spark, "parsed")
-    parsed = parse_articles(raw, paths=paths, **options)
-    parsed.write.parquet(target)
-    return split_parsed(spark.read.schema(parsed.schema).parquet(target), paths)
+    if source == "PLOS":
+        raw = scan_xml_single(spark, inputs, file_names=file_names)
+        raw = raw.withColumn("unclosed", F.lit(0)).withColumn("found", F.lit(True))
+    else:
+        raw = xml_parts(xml_lines(spark, inputs, file_names=file_names, skip_broken=skip_broken))
+        raw = raw.withColumn("found", F.col("xml").isNotNull())
+        raw = raw.repartition(spread) if spread else raw
+    parsed = stage(parse_articles(raw, paths=paths, **options), "parsed")
+    split = split_parsed(parsed.filter("found"), paths)
+    return Ingested(split.articles, split.rejects.unionByName(broken_files(parsed, listing)))
+
+
+def broken_files(parsed: DataFrame, listing: DataFrame) -> DataFrame:
+    """``(file, reason)`` of the files of ``listing`` without an article or an end."""
+    files = parsed.groupBy("file").agg(
+        F.sum("unclosed").alias("_unclosed"), F.max("found").alias("_found")
+    )
+    reason = F.when(~F.coalesce("_found", F.lit(False)), "no article could be read").when(
+        F.col("_unclosed") > 0, "the end of the file is missing"
+    )
+    return (
+        listing.select("file")
+        .join(files, "file", "left")
+        .select("file", reason.alias("reason"))
+        .filter(F.col("reason").isNotNull())
+    )
 
 
 def write_ingested(

@@ -30,6 +30,41 @@ def xml_pieces(lines: DataFrame, tag: str = "article") -> DataFrame:
     )
 
 
+def xml_parts(lines: DataFrame, tag: str = "article") -> DataFrame:
+    """``(file, xml, unclosed)``: all pieces of a text scan, with a null ``xml`` where no
+    article is in it, and how many more elements are opened than closed ahead of it.
+
+    Over a whole file the sum of ``unclosed`` is 0; if its end is missing, it is not.
+    """
+    ahead = F.get(F.split("value", rf"<{tag}[\s>]", 2), F.lit(0))
+    ahead = F.regexp_replace(ahead, r"(?s)<!--.*?-->", "")
+    opened = F.regexp_count(ahead, F.lit(r"<[A-Za-z_][^<>]*(?<!/)>"))
+    closed = F.regexp_count(ahead, F.lit(r"</[A-Za-z_]"))
+    return lines.select(
+        "file", cut_article(F.col("value"), tag).alias("xml"), (opened - closed).alias("unclosed")
+    )
+
+
+def xml_lines(
+    spark: SparkSession,
+    path: str | list[str],
+    tag: str = "article",
+    file_names: str = "*",
+    skip_broken: bool = False,
+) -> DataFrame:
+    """``(value, file)``: files cut at the closing ``tag``.
+
+    A file that cannot be unpacked ends the job, or with ``skip_broken`` gives the
+    pieces ahead of the fault.
+    """
+    reader = spark.read.option("pathGlobFilter", file_names)
+    if skip_broken:
+        reader = reader.option("ignoreCorruptFiles", "true")
+    return reader.text(path, lineSep=f"</{tag}>").select(
+        "value", F.col("_metadata.file_path").alias("file")
+    )
+
+
 def scan_xml(
     spark: SparkSession,
     path: str,
@@ -43,12 +78,7 @@ def scan_xml(
     as a whole and plain files are split among tasks. A gzip file is one task's
     work; ``spread`` moves its articles on to that many tasks before parsing.
     """
-    lines = (
-        spark.read.option("pathGlobFilter", file_names)
-        .text(path, lineSep=f"</{tag}>")
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
-    pieces = xml_pieces(lines, tag)
+    pieces = xml_pieces(xml_lines(spark, path, tag, file_names), tag)
     return pieces.repartition(spread) if spread else pieces
 
 

@@ -180,6 +180,33 @@ def test_ingest_skips_what_is_done(spark, folder, tmp_path):
     assert A.scan_json(spark, f"{output}/articles").count() == 4
 
 
+def test_broken_files_are_rejects(spark, folder, tmp_path):
+    output, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    many = FILE.replace(SECOND, "".join(SECOND.replace("Q", f"{k * k}") for k in range(4000)))
+    packed = gzip.compress(many.encode())
+    (folder / "cut 1.xml.gz").write_bytes(packed[: len(packed) // 2])
+    (folder / "plain.xml.gz").write_bytes(b"not gzip at all")
+    (folder / "empty.xml.gz").write_bytes(gzip.compress(b""))
+    (folder / "garbage.xml.gz").write_bytes(gzip.compress(b"<html>nothing</html>"))
+    (folder / "tail.xml.gz").write_bytes(gzip.compress(FILE.replace("</articles>", "").encode()))
+    found = ingest_articles(spark, str(folder))
+    reasons = {r["file"].split("/")[-1]: r["reason"] for r in found.rejects.collect()}
+    none, cut = "no article could be read", "the end of the file is missing"
+    assert {k: v for k, v in reasons.items() if not k.startswith("cut")} == {
+        "plain.xml.gz": none, "empty.xml.gz": none, "garbage.xml.gz": none, "tail.xml.gz": cut,
+    }
+    assert [v for k, v in reasons.items() if k.startswith("cut")] in ([none], [cut])
+    write_ingested(found, output, ledger)
+    assert A.scan_json(spark, f"{output}/articles").count() == 2
+    # The whole file comes in its place, and all of it is read once.
+    (folder / "cut 1.xml.gz").write_bytes(packed)
+    again = ingest_articles(spark, str(folder), done=done_files(spark, ledger))
+    write_ingested(again, output, ledger)
+    assert A.scan_json(spark, f"{output}/articles").count() == 2 + 4001
+    with pytest.raises(Exception):
+        ingest_articles(spark, str(folder), skip_broken=False)
+
+
 def test_nothing_left_to_ingest(spark, folder):
     done = spark.createDataFrame([("PMC1_2.json.gz",)], "key string")
     assert ingest_articles(spark, str(folder), done=done).articles.count() == 0
