@@ -37,6 +37,25 @@ def dedup_by_key(
     return single.unionByName(df.filter(~F.coalesce(has_key, F.lit(False))))
 
 
+def with_doc_id(articles: DataFrame, key: str = "doi") -> DataFrame:
+    """One row per ``key`` (an array), with a ``doc_id`` that is the same in every run.
+
+    The id is a digest of the key; of rows that share one, the first by all columns
+    stays. Rows without a key all stay: their id is a digest of all columns and the
+    number of the copy, copies being counted before they are told apart.
+    """
+    columns = [F.col(f"`{c}`") for c in articles.columns]
+    has_key = F.coalesce(F.size(key) > 0, F.lit(False))
+    keyed = dedup_by_key(articles.filter(has_key), F.col(key), columns, keep_unkeyed=False)
+    keyed = keyed.withColumn("doc_id", F.md5(F.to_json(key)))
+    copies = articles.filter(~has_key).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    digest = F.md5(F.to_json(F.struct(*columns)))
+    unkeyed = copies.select(
+        *columns, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")
+    ).withColumn("doc_id", F.concat(digest, F.lit("-"), F.col("_copy").cast("string")))
+    return keyed.unionByName(unkeyed.drop("_copy"))
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """A Bernoulli sample without replacement; depends on how the data lie."""
     return df.sample(False, fraction, seed)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.chunks import INTERACTION_HINT, INTERACTION_PATTERN, as_lists
 from factloom.functions.tags import rule_tags
 from factloom.operators.chunking import ChunkModel
-from factloom.operators.dictionary import entity_map, match_dictionary
+from factloom.operators.dictionary import build_dictionary, entity_map, match_dictionary
 from factloom.operators.relations import model_triples, no_triples
-from factloom.operators.rows import at_least, sample_rows
+from factloom.operators.rows import at_least, sample_rows, with_doc_id
 from factloom.operators.sentences import SENTENCE_KEY, sentences_of
 from factloom.operators.tagging import tag_sentences
+from factloom.sources.articles import scan_json, write_json
+from factloom.sources.dictionary import scan_dictionary
 
 
 def extract_interactions(
@@ -79,3 +81,26 @@ RESULT = ("doi", "sentences", "entity_matches", "entity_counts", "triples", "tri
 def result_records(found: DataFrame) -> DataFrame:
     """The six columns of the result record."""
     return found.select(*RESULT)
+
+
+def run_interactions(
+    spark: SparkSession,
+    articles: str,
+    dictionary: str,
+    output: str,
+    chunk_model: ChunkModel,
+    compression: str | None = None,
+    **options,
+) -> None:
+    """From JSON articles and a dictionary file to result records as JSON at ``output``.
+
+    Articles are made one per ``doi`` first. Fails if ``output`` exists; ``options`` are
+    those of :func:`extract_interactions`.
+    """
+    found = extract_interactions(
+        with_doc_id(scan_json(spark, articles)),
+        build_dictionary(scan_dictionary(spark, dictionary)),
+        chunk_model,
+        **options,
+    )
+    write_json(result_records(found), output, compression)

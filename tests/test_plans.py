@@ -8,7 +8,8 @@ from factloom.operators.chunking import chunk_features, load_chunker, train_chun
 from factloom.operators.dictionary import build_dictionary
 from factloom.operators.sentences import sentences_of
 from factloom.operators.tagging import tag_sentences
-from factloom.plans.interactions import RESULT, extract_interactions, result_records
+from factloom.operators.rows import with_doc_id
+from factloom.plans.interactions import RESULT, extract_interactions, result_records, run_interactions
 from factloom.schema import DICTIONARY
 from factloom.sources.articles import write_json
 
@@ -72,6 +73,33 @@ def test_own_pattern_is_not_cut_by_the_default_hint(articles, parts):
     assert any(r["triples_counts"] for r in rows)
 
 
+def test_document_ids(spark):
+    rows = [(["a"], "x"), (["a"], "b"), (["a", "c"], "x"), ([], "u"), ([], "u"), (None, "u"), (None, None)]
+    df = spark.createDataFrame(rows, "doi array<string>, abstract string")
+    found = with_doc_id(df).collect()
+    assert sorted((str(r["doi"]), str(r["abstract"])) for r in found) == sorted(
+        (str(doi), str(text)) for doi, text in rows if (doi, text) != (["a"], "x")
+    )
+    assert len({r["doc_id"] for r in found}) == 6
+    again = with_doc_id(df.repartition(3)).collect()
+    assert {r["doc_id"] for r in again} == {r["doc_id"] for r in found}
+    assert with_doc_id(df.limit(0)).count() == 0
+
+
+def test_from_path_to_path(spark, articles, parts, tmp_path):
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    # The first article comes twice; the last has no doi.
+    doi = F.when(F.col("doc_id") < 3, F.col("doi")).otherwise(F.array().cast("array<string>"))
+    write_json(articles.unionAll(articles.filter("doc_id = 0")).withColumn("doi", doi).drop("doc_id"), source)
+    (tmp_path / "names.csv").write_text('x bees;bees\nx ants;"ants,old foxes"\n')
+    run_interactions(spark, source, str(tmp_path / "names.csv"), output, parts[1], min_tf=1, min_df=1)
+    back = spark.read.schema(result_records(run(articles, parts)).schema).json(output)
+    expected = result_records(run(articles, parts))
+    assert sorted(map(str, back.collect())) == sorted(map(str, expected.collect()))
+    with pytest.raises(Exception, match="(?i)exist"):
+        run_interactions(spark, source, str(tmp_path / "names.csv"), output, parts[1])
+
+
 def test_result_record(spark, articles, parts, tmp_path):
     records = result_records(run(articles, parts))
     assert tuple(records.columns) == RESULT
