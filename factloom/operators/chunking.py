@@ -35,9 +35,6 @@ TOKEN_KEY = (*SENTENCE_KEY, "tok_no")
 # Added to every count before it is turned into a probability.
 SMOOTHING = 0.5
 
-# More labels than this is no chunk tag set; the header is read on the driver.
-MAX_LABELS = 256
-
 
 def chunk_features(
     tagged: DataFrame, keep: Sequence[str] = (), placed: bool = True
@@ -155,14 +152,15 @@ class ChunkModel:
     broadcast: bool
 
 
-def load_chunker(model: DataFrame) -> ChunkModel:
+def load_chunker(model: DataFrame, max_labels: int = 256) -> ChunkModel:
     """Make the counts of a saved model ready; done once however often it is used.
 
-    Only the header comes to the driver: one row per label and feature name.
+    Only the header comes to the driver: one row per label and feature name. A model
+    with more than ``max_labels`` labels is an error, as it is hardly one of chunk tags.
     """
     header = (
         model.groupBy("fname")
-        .pivot("label", _labels(model))
+        .pivot("label", _labels(model, max_labels))
         .agg(F.sum("n"))
         .join(model.groupBy("fname").agg(F.countDistinct("fval").alias("_bins")), "fname")
         .filter(F.col("fname").isin(list(FEATURES)))
@@ -197,10 +195,10 @@ def load_chunker(model: DataFrame) -> ChunkModel:
     )
 
 
-def _labels(model: DataFrame) -> list[str]:
-    found = model.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"the chunk model has more than {MAX_LABELS} labels")
+def _labels(model: DataFrame, max_labels: int) -> list[str]:
+    found = model.select("label").distinct().orderBy("label").limit(max_labels + 1).collect()
+    if len(found) > max_labels:
+        raise ValueError(f"the chunk model has more than {max_labels} labels")
     return [row["label"] for row in found]
 
 

@@ -45,6 +45,13 @@ def run(articles, parts, **options):
     return extract_interactions(articles, *parts, min_tf=1, min_df=1, **options)
 
 
+def test_label_bound_is_a_parameter(spark):
+    model = spark.createDataFrame([], "fname string, fval string, label string, n long")
+    rows = [("pos", "NN", f"B-{k}", 1) for k in range(3)]
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        load_chunker(spark.createDataFrame(rows, model.schema), max_labels=2)
+
+
 def test_all_hit_sentences_come_back(articles, parts):
     rows = {(r["doc_id"], r["sent_no"]): r for r in run(articles, parts).collect()}
     assert set(rows) == {(0, 0), (0, 1), (1, 0), (1, 1)}
