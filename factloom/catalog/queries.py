@@ -555,7 +555,7 @@ def triples_gazetteer(spark, sf_dir):
 @query
 def interaction_workflow(spark, sf_dir):
     texts = documents(spark, sf_dir).withColumn("doi", F.array(F.col("doc_id").cast("string")))
-    unique = stage(rows.dedup_by_key(texts, F.md5("fulltext"), ["doc_id"]), "unique")
+    unique = rows.dedup_by_key(texts, F.md5("fulltext"), ["doc_id"])
     model = chunking.load_chunker(trained(spark, sf_dir))
     found = extract_interactions(
         unique, D.taxa(spark), model, min_tf=1, min_entities=1, min_triples=1
