@@ -6,12 +6,13 @@ seeded hash values and keeps them in text order: two texts share a sketch only i
 share these five-mers in the same order, which edits between them rarely change and
 moved parts do.
 
-Texts of one sketch are a bucket. Instead of all pairs, each member is compared with
-one member of its bucket, the strongest pairs (most sketches shared) first, then those
-that are not in one class yet; a second round splits the buckets by a second sketch and
-compares with the other end. Two texts with a similarity of 0.8 share each of the 20
-sketches with a chance of about one half, so both rounds miss a link only if another
-text stands in for it in all the buckets they share.
+Texts of one sketch are a bucket, and two texts that share a bucket are in one class or
+are compared. Most pairs need no comparison of their own: each member is first compared
+with one member of its bucket, the strongest pairs (most sketches shared) first, then
+those that are not in one class yet; a second round splits the buckets by a second
+sketch and compares with the other end, a third compares the buckets that still hold
+several classes with the member that shares most. What is left of these buckets is dealt
+into blocks, and all pairs of different classes are compared block by block.
 
 The similarity is that of the best alignment of the five-mers: those aligned over all
 of either text. As it has to reach a threshold, the alignment only needs a band around
@@ -38,6 +39,9 @@ THRESHOLD = 0.8
 AT_ONCE = 2_000_000
 # Members of one bucket's text that share a copy of it in a join.
 SHARE = 500
+# Texts, and characters of texts, that a block of a bucket holds (about).
+BLOCK, BLOCK_SIZE = 256, 2_000_000
+BUCKET = ["_slot", "_value"]
 
 
 def sketches(texts: list[str], count: int = SKETCHES, length: int = LENGTH) -> list[np.ndarray | None]:
@@ -193,14 +197,8 @@ def classes_of_texts(sketched: DataFrame, docs: DataFrame, threshold: float) ->
     ]
     links = labels = tested = texts = None
 
-    def classed(df: DataFrame, key: str, name: str) -> DataFrame:
-        if labels is None:
-            return df.withColumn(name, F.col(key))
-        known = labels.select(F.col("node").alias(key), F.col("component").alias(name))
-        return df.join(known, key, "left").withColumn(name, F.coalesce(name, key))
-
     for on, end in rounds:
-        found = stars(classed(buckets, "_key", "class"), on, end)
+        found = stars(classed(buckets, labels, "_key", "class"), on, end)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = stage(found, "pairs")
@@ -215,15 +213,145 @@ def classes_of_texts(sketched: DataFrame, docs: DataFrame, threshold: float) ->
         links = add(links, verified(strongest, texts, threshold))
         labels = components(links)
         others = found.select("a", "b").join(strongest, ["a", "b"], "left_anti")
-        others = classed(classed(others, "a", "_class_a"), "b", "_class_b").filter("_class_a <> _class_b")
-        others = stage(others.select("a", "b"), "others")
+        others = stage(apart(others, labels), "others")
         if not others.isEmpty():
             links = add(links, verified(others, texts, threshold))
             labels = components(links)
         tested = add(tested, found.select("a", "b"))
+    if labels is None:
+        return None
+    return settled(buckets.select(*BUCKET, "_key"), sketched, docs, links, labels, threshold)
+
+
+def classed(df: DataFrame, labels: DataFrame | None, key: str, name: str) -> DataFrame:
+    """``df`` with the class of ``key``; a text that is alike none is its own class."""
+    if labels is None:
+        return df.withColumn(name, F.col(key))
+    known = labels.select(F.col("node").alias(key), F.col("component").alias(name))
+    return df.join(known, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) of different classes."""
+    both = classed(classed(pairs, labels, "a", "_class_a"), labels, "b", "_class_b")
+    return both.filter("_class_a <> _class_b").select("a", "b")
+
+
+def unsettled(rows: DataFrame, labels: DataFrame, end: Column) -> DataFrame:
+    """``rows`` (bucket, ``_key``) with ``class``, but for the end of each bucket, which
+    was compared with all others, and for the buckets whose other rows are one class."""
+    columns = [*BUCKET, "_key"]
+    ends = rows.groupBy(*BUCKET).agg(end.alias("_end"), F.count(F.lit(1)).alias("_n")).filter("_n > 2")
+    left = rows.join(ends, BUCKET).filter("_key <> _end").select(*columns)
+    left = stage(classed(left, labels, "_key", "class").select(*columns, "class"), "left")
+    mixed = left.groupBy(*BUCKET).agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
+    return stage(left.join(mixed.filter("_low <> _high").select(*BUCKET), BUCKET), "unsettled")
+
+
+def settled(
+    buckets: DataFrame, sketched: DataFrame, docs: DataFrame, links: DataFrame, labels: DataFrame, threshold: float
+) -> DataFrame:
+    """The labels once every pair of each bucket is in one class or was compared."""
+    rows = unsettled(buckets, labels, F.min("_key"))
+    if rows.isEmpty():
+        return labels
+    texts = candidate_texts(sketched, docs, rows.select(F.col("_key").alias("a"), F.col("_key").alias("b")))
+
+    sizes = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    weights = rows.join(sizes, BUCKET).groupBy("_key").agg(F.sum("_n").alias("_weight"))
+    rows = stage(rows.join(weights, "_key"), "weighted")
+    most = F.max_by("_key", F.struct("_weight", "_key"))
+    found = stage(apart(stars(rows, BUCKET, most).select("a", "b"), labels), "pairs")
+    if not found.isEmpty():
+        links = add(links, verified(found, texts, threshold))
+        labels = components(links)
+    rows = unsettled(rows.drop("class"), labels, most)
+    if rows.isEmpty():
+        return labels
+
+    held = stage(
+        texts.join(sketched.select("_key", "_sketch"), "_key").select(
+            "_key", "_sketch", "text", F.length("text").alias("_size")
+        ),
+        "held",
+    )
+    for within in (True, False):
+        now = classed(rows.drop("class"), labels, "_key", "class")
+        sides = stage(block_sides(now.join(held.select("_key", "_size"), "_key"), within), "sides")
+        if sides.isEmpty():
+            continue
+        blocks = sides.join(held.drop("_size"), "_key").groupBy("_slot", "_value", "_pair")
+        links = add(links, stage(blocks.applyInPandas(block_links(threshold), "a binary, b binary"), "links"))
+        labels = components(links)
     return labels
 
 
+def block_sides(rows: DataFrame, within: bool) -> DataFrame:
+    """``rows`` once for each pair of blocks that they are a side of, as ``_pair``, ``_side``.
+
+    A class of many texts of a bucket has blocks of its own, which are not paired with
+    each other; a block paired with itself has one side. ``within``: only these, and
+    only of buckets with more than one block.
+    """
+    none = F.unhex(F.lit(""))
+    parts = rows.groupBy(*BUCKET, "class").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_size"))
+    parts = parts.withColumn("_own", F.when(F.col("_n") >= BLOCK, F.col("class")).otherwise(none))
+    needed = F.greatest(F.sum("_n") / BLOCK, F.sum("_size") / BLOCK_SIZE)
+    groups = parts.groupBy(*BUCKET, "_own").agg(F.greatest(F.ceil(needed), F.lit(1)).cast("int").alias("_blocks"))
+    dealt = rows.drop("_size").join(parts.select(*BUCKET, "class", "_own"), [*BUCKET, "class"])
+    dealt = dealt.join(groups, [*BUCKET, "_own"]).withColumn(
+        "_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
+    )
+    units = groups.select(*BUCKET, "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    one = units.select(*BUCKET, F.struct("_own", "_block").alias("_one"))
+    two = units.select(*BUCKET, F.struct("_own", "_block").alias("_two"))
+    pairs = one.join(two, BUCKET).filter(
+        "_one <= _two and (_one._own <> _two._own or length(_one._own) = 0)"
+    )
+    if within:
+        several = units.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*BUCKET)
+        pairs = one.withColumn("_two", F.col("_one")).filter("length(_one._own) = 0").join(several, BUCKET)
+
+    def name(unit: str) -> Column:
+        return F.concat_ws(":", F.hex(F.col(unit)["_own"]), F.col(unit)["_block"].cast("string"))
+
+    pairs = pairs.withColumn("_pair", F.concat_ws("/", name("_one"), name("_two")))
+    lefts = pairs.select(*BUCKET, "_one.*", "_pair", F.lit(0).alias("_side"))
+    rights = pairs.filter("_one < _two").select(*BUCKET, "_two.*", "_pair", F.lit(1).alias("_side"))
+    return dealt.join(lefts.unionAll(rights), [*BUCKET, "_own", "_block"]).select(
+        *BUCKET, "_pair", "_side", "_key", "class"
+    )
+
+
+def block_links(threshold: float):
+    """A function of a pair of blocks: links that join all texts alike across its sides.
+
+    Texts of one class are not compared, nor texts that share a bucket of a lower slot,
+    where they are compared. Links found join classes for the pairs that follow.
+    """
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, slot = rows["_key"].tolist(), int(rows["_slot"].iloc[0])
+        gram, sizes = labelled(rows["text"].tolist())
+        grams = np.split(gram, np.cumsum(sizes)[:-1])
+        held = np.stack(rows["_sketch"].to_list())
+        _, group = np.unique([bytes(c).hex() for c in rows["class"]], return_inverse=True)
+        side = rows["_side"].to_numpy()
+        rights = np.flatnonzero(side == 1)
+        found = []
+        for i in np.flatnonzero(side == 0):
+            others = rights if len(rights) else np.arange(i + 1, len(rows))
+            least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            here = (held[others] == held[i]).argmax(axis=1) == slot
+            for j in others[here & (least / most >= threshold) & (group[others] != group[i])]:
+                if group[j] != group[i] and alignment(grams[i], grams[j], threshold) >= threshold:
+                    found.append((keys[i], keys[j]))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return compared
+
+
 def add(one: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if one is None else one.unionAll(more)
 

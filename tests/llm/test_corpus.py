@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_substrings
+from factloom.llm import exact_substrings, order_minhash
 from factloom.llm.bwt_merge import repeats
 from factloom.llm.mixing import mix
 from factloom.llm.order_minhash import alignment, deduplicated, near_duplicates
@@ -109,6 +109,39 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_copies_alike_only_their_original(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 32)
+    drawn = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    base = drawn.choices(words, k=120)
+    passage = drawn.choices(words, k=40)
+    texts = [" ".join(base)]
+    for k in range(300):
+        edited = list(base)
+        for at in drawn.sample(range(120), 2):
+            edited[at] = f"edit{k}"
+        texts.append(" ".join(edited))
+    texts += [" ".join(passage + drawn.choices(words, k=20)) for _ in range(100)]
+    lost = drawn.choices(words, k=120)
+    for k in range(150):
+        edited = list(lost)
+        for at in drawn.sample(range(120), 2):
+            edited[at] = f"other{k}"
+        texts.append(" ".join(edited))
+    drawn.shuffle(texts)
+    grams = [labelled([t])[0] for t in texts]
+    least = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if least[a] != least[b] and alignment(grams[a], grams[b]) >= 0.8:
+                low, high = sorted((least[a], least[b]))
+                least = [low if k == high else k for k in least]
+    assert max(least.count(k) for k in least) == 301
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert found == dict(enumerate(least))
+
+
 def test_decontamination(spark):
     item = " ".join(f"t{k}" for k in range(14))
     rows = [(1, f"A b {item.upper()} c"), (2, "x t0 t1 t2"), (3, None), (4, ""), (5, "Short, one!"), (1, f"A b {item.upper()} c")]
