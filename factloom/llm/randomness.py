@@ -6,9 +6,11 @@ characters in use, and the token is tested for uniform use of the alphabet
 (chi-squared), for runs above and below its middle, and for correlation of neighbours.
 The three p-values are combined by Fisher's rule.
 
-A token is a discovery if it looks random. Short words may look so by chance, so each
-class of lengths has a threshold of its own: tokens without a digit are decoys, and a
-threshold is allowed if the decoys beyond it are at most ``fdr`` of the discoveries.
+A token that passes them may still be a word: short words often do. So it is also
+weighed against a model of ordinary words, pairs of letters as in the words of the corpus
+and in a list below. The likelihood as a word over that as random characters is a p-value
+of the word model (Markov's inequality), and of the different tokens of one class of
+length and encoding those are discoveries that the Benjamini-Hochberg rule allows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+SHORT = r"(?<![A-Za-z0-9+/_-])[A-Za-z][a-z]{2,14}(?![A-Za-z0-9+/_-])"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Encodings from the narrowest: what a token may hold, and its alphabet in order.
 ENCODINGS = [
@@ -50,8 +53,23 @@ ENCODINGS = [
 
 # Lengths in classes of eight, the longest together: at most this many classes.
 CLASS_WIDTH, CLASSES = 8, 64
-# Thresholds are looked for in steps of 1/8 of -ln(p).
+# Thresholds are looked for in steps of 1/8 of -ln(p), up to a p-value far below any needed.
 STEPS = 8
+MOST = 200 * STEPS
+# Words that the model of words knows without a corpus.
+WORDS = """the and that have with this from they which would there their about other
+version file name long here number system first people could should through between
+because information different government development something important without another
+general international particular following together understand question possible available
+management configuration application environment description performance language message
+und die der das nicht werden haben eine einen einer sein schon durch zwischen gesellschaft
+entwicklung wirtschaft verantwortung geschichte wissenschaft regierung verschieden moeglich
+les des une pour dans avec cette sont plus comme leurs entre gouvernement developpement
+premiere organisation toujours beaucoup quelque los las para como pero este esta sobre
+tambien desarrollo gobierno informacion nosotros siempre trabajo universidad"""
+# Fixed values of that model: chances that the kind of character (letter, digit, sign)
+# stays, that a letter keeps the case of the one before, and the weight of a pair as such.
+KIND_STAYS, CASE_STAYS, PAIR = 0.85, 0.9, 0.98
 BLOCK = 64
 
 
@@ -200,41 +218,103 @@ def randomness(token: Column) -> Column:
     return let(body, lambda b: let(encoding(b), lambda alphabet: tested(b, alphabet)))
 
 
-def tokens(text: Column) -> Column:
-    """``array<struct<start, end, target, class, score>>`` of the long tokens.
+def pair_logs(docs: DataFrame) -> list[float]:
+    """ln of the chance of a letter after a letter, or first (place 0), 27 to a row.
 
-    A token with a letter and a digit is a target, one without a digit a decoy; tokens
-    of digits alone are numbers, and left out.
+    Learned from the words of fewer than 16 letters, which can't be tokens: different
+    words, weighed by the logarithm of their number. At most 27 x 26 sums come to the
+    driver.
+    """
+    found = F.regexp_extract_all("text", F.lit(SHORT), F.lit(0))
+    words = docs.select(F.explode(found).alias("w"))
+    words = words.select(F.lower("w").alias("w")).groupBy("w").agg(F.log1p(F.count(F.lit(1))).alias("n"))
+    padded = F.concat(F.lit("^"), F.col("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(padded, k, F.lit(2)))
+    sums = words.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    counts = {r["p"]: r["n"] for r in sums.collect()}
+    for word in WORDS.split():
+        for pair in zip("^" + word, word):
+            counts["".join(pair)] = counts.get("".join(pair), 0.0) + 1.0
+    logs = []
+    for before in "^" + LOWER:
+        total = sum(counts.get(before + c, 0.0) for c in LOWER)
+        share = [counts.get(before + c, 0.0) / total if total else 1 / 26 for c in LOWER]
+        logs += [0.0, *[math.log(PAIR * x + (1 - PAIR) / 26) for x in share]]
+    return logs
+
+
+def unlike_words(token: Column, logs: list[float]) -> Column:
+    """ln of the likelihood as random characters of its encoding over that as words."""
+    table = F.lit(logs)
+
+    def kind(c: Column) -> Column:
+        return F.when(c["at"] > 0, 0).when(F.position(c["c"], F.lit(DIGITS)) > 0, 1).otherwise(2)
+
+    def one(c: Column, before: Column) -> Column:
+        same = kind(c) == kind(before)
+        stays = F.when(same, math.log(KIND_STAYS)).otherwise(math.log((1 - KIND_STAYS) / 2))
+        case = F.when(c["up"] == before["up"], math.log(CASE_STAYS)).otherwise(math.log(1 - CASE_STAYS))
+        letter = F.get(table, before["at"] * 27 + c["at"]) + F.when(before["at"] > 0, case).otherwise(math.log(0.5))
+        of_kind = F.when(c["at"] > 0, letter).when(kind(c) == 1, -math.log(10)).otherwise(-math.log(4))
+        return of_kind + stays
+
+    def weighed(b: Column, alphabet: Column) -> Column:
+        signs = F.transform(
+            F.split(b, ""),
+            lambda c: F.struct(
+                c.alias("c"), F.position(F.lower(c), F.lit(LOWER)).alias("at"), (F.lower(c) != c).alias("up")
+            ),
+        )
+        first = F.struct(F.lit("-").alias("c"), F.lit(0).alias("at"), F.lit(False).alias("up"))
+        parts = let(signs, lambda s: F.zip_with(s, F.slice(F.concat(F.array(first), s), 1, F.size(s)), one))
+        as_words = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        return -as_words - F.length(b) * F.ln(F.length(alphabet).cast("double"))
+
+    body = F.regexp_replace(token, "=+$", "")
+    return let(body, lambda b: let(encoding(b), lambda alphabet: weighed(b, alphabet)))
+
+
+def tokens(text: Column, logs: list[float]) -> Column:
+    """``array<struct<start, end, hash, class, step, proof>>`` of the long tokens.
+
+    ``class`` numbers the length and encoding, ``step`` is how far the tests are from
+    random characters, ``proof`` how far the token is from words. Tokens of digits alone
+    are numbers, and left out.
     """
-    has_digit = lambda s: F.rlike(s["value"], F.lit("[0-9]"))
     has_letter = lambda s: F.rlike(s["value"], F.lit("[A-Za-z]"))
-    return F.transform(
-        F.filter(found_spans(text, TOKEN), has_letter),
-        lambda s: F.struct(
+    alphabets = F.lit([letters for _, letters in ENCODINGS])
+
+    def one(s: Column) -> Column:
+        length = F.least(F.floor(F.length(s["value"]) / CLASS_WIDTH), F.lit(CLASSES - 1))
+        form = F.array_position(alphabets, encoding(F.regexp_replace(s["value"], "=+$", ""))) - 1
+        proof = F.least(F.floor(unlike_words(s["value"], logs) * STEPS), F.lit(MOST))
+        return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
-            has_digit(s).alias("target"),
-            F.least(F.floor(F.length(s["value"]) / CLASS_WIDTH), F.lit(CLASSES - 1)).cast("int").alias("class"),
+            F.xxhash64(s["value"]).alias("hash"),
+            (length * len(ENCODINGS) + form).cast("int").alias("class"),
             F.floor(randomness(s["value"]) * STEPS).cast("int").alias("step"),
-        ),
-    )
+            proof.cast("int").alias("proof"),
+        )
+
+    return F.transform(F.filter(found_spans(text, TOKEN), has_letter), one)
 
 
 def thresholds(scanned: DataFrame, fdr: float, alpha: float) -> DataFrame:
-    """``(class, upto)``: the largest step of each class of lengths that counts as random.
+    """``(class, least)``: the least proof that makes a token of the class a discovery.
 
-    At most ``CLASSES`` rows, made from a histogram of at most ``STEPS`` times
-    ``-ln(alpha)`` steps per class.
+    Benjamini-Hochberg over the different tokens of a class, from a histogram of at most
+    ``MOST`` steps: p-values are rounded up, those of tokens that fail the tests are 1.
     """
-    found = scanned.select(F.explode("_tokens").alias("t")).select("t.*")
-    steps = found.filter(F.col("step") <= int(-math.log(alpha) * STEPS)).groupBy("class", "step").agg(
-        F.count(F.when(F.col("target"), 1)).alias("targets"),
-        F.count(F.when(~F.col("target"), 1)).alias("decoys"),
-    )
-    upto = Window.partitionBy("class").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumns({c: F.sum(c).over(upto) for c in ("targets", "decoys")})
-    allowed = steps.filter(F.col("decoys") <= fdr * F.col("targets"))
-    return allowed.groupBy("class").agg(F.max("step").alias("upto"))
+    found = scanned.select(F.explode("_tokens").alias("t")).select("t.hash", "t.class", "t.step", "t.proof")
+    random = F.col("step") <= int(-math.log(alpha) * STEPS)
+    proof = F.when(random, F.greatest("proof", F.lit(0))).otherwise(0)
+    steps = found.distinct().groupBy("class", proof.alias("proof")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("class")
+    down = whole.orderBy(F.desc("proof")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"tested": F.sum("n").over(whole), "beyond": F.sum("n").over(down)})
+    allowed = steps.filter(F.exp(-F.col("proof") / STEPS) * F.col("tested") <= fdr * F.col("beyond"))
+    return allowed.filter("proof > 0").groupBy("class").agg(F.min("proof").alias("least"))
 
 
 def examined(docs: DataFrame) -> DataFrame:
@@ -245,20 +325,21 @@ def examined(docs: DataFrame) -> DataFrame:
         lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")),
     )
     rows = docs.drop("base", "spans", "_tokens")
-    return rows.withColumn("base", F.array_sort(ordered)).withColumn("_tokens", tokens(text))
+    return rows.withColumn("base", F.array_sort(ordered)).withColumn("_tokens", tokens(text, pair_logs(docs)))
 
 
 def decided(rows: DataFrame, fdr: float, alpha: float) -> DataFrame:
     """``rows``, a written table of :func:`examined`, with ``spans`` for its tokens.
 
-    The thresholds that come to the driver are at most ``CLASSES`` numbers.
+    The thresholds that come to the driver are at most one number for each class.
     """
-    upto = {row["class"]: row["upto"] for row in thresholds(rows, fdr, alpha).collect()}
-    limits = F.array(*[F.lit(upto.get(k, -1)) for k in range(CLASSES)])
+    least = {row["class"]: row["least"] for row in thresholds(rows, fdr, alpha).collect()}
+    limits = F.lit([least.get(k, MOST + 1) for k in range(CLASSES * len(ENCODINGS))])
+    random = int(-math.log(alpha) * STEPS)
 
     def accepted(t: Column) -> Column:
         near = F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))
-        return t["target"] & (t["step"] <= F.get(limits, t["class"])) & ~near
+        return (t["step"] <= random) & (t["proof"] >= F.get(limits, t["class"])) & ~near
 
     added = F.transform(
         F.filter("_tokens", accepted),
@@ -273,7 +354,7 @@ def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.01) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end), in order.
 
     ``base`` has the spans of the shapes. ``spans`` adds the tokens that pass the tests
-    at ``alpha`` and the threshold of their class of lengths, unless they overlap a base
+    at ``alpha`` and the threshold of their class, unless they overlap a base
     span. ``kind`` is a place in ``KINDS``; places count code points, the end is
     exclusive. Null and empty texts have no spans; repeated rows are scanned each and
     count each; other columns are passed on (``base`` and ``spans`` are replaced); an

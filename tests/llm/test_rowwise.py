@@ -118,6 +118,21 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert out[50] == texts[50] and out[51] == texts[51]
 
 
+def test_random_letters_are_found_among_any_number_of_words(spark):
+    import random
+
+    drawn = random.Random(5)
+    syllables = "the tion ent com ver ing re con ter for der ung gen schaft lich ment able est pro de in".split()
+    words = ["".join(drawn.choices(syllables, k=20))[: drawn.randint(16, 23)] for _ in range(1500)]
+    lower = ["".join(drawn.choices("abcdefghijklmnopqrstuvwxyz", k=32)) for _ in range(50)]
+    mixed = ["".join(drawn.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=20)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(words + lower + mixed)), "doc_id long, text string")
+    hits = {r.doc_id for r in randomness.scan(docs).collect() if r.spans}
+    assert sum(k in hits for k in range(1500)) <= 5
+    assert sum(k in hits for k in range(1500, 1550)) >= 45
+    assert sum(k in hits for k in range(1550, 1570)) >= 18
+
+
 def test_licences(spark):
     texts = ["Some prose here.\nReleased under the MIT License.", "He renewed his driving license at the office.", ""]
     texts += [f"plain paragraph number {k} of the corpus about nothing" for k in range(40)]
