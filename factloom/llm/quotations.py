@@ -2,7 +2,8 @@
 
 A line's quote level is the number of ``>`` it begins with. Lines of one level that
 follow each other are a passage; passages are normalised, hashed, and joined to the
-messages whose own text (or a paragraph or line of it) has that hash. The first message
+messages whose own text (or a paragraph, line, or run of lines of it) has that hash; a
+passage without such a message goes by its own paragraphs and lines. The first message
 of the conversation with the passage is its original. The original of a message's
 outermost quote is its parent; parents give each message its thread and depth.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
-from factloom.llm.common import BLANKS, ascii_lower
+from factloom.llm.common import BLANKS, ascii_lower, joined
 from factloom.staging import stage
 
 MARKS = r"^((?:\x20{0,3}>)+\x20?)"
@@ -84,33 +85,71 @@ def parsed(messages: DataFrame) -> DataFrame:
     ).select("conv_id", "turn", "role", F.col("_p.own").alias("own"), F.col("_p.passages").alias("_passages"))
 
 
-def originals(messages: DataFrame) -> DataFrame:
-    """``(conv_id, _hash, _original)``: the first turn that has a text, paragraph or line."""
+def full_lines(text: Column) -> Column:
+    """The lines of a text that are not blank, normalised."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda x: x != "")
+
+
+def pieces(text: Column) -> Column:
+    """Hashes of the paragraphs and lines of a text."""
+    paragraphs = F.transform(F.split(text, r"\n\x20*\n"), digest)
+    return F.array_distinct(F.concat(paragraphs, F.transform(F.split(text, "\n"), digest)))
+
+
+def runs(messages: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(conv_id, turn, _hash)`` of all runs of lines that are as long as a quotation of
+    the conversation: ``lengths`` has (``conv_id``, ``_lengths``)."""
+    lines = messages.select("conv_id", "turn", full_lines(F.col("own")).alias("_lines"))
+    rows = joined(lines.filter(F.size("_lines") > 1), lengths, ["conv_id"])
+    rows = rows.select("conv_id", "turn", "_lines", F.explode("_lengths").alias("_n"))
+    run = F.transform(
+        F.sequence(F.lit(1), F.size("_lines") - F.col("_n") + 1),
+        lambda k: F.unhex(F.md5(F.array_join(F.slice("_lines", k, F.col("_n")), " "))),
+    )
+    rows = rows.filter(F.col("_n") <= F.size("_lines"))
+    return rows.select("conv_id", "turn", F.explode(F.array_distinct(run)).alias("_hash"))
+
+
+def originals(messages: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(conv_id, _hash, _original)``: the first turn that has a text, paragraph, line,
+    or run of lines of one of the ``lengths``."""
     whole = F.array(digest(F.col("own")))
-    paragraphs = F.transform(F.split("own", r"\n\x20*\n"), digest)
-    lines = F.transform(F.split("own", "\n"), digest)
-    rows = messages.filter("own <> ''").select(
+    held = messages.filter("own <> ''")
+    rows = held.select(
         "conv_id",
         "turn",
-        F.explode(F.array_distinct(F.concat(whole, paragraphs, lines))).alias("_hash"),
-    )
+        F.explode(F.array_distinct(F.concat(whole, pieces(F.col("own"))))).alias("_hash"),
+    ).unionAll(runs(held, lengths))
     return rows.filter(F.col("_hash") != digest(F.lit(""))).groupBy("conv_id", "_hash").agg(
         F.min("turn").alias("_original")
     )
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, n_linked, parent_turn)`` of the messages with a linked quote."""
-    quotes = messages.select("conv_id", "turn", F.explode("_passages").alias("_q")).select(
-        "conv_id", "turn", F.col("_q.level").alias("_level"), digest(F.col("_q.text")).alias("_hash")
-    )
+    """``(conv_id, turn, n_linked, parent_turn)`` of the messages with a linked quote.
+
+    A passage that nobody wrote as it stands is linked by its paragraphs and lines.
+    """
+    quotes = messages.select("conv_id", "turn", F.posexplode("_passages").alias("_at", "_q"))
+    text = F.col("_q.text")
+    lengths = quotes.select("conv_id", F.size(full_lines(text)).alias("_n")).filter("_n > 1")
+    lengths = stage(lengths.groupBy("conv_id").agg(F.collect_set("_n").alias("_lengths")), "lengths")
+    parts = F.transform(pieces(text), lambda h: F.struct(F.lit(1).alias("rank"), h.alias("hash")))
+    whole = F.array(F.struct(F.lit(0).alias("rank"), digest(text).alias("hash")))
+    quotes = quotes.select(
+        "conv_id", "turn", "_at", F.col("_q.level").alias("_level"), digest(text).alias("_whole"),
+        F.explode(F.concat(whole, parts)).alias("_p"),
+    ).select("conv_id", "turn", "_at", "_level", "_whole", F.col("_p.rank").alias("_rank"), F.col("_p.hash").alias("_hash"))
     quotes = quotes.filter(F.col("_hash") != digest(F.lit("")))
-    found = quotes.join(originals(messages), ["conv_id", "_hash"]).filter("_original < turn")
+    found = quotes.join(originals(messages, lengths), ["conv_id", "_hash"]).filter("_original < turn")
+    found = found.groupBy("conv_id", "turn", "_at", "_level", "_whole").agg(
+        F.min(F.struct("_rank", -F.col("_original"))).getField("col2").alias("_late")
+    )
     # The outermost quote, and of several the latest original.
     return found.groupBy("conv_id", "turn").agg(
-        F.countDistinct("_level", "_hash").alias("n_linked"),
-        F.min(F.struct("_level", -F.col("_original"))).alias("_best"),
-    ).select("conv_id", "turn", "n_linked", (-F.col("_best").getField("col2")).alias("parent_turn"))
+        F.countDistinct("_level", "_whole").alias("n_linked"),
+        F.min(F.struct("_level", "_late")).alias("_best"),
+    ).select("conv_id", "turn", "n_linked", (-F.col("_best").getField("_late")).alias("parent_turn"))
 
 
 def threads(links: DataFrame) -> DataFrame:

@@ -168,3 +168,22 @@ def test_quotations(spark):
     # The third message repeats the first, which is the original of its quotes.
     assert [(found[1, k].parent_turn, found[1, k].depth) for k in range(4)] == [(None, 0), (0, 1), (1, 2), (0, 1)]
     assert link_quotations(chats.limit(0)).count() == 0
+
+
+def test_trimmed_and_interleaved_quotations(spark):
+    first = "Alpha one is here.\nBeta two follows it.\nGamma three ends.\nDelta four.\n\nEpsilon five.\n\nZeta six."
+    rows = [
+        (1, 0, "user", first),
+        (1, 1, "user", "nothing in common"),
+        (1, 2, "user", "> Beta two follows it.\n> Gamma  three ends.\nYes.\n> Delta four.\n>\n> Epsilon five.\nNo."),
+        (1, 3, "user", "> Alpha one is here.\n> Zeta six.\nCut in between."),
+        (1, 4, "user", ">> Gamma three ends.\n>> Delta four.\n> Yes.\nAgreed."),
+        (1, 5, "user", "> Nobody wrote this.\n> Nor that.\nWhat?"),
+        (2, 1, "user", "> Beta two follows it.\n> Gamma three ends.\nElsewhere."),
+    ]
+    docs = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    found = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.parent_turn, r.depth) for r in link_quotations(docs).collect()}
+    assert found == {
+        (1, 0): (0, 0, None, 0), (1, 1): (0, 0, None, 0), (1, 2): (2, 2, 0, 1), (1, 3): (1, 1, 0, 1),
+        (1, 4): (2, 2, 2, 2), (1, 5): (1, 0, None, 0), (2, 1): (1, 0, None, 0),
+    }
