@@ -127,4 +127,78 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from docs left join hits using (rid) left join named using (rid)
 """
 
-ORACLES = {"op7_decontamination": OP7, "op5_mixing": OP5, "op6_quality_rules": OP6}
+
+
+def leaf_sql(text: str) -> str:
+    """The digest of a row, with ``text`` in the place of its text."""
+    values = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+    return f"sha256({' || '.join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)})"
+
+
+def tree_sql(name: str, leaves: str) -> str:
+    """Recursive views: the nodes over ``leaves`` (tree, place, h), and their families."""
+    return f"""
+{name}(level, tree, place, h) as (
+  select 0, tree, place, h from {leaves}
+  union all
+  select level + 1, tree, place // 8, sha256(string_agg(h, '' order by place))
+  from (select *, count(*) over (partition by tree) as wide from {name}) where wide > 1
+  group by level, tree, place // 8),
+{name}_families as (
+  select level, tree, place // 8 as parent, list(h order by place) as hs
+  from (select *, count(*) over (partition by level, tree) as wide from {name}) where wide > 1
+  group by level, tree, place // 8)"""
+
+
+def walk_sql(name: str, tree: str, start: str) -> str:
+    """Recursive views: the rows of ``start`` (rid, tree, place, now, proof) on their way up."""
+    return f"""
+{name}(level, rid, tree, place, now, proof) as (
+  select 0, rid, tree, place, now, proof from {start}
+  union all
+  select w.level + 1, rid, w.tree, parent,
+         sha256(array_to_string(list_transform(hs, lambda h, i:
+             case when i = place % 8 + 1 then now else h end), '')),
+         proof || array_to_string(list_filter(hs, lambda h, i: i <> place % 8 + 1), '')
+  from {name} w join {tree}_families f
+    on f.level = w.level and f.tree = w.tree and f.parent = w.place // 8),
+{name}_ends as (
+  select rid, arg_max(now, level) as now, arg_max(proof, level) as proof from {name} group by rid)"""
+
+
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+with recursive
+crc_table as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as crcs),
+docs as (
+  select row_number() over () as rid, *, xor(4294967295::bigint, list_reduce(
+      list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda crc, b: xor(crc >> 8, crcs[(xor(crc, b) & 255) + 1]))) as crc
+  from documents, crc_table),
+digests as (
+  select rid, doc_id, lang, {leaf_sql("text")} as h,
+         case when crc % 3 = 0 then {leaf_sql(ASCII_LOWER)} else {leaf_sql("text")} end as changed
+  from docs),
+leaves as (
+  select *, dense_rank() over (order by lang nulls first) - 1 as tree,
+         row_number() over (partition by lang order by doc_id nulls first, h) - 1 as place
+  from digests),
+{tree_sql("nodes", "leaves")},
+subroots as (select tree, arg_max(h, level) as h from nodes group by tree),
+over as (select -1 as tree, tree as place, h from subroots),
+{tree_sql("tops", "over")},
+root as (select arg_max(h, level) as root from tops),
+begun as (select rid, tree, place, changed as now, '' as proof from leaves),
+{walk_sql("walk", "nodes", "begun")},
+higher as (
+  select e.rid, -1 as tree, l.tree as place, now, proof from walk_ends e join leaves l using (rid)),
+{walk_sql("climb", "tops", "higher")}
+select doc_id, l.h as leaf, s.h as subroot, root, sha256(proof) as proof_sha256, now as folded_root,
+       now = root as verified
+from leaves l join climb_ends using (rid) join subroots s on s.tree = l.tree, root
+"""
+
+ORACLES = {"op7_decontamination": OP7, "op5_mixing": OP5, "op6_quality_rules": OP6, "op12_merkle_manifest": OP12}

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import read
+from factloom.llm.common import ascii_lower, read
 from factloom.llm.exact_substrings import deduplicate_substrings
 from factloom.llm.language_id import identify_languages
 from factloom.llm.license_scan import scan_licences
 from factloom.llm.line_frequency import apply_rules
+from factloom.llm.merkle import verified
 from factloom.llm.mixing import mix
 from factloom.llm.order_minhash import near_duplicates
 from factloom.llm.positional_index import decontaminate
@@ -68,6 +69,12 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    text = F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return verified(read(spark, sf_dir, "documents"), {"text": text})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,5 +88,6 @@ QUERIES = {
         op8_near_duplicates,
         op9_secret_scans,
         op10_license_scans,
+        op12_merkle_manifest,
     )
 }
