@@ -201,4 +201,45 @@ select doc_id, l.h as leaf, s.h as subroot, root, sha256(proof) as proof_sha256,
 from leaves l join climb_ends using (rid) join subroots s on s.tree = l.tree, root
 """
 
-ORACLES = {"op7_decontamination": OP7, "op5_mixing": OP5, "op6_quality_rules": OP6, "op12_merkle_manifest": OP12}
+OP11 = f"""
+with words as (
+  select rid, piece, lang, w, row_number() over (partition by rid, piece order by i) as i from (
+    select rid, piece, lang, unnest(ws) as w, generate_subscripts(ws, 1) as i from (
+      select rid, lang, generate_subscripts(pieces, 1) as piece,
+             regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') as ws
+      from (select row_number() over () as rid, coalesce(lang, 'und') as lang,
+                   regexp_split_to_array({ASCII_LOWER}, '[.,;:!?\\x0A-\\x0D]') as pieces
+            from documents where text is not null)))),
+totals as (select lang, count(*)::bigint as n from words group by lang),
+runs as (
+  select lang, [w] as p1, [w, lead(w, 1) over s] as p2, [w, lead(w, 1) over s, lead(w, 2) over s] as p3,
+         [w, lead(w, 1) over s, lead(w, 2) over s, lead(w, 3) over s] as p4
+  from words window s as (partition by rid, piece order by i)),
+counted as (
+  select lang, p, count(*)::bigint as f from (
+    select lang, unnest([p1, p2, p3, p4], max_depth := 1) as p from runs)
+  where p[-1] is not null and not list_contains(list_transform(p, lambda x: x is null), true)
+  group by lang, p having count(*) >= 30),
+candidates as (select lang, p, f as a from counted where len(p) > 1),
+cuts as (
+  select c.lang, c.p, a, k, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f)::hugeint as score
+  from (select *, unnest(range(1, len(p))) as k from candidates) c
+  join counted l on l.lang = c.lang and l.p = c.p[:k]
+  join counted r on r.lang = c.lang and r.p = c.p[k + 1:]),
+scored as (
+  select lang, p, a, arg_min(l, (score, k)) as l, arg_min(r, (score, k)) as r, min(score)::bigint as score
+  from cuts group by lang, p, a),
+inner_parts as (
+  select lang, a, unnest([p[:len(p) - 1], p[2:]], max_depth := 1) as part from candidates where len(p) > 2
+  union all select lang, a, unnest([p[1:2], p[2:3], p[3:4]], max_depth := 1) from candidates where len(p) = 4),
+displaced as (
+  select distinct s.lang, s.p from scored s join inner_parts i on i.lang = s.lang and i.part = s.p
+  where 100 * i.a >= 80 * s.a),
+ranked as (
+  select lang, array_to_string(p, ' ') as phrase, a, l, r, score,
+         row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank
+  from scored where (lang, p) not in (select (lang, p) from displaced))
+select lang, rank::bigint as rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+ORACLES = {"op7_decontamination": OP7, "op5_mixing": OP5, "op6_quality_rules": OP6, "op11_collocations": OP11, "op12_merkle_manifest": OP12}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.collocations import collocations
 from factloom.llm.common import ascii_lower, read
 from factloom.llm.exact_substrings import deduplicate_substrings
 from factloom.llm.language_id import identify_languages
@@ -69,6 +70,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
     text = F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))
@@ -88,6 +93,7 @@ QUERIES = {
         op8_near_duplicates,
         op9_secret_scans,
         op10_license_scans,
+        op11_collocations,
         op12_merkle_manifest,
     )
 }
