@@ -40,7 +40,7 @@ BEST, DEEPER = 2 * TOP, 8
 # A bitmap of prefixes has so many bits, 4 MB, whatever the size of the corpus.
 BITS = 25
 # Characters of texts, and different phrases, that a task holds at once.
-AT_ONCE, HELD = 4_000_000, 1_500_000
+AT_ONCE, HELD = 2_000_000, 800_000
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,27 +130,33 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
     """``(lang, word, w, n)``: every word of every language with its hash and count."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list[pa.Table] = []
         for words, langs in read_words(batches, seed):
             value, first, n = np.unique(words.hash, return_index=True, return_counts=True)
-            for w, k, more in zip(value.view(np.int64).tolist(), first.tolist(), n.tolist(), strict=True):
-                if w in held:
-                    held[w][2] += more
-                else:
-                    held[w] = [langs[words.text[k]], words.word(k), more]
-            if len(held) > HELD:
-                yield word_rows(held)
-                held.clear()
+            held.append(
+                pa.table(
+                    {
+                        "lang": pa.array([langs[k] for k in words.text[first]]),
+                        "word": pa.array([words.word(k) for k in first]),
+                        "w": pa.array(value.view(np.int64)),
+                        "n": pa.array(n),
+                    }
+                )
+            )
+            if sum(len(h) for h in held) > 2 * HELD:
+                held = [words_tallied(held)]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches(200_000)
         if held:
-            yield word_rows(held)
+            yield from words_tallied(held).to_batches(200_000)
 
     rows = docs.mapInArrow(counted, "lang string, word string, w long, n long")
     return stage(rows.groupBy("lang", "word", "w").agg(F.sum("n").alias("n")), "words")
 
 
-def word_rows(held: dict[int, list]) -> pa.RecordBatch:
-    lang, word, n = zip(*held.values(), strict=True)
-    return pa.record_batch([pa.array(lang), pa.array(word), pa.array(held.keys()), pa.array(n)], ["lang", "word", "w", "n"])
+def words_tallied(parts: list[pa.Table]) -> pa.Table:
+    held = pa.concat_tables(parts).group_by(["lang", "word", "w"]).aggregate([("n", "sum")])
+    return held.rename_columns({"n_sum": "n"}).select(["lang", "word", "w", "n"])
 
 
 def tallied(parts: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
