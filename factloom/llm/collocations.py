@@ -258,8 +258,8 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """``(lang, w1, w2, a, f1, f2, score, l, r, bound)``."""
-    pairs = joined(pairs, renamed(words, lang="lang", w1="w", f1="n"), ["w1"])
-    pairs = joined(pairs, renamed(words, w2="w", f2="n"), ["w2"])
+    pairs = pairs.join(renamed(words, lang="lang", w1="w", f1="n"), "w1")
+    pairs = pairs.join(renamed(words, w2="w", f2="n"), "w2")
     best = cut([(F.col("f1"), F.col("f2"))])
     return stage(pairs.withColumn("_cut", best).select(
         "lang", "w1", "w2", "a", "f1", "f2", "_cut.score", "_cut.l", "_cut.r", bound(F.col("a"), F.col("f1")).alias("bound")
@@ -270,7 +270,7 @@ def score_triples(triples: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(lang, w1, w2, w3, a, f1, f3, score, l, r, bound)``."""
     start = renamed(pairs, lang="lang", w1="w1", w2="w2", f1="f1", f12="a")
     end = renamed(pairs, w2="w1", w3="w2", f23="a", f3="f2")
-    rows = joined(joined(triples, start, ["w1", "w2"]), end, ["w2", "w3"])
+    rows = triples.join(start, ["w1", "w2"]).join(end, ["w2", "w3"])
     best = cut([(F.col("f1"), F.col("f23")), (F.col("f12"), F.col("f3"))])
     return stage(rows.withColumn("_cut", best).select(
         "lang", "w1", "w2", "w3", "a", "f1", "f3", "_cut.score", "_cut.l", "_cut.r",
@@ -282,9 +282,9 @@ def join_fours(fours: DataFrame, pairs: DataFrame, triples: DataFrame) -> DataFr
     """The fours with the counts of their parts; a triple that was not counted is null."""
     start = renamed(pairs, lang="lang", w1="w1", w2="w2", f1="f1", f12="a")
     end = renamed(pairs, w3="w1", w4="w2", f34="a", f4="f2")
-    rows = joined(joined(fours, start, ["w1", "w2"]), end, ["w3", "w4"])
-    rows = joined(rows, renamed(triples, w1="w1", w2="w2", w3="w3", f123="a"), ["w1", "w2", "w3"], "left")
-    return joined(rows, renamed(triples, w2="w1", w3="w2", w4="w3", f234="a"), ["w2", "w3", "w4"], "left")
+    rows = fours.join(start, ["w1", "w2"]).join(end, ["w3", "w4"])
+    rows = rows.join(renamed(triples, w1="w1", w2="w2", w3="w3", f123="a"), ["w1", "w2", "w3"], "left")
+    return rows.join(renamed(triples, w2="w1", w3="w2", w4="w3", f234="a"), ["w2", "w3", "w4"], "left")
 
 
 def score_fours(rows: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def undisplaced(rows: DataFrame, longer: DataFrame, size: int) -> DataFrame:
     after = longer.select(*own, F.col("a").alias("_more"))
     before = longer.select(*[F.col(f"w{k + 2}").alias(f"w{k + 1}") for k in range(size)], F.col("a").alias("_more"))
     most = stage(after.unionAll(before).groupBy(*own).agg(F.max("_more").alias("_more")), "longer")
-    return joined(rows, most, own, "left").filter("_more is null or 5 * _more < 4 * a").drop("_more")
+    return rows.join(most, own, "left").filter("_more is null or 5 * _more < 4 * a").drop("_more")
 
 
 def levels_of(rows: DataFrame, depth: int) -> DataFrame:
@@ -341,7 +341,7 @@ def grow(docs: DataFrame, seed: int, pairs: DataFrame, levels: DataFrame, least:
     if not open_ends.isEmpty():
         ends = count_grams(docs, seed, 3, [(0, 3, bitmap(open_ends, ["w1", "w2", "w3"]))], True, least)
         ends = renamed(ends, w2="w1", w3="w2", w4="w3", _end="a")
-        fours = joined(fours, ends, ["w2", "w3", "w4"], "left").withColumn("f234", F.coalesce("f234", "_end"))
+        fours = fours.join(ends, ["w2", "w3", "w4"], "left").withColumn("f234", F.coalesce("f234", "_end"))
         fours = stage(fours.drop("_end"), "fours")
     found = [
         undisplaced(best_pairs, triples, 2).withColumn("words", F.array("w1", "w2")),
@@ -356,7 +356,7 @@ def in_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``rows`` with ``phrase``: the words of ``words``, joined by blanks."""
     for k in range(LONGEST):
         of = renamed(words, _w="w", **{f"_word{k}": "word"})
-        rows = joined(rows.withColumn("_w", F.get("words", F.lit(k))), of, ["_w"], "left").drop("_w")
+        rows = rows.withColumn("_w", F.get("words", F.lit(k))).join(of, "_w", "left").drop("_w")
     spelled = F.concat_ws(" ", *[F.col(f"_word{k}") for k in range(LONGEST)])
     return rows.withColumn("phrase", spelled).drop("words", *[f"_word{k}" for k in range(LONGEST)])
 
