@@ -13,6 +13,7 @@ from factloom.llm.license_scan import scan_licences
 from factloom.llm.line_frequency import apply_rules
 from factloom.llm.merkle import verified
 from factloom.llm.mixing import mix
+from factloom.llm.ngram_join import joined_documents
 from factloom.llm.order_minhash import near_duplicates
 from factloom.llm.positional_index import decontaminate
 from factloom.llm.quotations import as_mail, link_quotations
@@ -80,6 +81,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(read(spark, sf_dir, "documents"), {"text": text})
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,5 +100,6 @@ QUERIES = {
         op10_license_scans,
         op11_collocations,
         op12_merkle_manifest,
+        op13_jaccard_join,
     )
 }
