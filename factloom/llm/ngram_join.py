@@ -12,10 +12,12 @@ extended until all classes together stand one miss more than there can be. To ke
 combinations few, the tokens of a class are dealt by hash into parts, whose number
 follows from the size of the larger set, so that both sets have the same parts.
 
-Sets that share an entry of the index are compared by their tokens. Links join classes,
-and what is one class already needs no comparison: the sets of an entry are compared with
-one of them first (the first, then the ones that share most), which leaves few open
-pairs; all of these are compared, a large entry's in blocks.
+Sets that share an entry of the index are candidates. Bitmaps of their tokens give a
+least number of tokens that only one of two sets has; candidates that it does not rule
+out are compared token by token. Links join classes, and what is one class already needs
+no comparison: the sets of an entry are compared with one of them first (the first, then
+the one that shares most), then all that are in different classes still, a large entry's
+in blocks.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ K = 5
 # Two sets link if their similarity is HIGH / WHOLE or more.
 HIGH, WHOLE = 4, 5
 # Counters of the sketch of token counts (a byte each where it is broadcast), and its blocks.
-SLOTS, BLOCKS = 2**18, 64
+SLOTS, BLOCKS = 2**20, 64
 # A slot counts as frequent beyond so many sets over the usual load, or so many of its
 # standard deviations; as very frequent beyond so many times that.
 FREQUENT, DEVIATIONS, VERY = 64, 8, 64
@@ -155,7 +157,7 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
             columns += [pa.nulls(len(keys), f.type) for f in list(held)[3:]]
             yield pa.RecordBatch.from_arrays(columns, schema=held)
         if counts.any():
-            blocks = [c.tobytes() for c in counts.reshape(BLOCKS, -1)]
+            blocks = [c.astype(np.int32).tobytes() for c in counts.reshape(BLOCKS, -1)]
             columns = [pa.nulls(BLOCKS, f.type) for f in list(held)[:3]]
             columns += [pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, part, np.int32)), pa.array(blocks)]
             yield pa.RecordBatch.from_arrays(columns, schema=held)
@@ -166,13 +168,16 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
 def slot_counts(keyed: DataFrame) -> np.ndarray:
     """In how many sets the tokens of each slot are: a sum over tasks, in two steps."""
 
-    def added(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in rows["counts"].to_pylist())
-        return pa.table({"block": rows["block"][:1], "counts": pa.array([total.tobytes()])})
+    def adder(kind: type):
+        def added(rows: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(c, dtype=kind).astype(np.int64) for c in rows["counts"].to_pylist())
+            return pa.table({"block": rows["block"][:1], "counts": pa.array([total.tobytes()])})
+
+        return added
 
     counts = keyed.filter("block is not null").select("block", "part", "counts")
-    for on in (["block", "part"], ["block"]):
-        counts = counts.groupBy(*on).applyInArrow(added, "block int, counts binary")
+    counts = counts.groupBy("block", "part").applyInArrow(adder(np.int32), "block int, counts binary")
+    counts = counts.groupBy("block").applyInArrow(adder(np.int64), "block int, counts binary")
     out = np.zeros((BLOCKS, SLOTS // BLOCKS), dtype=np.int64)
     for block, held in counts.collect():  # SLOTS numbers
         out[block] = np.frombuffer(held, dtype=np.int64)
@@ -254,9 +259,33 @@ def joint(
             yield value, owner[at[first]]
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token or two, by the token's lowest bits: set by an odd number of tokens."""
+    bits = 1 << max(len(tokens) - 1, 63).bit_length()
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(one: np.ndarray, other: np.ndarray) -> int:
+    """The least number of tokens that only one of two sets has, by their bitmaps."""
+    while len(one) != len(other):
+        long, short = (one, other) if len(one) > len(other) else (other, one)
+        one, other = long[: len(long) // 2] ^ long[len(long) // 2 :], short
+    return int(np.bitwise_count(one ^ other).sum())
+
+
+def ruled_out(one: np.ndarray, other: np.ndarray, size_one: int, size_other: int) -> bool:
+    """Whether two sets can't be similar enough: both together must have ``WHOLE - HIGH``
+    of ``WHOLE + HIGH`` tokens apart at most."""
+    return (WHOLE + HIGH) * apart(one, other) > (WHOLE - HIGH) * (size_one + size_other)
+
+
 def indexed(docs: DataFrame, place: np.ndarray, kind: np.ndarray) -> DataFrame:
-    """``(doc_id, key, entries)`` of the rows, but for copies that the task has seen."""
-    schema = StructType([docs.schema["doc_id"], StructField("key", BinaryType()), StructField("entries", ArrayType(LongType()))])
+    """``(doc_id, key, size, bits, entries)`` of the rows, but for copies that the task has seen."""
+    schema = StructType([
+        docs.schema["doc_id"], StructField("key", BinaryType()), StructField("size", LongType()),
+        StructField("bits", BinaryType()), StructField("entries", ArrayType(LongType())),
+    ])
     held = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast((place, kind))
 
@@ -265,7 +294,7 @@ def indexed(docs: DataFrame, place: np.ndarray, kind: np.ndarray) -> DataFrame:
         seen: set[tuple] = set()
         for rows, tokens, sizes in read_sets(batches):
             ends = np.cumsum(sizes)
-            ids, chosen, keys = rows.column("doc_id").to_pylist(), [], []
+            ids, chosen, keys, bits = rows.column("doc_id").to_pylist(), [], [], []
             for k, (s, e) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
                 key = set_key(tokens[e - s : e]) if s else None
                 # Of copies the row of the least id is the one that is wanted later on.
@@ -273,6 +302,7 @@ def indexed(docs: DataFrame, place: np.ndarray, kind: np.ndarray) -> DataFrame:
                     seen.add((ids[k], key))
                     chosen.append(k)
                     keys.append(key)
+                    bits.append(bitmap(tokens[e - s : e]))
             if len(seen) > REMEMBERED:
                 seen.clear()
             if not chosen:
@@ -283,10 +313,9 @@ def indexed(docs: DataFrame, place: np.ndarray, kind: np.ndarray) -> DataFrame:
             by = np.argsort(owner, kind="stable")
             offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(chosen)))].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[by].view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").take(pa.array(chosen)), pa.array(keys, pa.binary()), lists.cast(held.field(2).type)],
-                schema=held,
-            )
+            columns = [rows.column("doc_id").take(pa.array(chosen)), pa.array(keys, pa.binary())]
+            columns += [pa.array(sizes[some].astype(np.int64)), pa.array(bits, pa.binary()), lists.cast(held.field(4).type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=held)
 
     return docs.mapInArrow(entries, schema)
 
@@ -334,16 +363,29 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stage(met, "tokens")
 
 
-def may_link(one: Column, other: Column) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return HIGH * F.greatest(one, other) <= WHOLE * F.least(one, other)
+def likely(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) that sizes and bitmaps do not rule out."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b = batch.column("_na").to_numpy(), batch.column("_nb").to_numpy()
+            one, other = batch.column("_one").to_pylist(), batch.column("_two").to_pylist()
+            keep = [
+                not ruled_out(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, m)
+                for x, y, n, m in zip(one, other, size_a.tolist(), size_b.tolist(), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = index.select("node", "size", "bits")
+    sizes = index.select("node", "size")
+    pairs = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b")
+    pairs = pairs.filter(HIGH * F.greatest("_na", "_nb") <= WHOLE * F.least("_na", "_nb")).select("a", "b")
+    met = pairs.join(held.toDF("a", "_na", "_one"), "a").join(held.toDF("b", "_nb", "_two"), "b")
+    return stage(met.mapInArrow(kept, "a long, b long").distinct(), "likely")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets are similar enough."""
-    sizes = nodes.select("node", "size")
-    pairs = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b")
-    pairs = stage(pairs.filter(may_link(F.col("_na"), F.col("_nb"))).select("a", "b"), "pairs")
+    """The pairs (``a``, ``b``) whose sets are similar enough, compared by their tokens."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     tokens = wanted_sets(docs, stage(nodes.join(ends, "node"), "wanted"))
     met = pairs.join(tokens.toDF("a", "_na", "_one"), "a").join(tokens.toDF("b", "_nb", "_two"), "b")
@@ -377,7 +419,7 @@ def centres(rows: DataFrame, first: bool) -> DataFrame:
     return stage(found.select("entry", F.col("_c.node").alias("a"), F.col("_c.class").alias("_class")), "centres")
 
 
-def links_of(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def links_of(members: DataFrame, index: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """``(node, component)`` of all sets that link another one, or None.
 
     ``members`` has ``(entry, node)`` of the entries with several sets.
@@ -385,44 +427,46 @@ def links_of(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     links = labels = None
     rows = members
 
-    def add(more: DataFrame) -> None:
+    def add(pairs: DataFrame) -> None:
         nonlocal links, labels
-        links = more if links is None else links.unionAll(more)
+        found = linked(pairs, docs, nodes)
+        links = found if links is None else links.unionAll(found)
         labels = components(links)
 
-    for first in (True, False, False):
+    for first in (True, False):
         rows = classed(rows, labels)
         if rows.isEmpty():
             return labels
         middle = centres(rows, first)
         met = rows.join(middle, "entry").filter("node <> a")
         pairs = met.filter("class <> _class").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        add(linked(pairs.distinct(), docs, nodes))
+        add(likely(pairs.distinct(), index))
         # What a centre was compared with needs no other comparison with it.
         rows = met.select("entry", "node")
     rows = classed(rows, labels)
-    if rows.isEmpty():
-        return labels
+    if not rows.isEmpty():
+        add(open_pairs(rows, index))
+    return labels
+
+
+def open_pairs(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``(a, b)``: the likely pairs of different classes in each entry of ``rows``."""
     sizes = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("_n"))
     rows = stage(rows.join(sizes, "entry"), "sized")
     few = rows.filter(F.col("_n") <= FEW).select("entry", "node", "class")
     pairs = few.join(few.toDF("entry", "b", "_class"), "entry").filter("node < b and class <> _class")
-    add(linked(pairs.select(F.col("node").alias("a"), "b").distinct(), docs, nodes))
-    rows = classed(rows.filter(F.col("_n") > FEW).select("entry", "node"), labels)
-    if not rows.isEmpty():
-        add(linked_in_blocks(rows, docs, nodes))
-    return labels
+    pairs = likely(pairs.select(F.col("node").alias("a"), "b").distinct(), index)
+    large = rows.filter(F.col("_n") > FEW).drop("_n")
+    return pairs.unionAll(pairs_in_blocks(large, index)).distinct()
 
 
-def linked_in_blocks(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links that join all sets of different classes that are similar in one of their entries.
+def pairs_in_blocks(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """The likely pairs of entries with very many sets.
 
     An entry's sets are dealt into blocks, and every two blocks meet in one task.
     """
-    ends = rows.select("node").distinct()
-    tokens = wanted_sets(docs, stage(nodes.join(ends, "node"), "wanted"))
     entries = rows.groupBy("node").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
-    held = stage(tokens.join(entries, "node"), "held")
+    held = stage(index.select("node", "size", "bits").join(entries, "node"), "held")
     counts = rows.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     dealt = rows.join(counts, "entry").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     others = F.transform(
@@ -435,9 +479,8 @@ def linked_in_blocks(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> Data
 
     def compared(table: pa.Table) -> pa.Table:
         entry, i, j = (table[c][0].as_py() for c in ("entry", "i", "j"))
-        node, block = table["node"].to_numpy(), table["_block"].to_numpy()
-        _, group = np.unique(table["class"].to_numpy(), return_inverse=True)
-        sets = [np.array(t, dtype=np.int64) for t in table["tokens"].to_pylist()]
+        node, block, group = (table[c].to_numpy() for c in ("node", "_block", "class"))
+        bits = [np.frombuffer(b, dtype=np.uint8) for b in table["bits"].to_pylist()]
         known = [set(e) for e in table["entries"].to_pylist()]
         size = table["size"].to_numpy()
         found = []
@@ -445,18 +488,14 @@ def linked_in_blocks(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> Data
             rest = np.flatnonzero(block == j) if i != j else np.arange(x + 1, len(node))
             near = HIGH * np.maximum(size[rest], size[x]) <= WHOLE * np.minimum(size[rest], size[x])
             for y in rest[near & (group[rest] != group[x])]:
-                # A pair is compared in the first of the entries it shares.
-                if group[x] == group[y] or min(known[x] & known[y]) != entry:
-                    continue
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if WHOLE * common >= HIGH * (size[x] + size[y] - common):
-                    found.append((node[x], node[y]))
-                    group[group == group[y]] = group[x]
+                # A pair is looked at in the first of the entries it shares.
+                if min(known[x] & known[y]) == entry and not ruled_out(bits[x], bits[y], size[x], size[y]):
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     met = sides.join(held, "node").groupBy("entry", "i", "j")
-    return stage(met.applyInArrow(compared, "a long, b long"), "links")
+    return stage(met.applyInArrow(compared, "a long, b long"), "open-pairs")
 
 
 def joined_documents(docs: DataFrame) -> DataFrame:
@@ -475,14 +514,15 @@ def joined_documents(docs: DataFrame) -> DataFrame:
     place, kind = ranks(slot_counts(keyed))
     rows = keyed.filter("block is null").select("doc_id", "n_shingles", "key")
     some = rows.filter("key is not null")
-    nodes = some.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"))
+    nodes = some.groupBy("key").agg(F.min("doc_id").alias("first"))
     nodes = stage(numbered(nodes, [F.col("key")], "node"), "nodes")
     own = indexed(docs, place, kind).join(nodes.select("key", "first", "node"), "key")
-    own = own.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "entries")
-    index = stage(own, "index").select("node", F.explode("entries").alias("entry"))
-    several = index.groupBy("entry").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
-    members = index.join(several.filter("_low <> _high").select("entry"), "entry")
-    labels = links_of(stage(members.select("entry", "node").distinct(), "members"), docs, nodes)
+    own = own.filter(F.col("doc_id").eqNullSafe(F.col("first"))).drop("doc_id", "key", "first")
+    index = stage(own, "index")  # rows that repeat id and text may stand there twice, to no effect
+    entries = index.select("node", F.explode("entries").alias("entry"))
+    several = entries.groupBy("entry").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
+    members = entries.join(several.filter("_low <> _high").select("entry"), "entry")
+    labels = links_of(stage(members.select("entry", "node").distinct(), "members"), index, docs, nodes)
     if labels is None:
         nodes = nodes.withColumn("component", F.col("node"))
     else:

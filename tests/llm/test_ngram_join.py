@@ -108,7 +108,24 @@ def test_no_texts(spark):
     assert J.joined_documents(docs.limit(0)).collect() == []
 
 
-def test_blocks_of_an_entry_give_all_links(spark):
+def test_bitmaps_rule_out_no_similar_sets():
+    rng = np.random.default_rng(11)
+    ruled = 0
+    for _ in range(400):
+        base = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)
+        one = np.unique(base[rng.random(len(base)) > rng.choice([0, 0.05, 0.3])])
+        other = np.union1d(base[rng.random(len(base)) > 0.08], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64))
+        bits = [np.frombuffer(J.bitmap(t), np.uint8) for t in (one, other)]
+        common = len(np.intersect1d(one, other))
+        assert J.apart(*bits) <= len(one) + len(other) - 2 * common
+        similar = 100 * common >= 80 * (len(one) + len(other) - common)
+        out = J.ruled_out(*bits, len(one), len(other))
+        assert not (similar and out)
+        ruled += out
+    assert ruled > 50
+
+
+def test_blocks_of_an_entry_give_all_pairs(spark):
     drawn = random.Random(9)
     base = [f"v{k}" for k in range(60)]
     rows = []
@@ -118,14 +135,11 @@ def test_blocks_of_an_entry_give_all_links(spark):
             words[at] = f"u{k}-{at}"
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    keyed = J.keyed_sets(docs).filter("block is null")
-    nodes = J.stage(keyed.select(J.F.col("doc_id").alias("node"), J.F.col("doc_id").alias("first"), "key"), "nodes")
+    index = J.indexed(docs, np.zeros(J.SLOTS, dtype=np.uint8), np.ones(J.SLOTS, dtype=np.uint8))
+    index = J.stage(index.withColumnRenamed("doc_id", "node").drop("key", "entries"), "index")
     entries = spark.createDataFrame([(e, k, k) for e in (1, 2) for k in range(40)], "entry long, node long, class long")
-    links = {tuple(r) for r in J.linked_in_blocks(entries, docs, nodes).collect()}
-    group = {k: k for k in range(40)}
-    for a, b in links:
-        old, new = group[b], group[a]
-        group = {k: new if g == old else g for k, g in group.items()}
-    expected = {r[0]: r[2] for r in brute(rows)}
-    assert len(set(group.values())) == len(set(expected.values()))
-    assert all((group[a] == group[b]) == (expected[a] == expected[b]) for a, b in combinations(range(40), 2))
+    got = [tuple(r) for r in J.pairs_in_blocks(entries, index).collect()]
+    assert len(got) == len(set(got))
+    sets = [shingles(r[1]) for r in rows]
+    similar = {(a, b) for a, b in combinations(range(40), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert similar and similar <= set(got)
