@@ -44,11 +44,15 @@ def phrase_iob(
     hits side by side are two chunks, unless ``join_adjacent``, where the second
     carries on the first.
     """
+    listed = F.transform(
+        phrases, lambda p, k: F.struct(p["phrase"].alias("phrase"), k.alias("k"), p["tag"].alias("tag"))
+    )
     return let(
         F.struct(
             words.alias("words"),
-            phrases["phrase"].alias("phrases"),
-            phrases["tag"].alias("tags"),
+            # Taken out once: each look at a field of an array of structs would copy it.
+            F.array_sort(listed).alias("phrases"),
+            F.array_sort(listed)["phrase"].alias("texts"),
             # How many words the longest phrase has.
             (
                 F.coalesce(
@@ -65,65 +69,121 @@ def phrase_iob(
         ),
         lambda s: F.when(
             F.size(s["phrases"]) == 0, F.transform(s["words"], lambda w: F.lit("O"))
-        ).otherwise(
-            let(
-                _chosen(_candidates(s, longest_first)),
-                lambda spans: _labels(s["words"], spans, join_adjacent),
-            )
+        ).otherwise(span_iob(s["words"], _candidates(s, longest_first), join_adjacent)),
+    )
+
+
+def span_iob(words: Column, candidates: Column, join_adjacent: bool = False) -> Column:
+    """IOB labels of ``words`` from ``candidates``, from left to right.
+
+    ``candidates`` has an element for each word: null, or the span that begins there,
+    ``struct<at, until, tag>``. A span is taken unless one taken before it reaches
+    into it. The cost is that of sorting the words, however many spans overlap.
+    """
+    return let(
+        F.struct(words.alias("words"), candidates.alias("candidates")),
+        lambda s: let(
+            _chosen(s["candidates"]), lambda spans: _labels(s["words"], spans, join_adjacent)
         ),
     )
 
 
+# Up to so many phrases a sentence's list of them is looked through, beyond it is bisected.
+_LOOKED_THROUGH = 24
+
+
 def _candidates(s: Column, longest_first: bool) -> Column:
-    """``array<struct<at, until, tag>>``: for each word, the span tried first that hits."""
+    """``array<struct<at, until, tag>>``: for each word, the span tried first that hits, or null."""
+    phrases, texts = s["phrases"], s["texts"]
+
+    def bisected(gram: Column) -> Column:
+        """The place of the first phrase that is not below ``gram``, from 0."""
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(phrases) + 1)).cast("int"))
+
+        def halve(state: Column, _: Column) -> Column:
+            middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+            below = F.get(texts, middle) < gram
+            return F.struct(
+                F.when(below, middle + 1).otherwise(state["low"]).alias("low"),
+                F.when(below, state["high"]).otherwise(middle).alias("high"),
+            )
+
+        start = F.struct(F.lit(0).alias("low"), F.size(phrases).alias("high"))
+        return F.aggregate(
+            steps,
+            start,
+            lambda state, step: F.when(state["low"] < state["high"], halve(state, step)).otherwise(state),
+            lambda state: state["low"],
+        )
+
+    def place(gram: Column) -> Column:
+        return F.when(
+            F.size(phrases) <= _LOOKED_THROUGH, F.array_position(texts, gram).cast("int") - 1
+        ).otherwise(let(gram, bisected))
 
     def span(word: Column, i: Column) -> Column:
         lengths = F.sequence(F.lit(1), F.least(s["longest"], F.size(s["words"]) - i))
         if longest_first:
             lengths = F.reverse(lengths)
-        hits = F.filter(
-            F.transform(
-                lengths,
-                lambda n: F.struct(
-                    n.alias("n"),
-                    F.array_position(
-                        s["phrases"], F.array_join(F.slice(s["words"], i + 1, n), " ")
-                    ).alias("which"),
-                ),
-            ),
-            lambda h: h["which"] > 0,
-        )
-        return let(
-            F.get(hits, F.lit(0)),
-            lambda hit: F.when(
-                hit.isNotNull(),
-                F.struct(
-                    i.alias("at"),
-                    (i + hit["n"]).alias("until"),
-                    F.get(s["tags"], (hit["which"] - 1).cast("int")).alias("tag"),
+
+        def tried(n: Column) -> Column:
+            gram = F.array_join(F.slice(s["words"], i + 1, n), " ")
+            return let(
+                gram,
+                lambda g: let(
+                    F.get(phrases, place(g)),
+                    lambda found: F.when(
+                        found["phrase"] == g,
+                        F.struct(i.alias("at"), (i + n).alias("until"), found["tag"].alias("tag")),
+                    ),
                 ),
-            ),
+            )
+
+        hits = F.filter(F.transform(lengths, tried), lambda h: h.isNotNull())
+        return F.get(hits, F.lit(0))
+
+    return F.transform(s["words"], span)
+
+
+def _chosen(candidates: Column) -> Column:
+    """Of each word's span or null, the spans met on the way from the first word.
+
+    The way goes from a word to the end of its span, or to the next word. Jumps of 2, 4,
+    8, … steps are made of jumps of half the length; from the longest jump down, the
+    words half-way between those known to be on the way are put between them. (A fold
+    that keeps a list of spans copies the list at each of them.)
+    """
+
+    def walked(spans: Column) -> Column:
+        end = F.size(spans)
+        step = F.transform(spans, lambda c, i: F.coalesce(c["until"], i + 1))
+        levels = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(end + 1)).cast("int"), F.lit(1)))
+        jumps = F.aggregate(
+            levels,
+            F.array(step),
+            lambda held, level: F.concat(held, F.array(let(F.get(held, level - 1), twice))),
         )
 
-    return F.filter(F.transform(s["words"], span), lambda c: c.isNotNull())
+        def between(way: Column, jump: Column) -> Column:
+            both = F.flatten(F.transform(way, lambda at: F.array(at, F.get(jump, at))))
+            return F.filter(both, lambda at: at < end)
 
+        way = F.aggregate(F.reverse(jumps), F.array(F.lit(0)), between)
+        return F.filter(F.transform(way, lambda at: F.get(spans, at)), lambda c: c.isNotNull())
 
-_SPANS = "array<struct<at:int,until:int,tag:string>>"
+    def twice(jump: Column) -> Column:
+        return F.transform(jump, lambda to: F.coalesce(F.get(jump, to), to))
 
+    def apart(spans: Column) -> Column:
+        """Whether no span reaches into the next."""
+        return F.forall(
+            F.transform(spans, lambda c, k: F.coalesce(F.get(spans, k + 1)["at"] >= c["until"], F.lit(True))),
+            lambda free: free,
+        )
 
-def _chosen(candidates: Column) -> Column:
-    """Walk the candidates in text order; keep each that starts where the last ended or later."""
-    start = F.struct(F.lit(0).alias("free"), F.array().cast(_SPANS).alias("kept"))
-    return F.aggregate(
-        candidates,
-        start,
-        lambda state, c: F.when(
-            c["at"] >= state["free"],
-            F.struct(
-                c["until"].alias("free"), F.concat(state["kept"], F.array(c)).alias("kept")
-            ),
-        ).otherwise(state),
-        lambda state: state["kept"],
+    return let(
+        F.struct(candidates.alias("all"), F.filter(candidates, lambda c: c.isNotNull()).alias("some")),
+        lambda s: F.when(apart(s["some"]), s["some"]).otherwise(walked(s["all"])),
     )
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ def labels(spark, text, patterns, **options):
     return gazetteer_sentences(df, patterns, **options).first()["iob"]
 
 
-def test_golden_example(spark):
-    patterns = [("Αθήνα[ς]?", "LOC"), ("Νομική[ς]? [Σσ]χολή[ς]?", "ORG")]
-    text = "Η Νομική σχολή της Αθήνας"
-    assert labels(spark, text, patterns) == ["O", "B-ORG", "I-ORG", "O", "B-LOC"]
+def test_words_of_other_scripts_and_forms(spark):
+    patterns = [("рек[аеи]", "WATER"), ("[Бб]ольш(ой|ая) камень", "ROCK")]
+    text = "У реки лежит большой камень"
+    assert labels(spark, text, patterns) == ["O", "B-WATER", "O", "B-ROCK", "I-ROCK"]
 
 
 def test_shortest_first(spark):
@@ -93,3 +94,23 @@ def test_triples(spark):
     df = spark.createDataFrame([(1, 0, "ant eats bee and cat")], "doc_id long, sent_no int, sentence string")
     row = gazetteer_triples(df, [("ant|bee|cat", "T")]).first()
     assert [tuple(t) for t in row["triples"]] == [("ant/NN", "eats/NN", "bee/NN")]
+
+
+def test_very_many_hits_and_phrases_take_no_square(spark):
+    drawn = random.Random(4)
+    words = [f"w{drawn.randint(0, 9_000)}" for _ in range(20_000)]
+    listed = [(f"w{k} w{drawn.randint(0, 9_000)}", f"T{k % 3}") for k in range(0, 9_000, 2)]
+    listed += [(f"{words[k]} {words[k + 1]} {words[k + 2]}", "L") for k in range(0, 10_000, 2)]
+    listed += [(f"w{k}", "S") for k in range(0, 9_000, 3)]
+    df = spark.createDataFrame([(words, listed)], "words array<string>, phrases array<struct<phrase string, tag string>>").cache()
+    small = df.select(F.slice("words", 1, 50).alias("words"), "phrases")
+
+    def found(of):
+        return of.select(G.phrase_iob(F.col("words"), F.col("phrases"), longest_first=True).alias("iob")).first()["iob"]
+
+    found(small)
+    began = time.monotonic()
+    got = found(df)
+    assert time.monotonic() - began < 10
+    assert got == plain_labels(words, listed, True, False)
+    assert sum(label.startswith("B-") for label in got) > 7_000
