@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.catalog.tables import documents, table
+from factloom.functions.text import tokenize_wordpunct
 from factloom.operators.dictionary import build_dictionary
 from factloom.operators.sentences import sentences_of
 from factloom.schema import DICTIONARY
@@ -109,3 +110,17 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fulltext",
         "abstract",
     )
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of how the sentences begin: their first two and first three words."""
+    words = sentences(spark, sf_dir).select(tokenize_wordpunct(F.col("sentence")).alias("_words"))
+    both = words.select(
+        F.explode(
+            F.array(
+                F.struct(F.array_join(F.slice("_words", 1, 2), " ").alias("name"), F.lit("TWO").alias("tag")),
+                F.struct(F.array_join(F.slice("_words", 1, 3), " ").alias("name"), F.lit("WIDE").alias("tag")),
+            )
+        ).alias("_name")
+    )
+    return both.select("_name.*").distinct()

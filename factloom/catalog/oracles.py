@@ -223,20 +223,7 @@ def phrases() -> str:
 
 # Spans that start at each word, shortest first; from a kept span the next one is
 # the first that starts at its end or later.
-GAZETTEER = f"""{phrases()},
-first_phr AS (
-  SELECT doc_id, sent_no, phrase, arg_min(tag, rank) AS tag FROM phr GROUP BY ALL),
-wl AS (
-  SELECT doc_id, sent_no, regexp_extract_all(sentence, {WORDPUNCT}) AS w FROM sents),
-tok AS (
-  SELECT doc_id, sent_no, unnest(range(len(w))) AS tok_no, unnest(w) AS word, w FROM wl),
-span AS (
-  SELECT t.doc_id, t.sent_no, t.tok_no AS a, t.tok_no + k.n AS z, p.tag,
-         row_number() OVER (PARTITION BY t.doc_id, t.sent_no, t.tok_no ORDER BY k.n) AS r
-  FROM tok t, (SELECT unnest([1, 2]) AS n) k, first_phr p
-  WHERE p.doc_id = t.doc_id AND p.sent_no = t.sent_no AND t.tok_no + k.n <= len(t.w)
-    AND p.phrase = array_to_string(list_slice(t.w, t.tok_no + 1, t.tok_no + k.n), ' ')),
-cand AS (SELECT doc_id, sent_no, a, z, tag FROM span WHERE r = 1),
+WALK = """cand AS (SELECT doc_id, sent_no, a, z, tag FROM span WHERE r = 1),
 nxt AS (
   SELECT c.*, min(d.a) AS next_a FROM cand c
   LEFT JOIN cand d ON d.doc_id = c.doc_id AND d.sent_no = c.sent_no AND d.a >= c.z
@@ -254,6 +241,41 @@ tagg AS (
   FROM tok t LEFT JOIN kept k
     ON k.doc_id = t.doc_id AND k.sent_no = t.sent_no AND t.tok_no >= k.a AND t.tok_no < k.z)"""
 
+GAZETTEER = f"""{phrases()},
+first_phr AS (
+  SELECT doc_id, sent_no, phrase, arg_min(tag, rank) AS tag FROM phr GROUP BY ALL),
+wl AS (
+  SELECT doc_id, sent_no, regexp_extract_all(sentence, {WORDPUNCT}) AS w FROM sents),
+tok AS (
+  SELECT doc_id, sent_no, unnest(range(len(w))) AS tok_no, unnest(w) AS word, w FROM wl),
+span AS (
+  SELECT t.doc_id, t.sent_no, t.tok_no AS a, t.tok_no + k.n AS z, p.tag,
+         row_number() OVER (PARTITION BY t.doc_id, t.sent_no, t.tok_no ORDER BY k.n) AS r
+  FROM tok t, (SELECT unnest([1, 2]) AS n) k, first_phr p
+  WHERE p.doc_id = t.doc_id AND p.sent_no = t.sent_no AND t.tok_no + k.n <= len(t.w)
+    AND p.phrase = array_to_string(list_slice(t.w, t.tok_no + 1, t.tok_no + k.n), ' ')),
+{WALK}"""
+
+NAMES = f"""{SENTS},
+wl AS (
+  SELECT doc_id, sent_no, regexp_extract_all(sentence, {WORDPUNCT}) AS w FROM sents),
+tok AS (
+  SELECT doc_id, sent_no, unnest(range(len(w))) AS tok_no, unnest(w) AS word, w FROM wl),
+listed AS (
+  SELECT array_to_string(w[1:2], ' ') AS phrase, least(len(w), 2) AS n, 'TWO' AS tag FROM wl WHERE len(w) > 0
+  UNION ALL
+  SELECT array_to_string(w[1:3], ' '), least(len(w), 3), 'WIDE' FROM wl WHERE len(w) > 0),
+name AS (SELECT phrase, n, min(tag) AS tag FROM listed GROUP BY ALL),
+gram AS (
+  SELECT doc_id, sent_no, tok_no, k.n, array_to_string(w[tok_no + 1:tok_no + k.n], ' ') AS phrase
+  FROM tok, (SELECT unnest([1, 2, 3]) AS n) k WHERE tok_no + k.n <= len(w)),
+hit AS (
+  SELECT doc_id, sent_no, tok_no, n, phrase, tag FROM gram JOIN name USING (phrase, n)),
+span AS (
+  SELECT doc_id, sent_no, tok_no AS a, tok_no + n AS z, tag,
+         row_number() OVER (PARTITION BY doc_id, sent_no, tok_no ORDER BY n) AS r FROM hit)"""
+
+
 NAMED = f"""{TOKENS},
 tagi AS (
   SELECT *, CASE WHEN NOT regexp_matches(word, '^\\p{{Lu}}') THEN 'O'
@@ -407,6 +429,10 @@ SELECT doc_id, sent_no, subj, filler, obj FROM rel WHERE regexp_matches(filler,
     "triples_all": with_all_sentences(chunked(NAMED), "TRUE", "n"),
     "gazetteer_phrases": f"WITH {phrases()} SELECT doc_id, sent_no, phrase, tag FROM phr",
     "gazetteer_iob": f"""WITH RECURSIVE {GAZETTEER}
+SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagg GROUP BY ALL""",
+    "gazetteer_names": f"""WITH {NAMES}
+SELECT doc_id, sent_no, tok_no AS at, CAST(n AS BIGINT) AS n, phrase, tag FROM hit""",
+    "gazetteer_names_iob": f"""WITH RECURSIVE {NAMES}, {WALK}
 SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagg GROUP BY ALL""",
     "triples_gazetteer": with_all_sentences(
         chunked(f"{GAZETTEER},\ntagp AS (SELECT *, {POS_CASE} AS pos FROM tagg)", "tagp"), "TRUE", "n"

@@ -17,7 +17,7 @@ from factloom.functions import gazetteer as G
 from factloom.functions import text as X
 from factloom.functions.tags import rule_tags, verb_phrase_iob
 from factloom.functions.xml import parse_articles
-from factloom.operators import chunking, dictionary, relations, rows, tagging, vocabulary
+from factloom.operators import chunking, dictionary, names, relations, rows, tagging, vocabulary
 from factloom.operators.sentences import (
     explode_column,
     explode_rows,
@@ -549,6 +549,21 @@ def triples_gazetteer(spark, sf_dir):
     )
 
 
+@query
+def gazetteer_names(spark, sf_dir):
+    listed = names.build_names(D.names(spark, sf_dir))
+    found = names.match_names(D.sentences(spark, sf_dir), listed)
+    return found.select(
+        *key(), F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "phrase", "tag"
+    )
+
+
+@query
+def gazetteer_names_iob(spark, sf_dir):
+    listed = names.build_names(D.names(spark, sf_dir))
+    return names.label_names(D.sentences(spark, sf_dir), listed).select(*key(), joined("iob").alias("iob"))
+
+
 # --- whole --------------------------------------------------------------------
 
 
