@@ -195,6 +195,22 @@ tagn AS (
   FROM cf JOIN best USING (doc_id, sent_no, tok_no))"""
 
 
+# The same with a model of the English documents, tagging all others.
+NB_UNSEEN = (
+    NB_TAGGED.replace(
+        f"lf AS ({long_features('cf', 'iob AS label')})",
+        "cfen AS (SELECT cf.* FROM cf JOIN documents USING (doc_id) WHERE lang = 'en'),\n"
+        "cfot AS (SELECT cf.* FROM cf JOIN documents USING (doc_id) WHERE lang <> 'en'),\n"
+        f"lf AS ({long_features('cfen', 'iob AS label')})",
+    )
+    .replace("count(*) AS total FROM cf ", "count(*) AS total FROM cfen ")
+    .replace(
+        f"lft AS ({long_features('cf', 'doc_id, sent_no, tok_no')})",
+        f"lft AS ({long_features('cfot', 'doc_id, sent_no, tok_no')})",
+    )
+)
+
+
 def spelled_triples(filter_sql: str = "TRUE") -> str:
     return (
         "string_agg(subj || ' > ' || filler || ' > ' || obj, '|' ORDER BY chunk_no) "
@@ -418,6 +434,8 @@ SELECT fname, fval, label, n, round(ln((n + 0.5) / (total + 0.5 * bins)), 6) AS
 FROM nbc JOIN nbl USING (label) JOIN nbb USING (fname)
 UNION ALL SELECT '', '', label, total, round(logp, 6) FROM prior""",
     "nb_tag": f"""WITH {NB_TAGGED}
+SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagn GROUP BY ALL""",
+    "nb_tag_unseen": f"""WITH {NB_UNSEEN}
 SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagn GROUP BY ALL""",
     "chunk_iob": f"WITH {chunked()} SELECT doc_id, sent_no, chunk_no, label, text, gap_after FROM chunk",
     "relations": f"WITH {chunked()} SELECT doc_id, sent_no, chunk_no, subj, filler, obj FROM rel",

@@ -482,6 +482,18 @@ def nb_tag(spark, sf_dir):
     return found.select(*key(), joined("iob").alias("iob"))
 
 
+@query
+def nb_tag_unseen(spark, sf_dir):
+    """The model is learned from the English documents, so the others have values it lacks."""
+    english = documents(spark, sf_dir).select("doc_id", (F.col("lang") == "en").alias("english"))
+    sentences = tagged(spark, sf_dir).join(english, "doc_id")
+    features = chunking.chunk_features(sentences.filter("english"))
+    model = chunking.load_chunker(stage(chunking.train_chunker(features), "model"))
+    others = chunking.chunk_features(sentences.filter("not english").drop("iob"), placed=False)
+    found = tagging.gather_tokens(chunking.tag_chunks(others, model), ["word", "iob"])
+    return found.select(*key(), joined("iob").alias("iob"))
+
+
 @query
 def chunk_iob(spark, sf_dir):
     found = relations.chunk_rows(relations.with_chunks(tagged(spark, sf_dir)))

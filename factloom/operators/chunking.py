@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.context import following, previous, tags_since
-from factloom.operators.lookup import fits_broadcast, lookup_join
+from factloom.operators.lookup import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, lookup_join
 from factloom.operators.sentences import SENTENCE_KEY, explode_rows
 from factloom.staging import stage
 
@@ -137,19 +137,32 @@ def log_probabilities(model: DataFrame) -> DataFrame:
     return values.unionByName(priors)
 
 
+# The features that only look at a token's tag and its neighbours' tags.
+CONTEXT = {"prevpos": "prevpos", "pos": "pos", "nextpos": "nextpos"}
+# So many combinations of these three are scored beforehand, all of them or none.
+MAX_CONTEXTS = 1_000_000
+# Stands for a tag that the model has not seen.
+UNSEEN = "\0"
+
+
 @dataclass
 class ChunkModel:
     """A model made ready for tagging.
 
     ``table`` has ``(fname, fval, l0, l1, …)``: the log probability of a value under
     each label. ``unseen`` holds, per feature name, that of a value without a row.
+    ``contexts`` has ``(prevpos, pos, nextpos, l0, l1, …)``: what the features made of
+    these three add up to, for each combination of the tags ``seen`` in each place; None
+    if there are too many. ``broadcast`` says of each feature if its values may be.
     """
 
     labels: list[str]
     priors: list[float]
     unseen: dict[str, list[float]]
     table: DataFrame
-    broadcast: bool
+    broadcast: dict[str, bool]
+    contexts: DataFrame | None
+    seen: dict[str, list[str]]
 
 
 def load_chunker(model: DataFrame, max_labels: int = 256) -> ChunkModel:
@@ -183,18 +196,55 @@ def load_chunker(model: DataFrame, max_labels: int = 256) -> ChunkModel:
         ),
         "chunker",
     )
+    unseen = {
+        name: [math.log(SMOOTHING / (n + SMOOTHING * size)) for n in totals.values()]
+        for name, size in bins.items()
+    }
+    contexts, seen = None, {}
+    if math.prod(bins[name] + 1 for name in CONTEXT) <= MAX_CONTEXTS:
+        # That is a few hundred tags at most.
+        for name, fval in table.filter(F.col("fname").isin(list(CONTEXT))).select("fname", "fval").collect():
+            seen.setdefault(name, []).append(fval)
+        contexts = stage(_contexts(table, seen, unseen), "contexts")
     return ChunkModel(
         labels=list(totals),
         priors=[math.log((n + SMOOTHING) / everything) for n in totals.values()],
-        unseen={
-            name: [math.log(SMOOTHING / (n + SMOOTHING * size)) for n in totals.values()]
-            for name, size in bins.items()
-        },
+        unseen=unseen,
         table=table,
-        broadcast=fits_broadcast(table),
+        broadcast=_broadcasts(table),
+        contexts=contexts,
+        seen=seen,
     )
 
 
+def _broadcasts(table: DataFrame) -> dict[str, bool]:
+    """Of each feature, whether its values are within the bounds of a broadcast."""
+    labels = len(table.columns) - 2
+    width = F.octet_length("fval") + 16 * (labels + 1)
+    sizes = table.groupBy("fname").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).collect()
+    return {r["fname"]: r["n"] <= MAX_BROADCAST_ROWS and r["size"] <= MAX_BROADCAST_BYTES for r in sizes}
+
+
+def _contexts(table: DataFrame, seen: dict[str, list[str]], unseen: dict[str, list[float]]) -> DataFrame:
+    """The table ``contexts`` of a model: every combination of seen tags, and unseen ones."""
+    tags = {name: F.explode(F.array(*[F.lit(t) for t in [*seen[name], UNSEEN]])) for name in CONTEXT}
+    rows = table.sparkSession.range(1).select()
+    for name, each in tags.items():
+        rows = rows.select("*", each.alias(name))
+    rows = rows.withColumns({
+        "prevpos+pos": F.concat_ws("+", "prevpos", "pos"), "pos+nextpos": F.concat_ws("+", "pos", "nextpos")
+    })
+    labels = range(len(unseen["pos"]))
+    scores = [F.lit(0.0) for _ in labels]
+    for f, name in enumerate([*CONTEXT, "prevpos+pos", "pos+nextpos"]):
+        lookup = table.filter(F.col("fname") == name).select(
+            F.col("fval").alias(name), *[F.col(f"l{i}").alias(f"_f{f}_{i}") for i in labels]
+        )
+        rows = rows.join(lookup, name, "left")
+        scores = [score + F.coalesce(f"_f{f}_{i}", F.lit(unseen[name][i])) for i, score in enumerate(scores)]
+    return rows.select(*CONTEXT, *[score.alias(f"l{i}") for i, score in enumerate(scores)])
+
+
 def _labels(model: DataFrame, max_labels: int) -> list[str]:
     found = model.select("label").distinct().orderBy("label").limit(max_labels + 1).collect()
     if len(found) > max_labels:
@@ -205,13 +255,27 @@ def _labels(model: DataFrame, max_labels: int) -> list[str]:
 def tag_chunks(features: DataFrame, model: ChunkModel) -> DataFrame:
     """Add ``iob``: the most probable label of each token, ties to the last label.
 
-    Each feature is one lookup join that brings one column per label; a value the
-    model has not seen gets the smoothed zero. Nothing is shuffled while the model
-    is small enough to broadcast, and the tokens of a sentence stay together.
+    The five features made of a tag and its neighbours are scored beforehand for every
+    combination of tags, so three lookup joins do: that combination, the tags since the
+    last determiner, and the word. Each brings one column per label; a value the model
+    has not seen gets the smoothed zero. What is small enough is broadcast, each by
+    itself: a large table of words is the only one that shuffles the tokens.
     """
-    scored = features
-    scores = [F.lit(prior) for prior in model.priors]
-    for f, (name, column) in enumerate(FEATURES.items()):
+    scored, scores = features, [F.lit(prior) for prior in model.priors]
+    names = dict(FEATURES)
+    if model.contexts is not None:
+        place = {}
+        for name, column in CONTEXT.items():
+            place[f"_{name}"] = F.when(F.col(column).isin(model.seen[name]), F.col(column)).otherwise(F.lit(UNSEEN))
+        lookup = model.contexts.select(
+            *[F.col(name).alias(f"_{name}") for name in CONTEXT],
+            *[F.col(f"l{i}").alias(f"_c_{i}") for i in range(len(scores))],
+        )
+        # Every token has its combination in the table, whose size is bounded.
+        scored = lookup_join(scored.withColumns(place), lookup, list(place), broadcast=True)
+        scores = [score + F.col(f"_c_{i}") for i, score in enumerate(scores)]
+        names = {name: names[name] for name in ("word", "tags-since-dt")}
+    for f, (name, column) in enumerate(names.items()):
         lookup = model.table.filter(F.col("fname") == name).select(
             F.col("fval").alias(f"_v{f}"),
             *[F.col(f"l{i}").alias(f"_f{f}_{i}") for i in range(len(scores))],
@@ -221,7 +285,7 @@ def tag_chunks(features: DataFrame, model: ChunkModel) -> DataFrame:
             lookup,
             [f"_v{f}"],
             "left",
-            broadcast=model.broadcast,
+            broadcast=model.broadcast.get(name, True),
             spread_by=TOKEN_KEY,
         )
         scores = [

@@ -209,8 +209,9 @@ def plain_bayes(train):
     return classify
 
 
+@pytest.mark.parametrize("contexts", [True, False])
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_tagging_against_a_plain_classifier(spark, labelled, broadcast):
+def test_tagging_against_a_plain_classifier(spark, labelled, broadcast, contexts):
     train = [
         (f, label)
         for r in labelled.collect()
@@ -220,14 +221,36 @@ def test_tagging_against_a_plain_classifier(spark, labelled, broadcast):
     rows = [(d, s, ["zz" if w == "a" else w for w in ws], t, i) for d, s, ws, t, i in random_sentences(29, 60)]
     unseen = spark.createDataFrame(rows, TAGGED).drop("iob")
     model = chunking.load_chunker(chunking.train_chunker(chunking.chunk_features(labelled)))
-    assert model.labels == sorted(LABELS) and model.broadcast
-    model.broadcast = broadcast
+    assert model.labels == sorted(LABELS) and all(model.broadcast[f] for f in chunking.FEATURES)
+    model.broadcast = {f: broadcast for f in chunking.FEATURES}
+    if not contexts:
+        model.contexts = None
     tagged = chunking.tag_chunks(chunking.chunk_features(unseen), model)
     got = gather_tokens(tagged, ["word", "iob"]).collect()
     expected = {(d, s): [classify(f) for f in plain_features(ws, t)] for d, s, ws, t, _ in rows}
     assert {(r["doc_id"], r["sent_no"]): r["iob"] for r in got} == expected
 
 
+def test_a_large_table_of_words_is_the_only_one_that_is_shuffled(spark, labelled):
+    features = chunking.chunk_features(labelled)
+    model = chunking.load_chunker(chunking.train_chunker(features))
+    model.broadcast["word"] = False
+    plan = chunking.tag_chunks(features, model)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 3
+    assert sum("_salt" in line for line in joins) == 1
+    assert sum("strategy=broadcast" in line for line in joins) == 2
+
+
+def test_tags_the_model_has_not_seen(spark, labelled):
+    features = chunking.chunk_features(labelled)
+    train, rest = features.filter("pos not in ('DT')"), features
+    model = chunking.load_chunker(chunking.train_chunker(train))
+    together = {tuple(r) for r in chunking.tag_chunks(rest, model).collect()}
+    model.contexts = None
+    assert together == {tuple(r) for r in chunking.tag_chunks(rest, model).collect()}
+
+
 def test_log_probabilities_sum_to_one(labelled):
     model = chunking.train_chunker(chunking.chunk_features(labelled))
     priors = chunking.log_probabilities(model).filter("fname is null").collect()
