@@ -316,6 +316,28 @@ PART_ENTRIES = """entries AS (
   UNION ALL SELECT p_type, p_name FROM part
   UNION ALL SELECT p_name || ' ' || p_type, p_name FROM part)"""
 
+WORKFLOW = f"""WITH {chunked(NB_TAGGED, "tagn")},
+uniq AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)),
+usents AS (SELECT sents.* FROM sents JOIN uniq USING (doc_id)),
+ufilt AS (
+  SELECT *, list_filter({WORDS}, lambda w: w NOT IN {STOP}) AS f FROM usents),
+uocc AS (
+  SELECT doc_id, sent_no, unnest(list_concat(f,
+    list_transform(range(1, len(f)), lambda i: f[i] || ' ' || f[i + 1]))) AS term FROM ufilt),
+ucnt AS (SELECT doc_id, sent_no, term, count(*) AS n FROM uocc GROUP BY ALL),
+{TAXA},
+uhit AS (
+  SELECT doc_id, sent_no, count(*) AS entity_counts,
+         string_agg(term || '=' || n, '|' ORDER BY term) AS entity_matches
+  FROM ucnt
+  WHERE term IN (SELECT term FROM alias)
+    AND term IN (SELECT term FROM ucnt GROUP BY term HAVING count(*) >= 3)
+  GROUP BY ALL),
+utri AS (
+  SELECT doc_id, sent_no, count(*) AS triples_counts, {spelled_triples()} AS triples
+  FROM rel WHERE regexp_matches(filler, {PATTERN}) GROUP BY ALL)
+"""
+
 ORACLES: dict[str, str] = {
     "split_sentences": f"""WITH {SENTS}
 SELECT doc_id, len(l) AS n_sentences, array_to_string(l, '|') AS sentences FROM lists""",
@@ -455,27 +477,13 @@ SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagg GR
     "triples_gazetteer": with_all_sentences(
         chunked(f"{GAZETTEER},\ntagp AS (SELECT *, {POS_CASE} AS pos FROM tagg)", "tagp"), "TRUE", "n"
     ).replace("WITH", "WITH RECURSIVE", 1),
-    "interaction_workflow": f"""WITH {chunked(NB_TAGGED, "tagn")},
-uniq AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)),
-usents AS (SELECT sents.* FROM sents JOIN uniq USING (doc_id)),
-ufilt AS (
-  SELECT *, list_filter({WORDS}, lambda w: w NOT IN {STOP}) AS f FROM usents),
-uocc AS (
-  SELECT doc_id, sent_no, unnest(list_concat(f,
-    list_transform(range(1, len(f)), lambda i: f[i] || ' ' || f[i + 1]))) AS term FROM ufilt),
-ucnt AS (SELECT doc_id, sent_no, term, count(*) AS n FROM uocc GROUP BY ALL),
-{TAXA},
-uhit AS (
-  SELECT doc_id, sent_no, count(*) AS entity_counts,
-         string_agg(term || '=' || n, '|' ORDER BY term) AS entity_matches
-  FROM ucnt
-  WHERE term IN (SELECT term FROM alias)
-    AND term IN (SELECT term FROM ucnt GROUP BY term HAVING count(*) >= 3)
-  GROUP BY ALL),
-utri AS (
-  SELECT doc_id, sent_no, count(*) AS triples_counts, {spelled_triples()} AS triples
-  FROM rel WHERE regexp_matches(filler, {PATTERN}) GROUP BY ALL)
-SELECT doc_id, sent_no, CAST(doc_id AS VARCHAR) AS doi, sentence AS sentences, entity_matches,
+    "interaction_workflow": f"""{WORKFLOW}SELECT doc_id, sent_no, CAST(doc_id AS VARCHAR) AS doi, sentence AS sentences, entity_matches,
   entity_counts, triples, triples_counts
 FROM uhit JOIN utri USING (doc_id, sent_no) JOIN usents USING (doc_id, sent_no)""",
+    "workflow_counts": f"""{WORKFLOW}
+SELECT 'articles' AS stage, count(*) AS n FROM uniq
+UNION ALL SELECT 'sentences', count(*) FROM usents
+UNION ALL SELECT 'sentences with matches', count(*) FROM uhit
+UNION ALL SELECT 'sentences with enough entities', count(*) FROM uhit WHERE entity_counts >= 1
+UNION ALL SELECT 'interactions', count(*) FROM uhit JOIN utri USING (doc_id, sent_no)""",
 }

@@ -24,6 +24,7 @@ from factloom.operators.sentences import (
     marked_terms,
     word_columns,
 )
+from factloom.plans.counts import StageCounts
 from factloom.plans.ingest import ingest_articles
 from factloom.plans.interactions import extract_interactions
 from factloom.sources import articles as A
@@ -579,14 +580,25 @@ def gazetteer_names_iob(spark, sf_dir):
 # --- whole --------------------------------------------------------------------
 
 
-@query
-def interaction_workflow(spark, sf_dir):
+def whole_workflow(spark, sf_dir, counts: StageCounts | None = None) -> DataFrame:
     texts = documents(spark, sf_dir).withColumn("doi", F.array(F.col("doc_id").cast("string")))
     unique = rows.dedup_by_key(texts, F.md5("fulltext"), ["doc_id"])
     model = chunking.load_chunker(trained(spark, sf_dir))
-    found = extract_interactions(
-        unique, D.taxa(spark), model, min_tf=1, min_entities=1, min_triples=1
+    return extract_interactions(
+        unique, D.taxa(spark), model, min_tf=1, min_entities=1, min_triples=1, counts=counts
     )
+
+
+@query
+def workflow_counts(spark, sf_dir):
+    counts = StageCounts()
+    stage(whole_workflow(spark, sf_dir, counts), "interactions")
+    return counts.table(spark)
+
+
+@query
+def interaction_workflow(spark, sf_dir):
+    found = whole_workflow(spark, sf_dir)
     return found.select(
         *key(),
         joined("doi").alias("doi"),

@@ -15,6 +15,7 @@ from factloom.operators.relations import model_triples, no_triples
 from factloom.operators.rows import at_least, sample_rows, with_doc_id
 from factloom.operators.sentences import SENTENCE_KEY, sentences_of
 from factloom.operators.tagging import tag_sentences
+from factloom.plans.counts import StageCounts, uncounted
 from factloom.sources.articles import scan_json, write_json
 from factloom.sources.dictionary import scan_dictionary
 
@@ -32,6 +33,7 @@ def extract_interactions(
     hint: str | None = INTERACTION_HINT,
     tagger: Callable[[Column], Column] = rule_tags,
     sample: float | None = None,
+    counts: StageCounts | None = None,
 ) -> DataFrame:
     """``(doc_id, sent_no, doi, sentences, entity_matches, entity_counts, triples,
     triples_counts)``; the last six are the result record.
@@ -44,17 +46,24 @@ def extract_interactions(
     sentence with a matching filler must match. With a pattern or tagger of your own, give
     a hint, or None to tag every sentence left. All steps after the match work
     on the partitioning by sentence that the match has made.
+
+    ``counts`` gets the rows of each stage as the result is run: articles, sentences,
+    those with matches, those with enough entities, and interactions.
     """
+    watched = counts.of if counts else uncounted
     own = pattern != INTERACTION_PATTERN or tagger is not rule_tags
     if own and hint == INTERACTION_HINT:
         hint = None
     if sample:
         articles = sample_rows(articles, sample)
-    sentences = sentences_of(articles, keep=["doc_id", "doi"])
+    articles = watched("articles", articles.select("doc_id", "doi", "abstract", "fulltext"))
+    sentences = watched("sentences", sentences_of(articles, keep=["doc_id", "doi"]))
     matched = match_dictionary(
         sentences, dictionary, min_tf=min_tf, min_df=min_df, keep=["doi"]
     )
+    matched = watched("sentences with matches", matched)
     hits = at_least(entity_map(matched), entity_counts=min_entities)
+    hits = watched("sentences with enough entities", hits)
     tells = F.lit(True) if hint is None else F.col("sentence").rlike(hint)
     carried = ["sentence", "doi", "entity_matches", "entity_counts"]
     tagged = tag_sentences(hits.filter(tells), tagger)
@@ -64,6 +73,7 @@ def extract_interactions(
     elif hint is not None:
         rest = hits.filter(~tells).select(*SENTENCE_KEY, *carried)
         found = found.unionByName(rest.withColumn("triples", no_triples()))
+    found = watched("interactions", found)
     return found.select(
         *SENTENCE_KEY,
         "doi",

@@ -11,6 +11,7 @@ from factloom.operators.dictionary import build_dictionary
 from factloom.operators.sentences import sentences_of
 from factloom.operators.tagging import tag_sentences
 from factloom.operators.rows import with_doc_id
+from factloom.plans.counts import StageCounts
 from factloom.plans.interactions import RESULT, extract_interactions, result_records, run_interactions
 from factloom.schema import DICTIONARY
 from factloom.sources.articles import write_json
@@ -140,6 +141,32 @@ def test_one_shuffle_of_sentences(spark, articles, parts, tmp_path):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_counts_of_a_run(spark, articles, parts, tmp_path):
+    articles.write.parquet(f"{tmp_path}/articles")
+    counts = StageCounts()
+    found = run(
+        spark.read.parquet(f"{tmp_path}/articles"), parts, min_entities=1, min_triples=1, counts=counts
+    )
+    rows = found.collect()
+    held = counts.get()
+    assert list(held) == [
+        "articles", "sentences", "sentences with matches", "sentences with enough entities", "interactions"
+    ]
+    assert held["articles"] == articles.count()
+    assert held["sentences"] == sentences_of(articles).count()
+    assert held["sentences"] > held["sentences with matches"] >= held["interactions"] == len(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("FileScan parquet" in line and "fulltext" in line for line in plan.splitlines()) == 1
+    with pytest.raises(ValueError):
+        counts.of("articles", articles)
+
+
+def test_counts_where_sentences_without_the_hint_are_kept(spark, articles, parts):
+    counts = StageCounts()
+    rows = run(articles, parts, min_triples=0, counts=counts).collect()
+    assert counts.get()["interactions"] == counts.get()["sentences with matches"] == len(rows)
+
+
 def tables_in_duckdb(sf_dir):
     connection = duckdb.connect()
     for name in TABLES:
