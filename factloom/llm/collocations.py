@@ -40,7 +40,7 @@ BEST, DEEPER = 2 * TOP, 8
 # A bitmap of prefixes has so many bits, 4 MB, whatever the size of the corpus.
 BITS = 25
 # Characters of texts, and different phrases, that a task holds at once.
-AT_ONCE, HELD = 2_000_000, 800_000
+AT_ONCE, HELD = 1_000_000, 400_000
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
