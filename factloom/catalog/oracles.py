@@ -12,6 +12,7 @@ from factloom.functions.chunks import INTERACTION_PATTERN
 from factloom.functions.stopwords import ENGLISH
 from factloom.functions.tags import DETERMINERS, PREPOSITIONS, VERB_ENDINGS
 from factloom.functions.text import ABBREVIATIONS
+from factloom.schema import JATS_PATHS
 
 
 def quoted(text: str) -> str:
@@ -422,6 +423,15 @@ SELECT doc_id, CAST(doc_id AS VARCHAR) AS doi, 'PMC' || doc_id AS pmcid, source
   'On ' || lang || ' prose' AS article_title, lang || '|' || source AS keywords,
   '' AS keywordlist, '' AS volume
 FROM documents""",
+    "field_coverage": f"""WITH fields AS (SELECT unnest([{", ".join(quoted(f) for f in JATS_PATHS)}]) AS field),
+counted AS (
+  SELECT field, (SELECT count(*) FROM documents) AS n,
+         CASE WHEN field IN ('nlm-ta', 'doi', 'pmcid', 'article-title') THEN 1
+              WHEN field = 'keywords' THEN 2 ELSE 0 END AS k
+  FROM fields)
+SELECT field, CASE WHEN k > 0 THEN n ELSE 0 END AS filled, CASE WHEN k > 0 THEN 0 ELSE n END AS empty,
+  n * k AS n_values
+FROM counted""",
     "extract_metadata_leading": "SELECT doc_id, 'On ' AS title FROM documents",
     "extract_texts": f"""
 SELECT doc_id, len(string_split(text, chr(10))) AS n_paragraphs, {FULLTEXT} AS fulltext,

@@ -17,7 +17,7 @@ from factloom.functions import gazetteer as G
 from factloom.functions import text as X
 from factloom.functions.tags import rule_tags, verb_phrase_iob
 from factloom.functions.xml import parse_articles
-from factloom.operators import chunking, dictionary, names, relations, rows, tagging, vocabulary
+from factloom.operators import chunking, coverage, dictionary, names, relations, rows, tagging, vocabulary
 from factloom.operators.sentences import (
     explode_column,
     explode_rows,
@@ -350,6 +350,11 @@ def extract_metadata(spark, sf_dir):
     )
 
 
+@query
+def field_coverage(spark, sf_dir):
+    return coverage.field_coverage(parsed_documents(spark, sf_dir))
+
+
 @query
 def extract_metadata_leading(spark, sf_dir):
     found = parsed_documents(spark, sf_dir, leading_text_only=True)
