@@ -107,6 +107,63 @@ tagi AS (
   FROM tagd)"""
 
 
+# Tags that depend on their neighbours.
+GOLD = f"""{TOKENS},
+near AS (
+  SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after,
+         row_number() OVER (ORDER BY doc_id, sent_no, tok_no) AS id
+  FROM tagd WINDOW w AS ({SENT_ORDER})),
+gold AS MATERIALIZED (
+  SELECT id, doc_id, sent_no, tok_no, word, pos AS form,
+         CASE WHEN pos = 'VB' AND before = 'DT' THEN 'NN'
+              WHEN pos = 'NN' AND before = 'NN' AND after = 'DT' THEN 'VB' ELSE pos END AS pos
+  FROM near),
+worded AS (SELECT lower(word) AS lw, pos AS lpos, count(*) AS n FROM gold GROUP BY ALL),
+lex AS (
+  SELECT * FROM worded
+  QUALIFY row_number() OVER (PARTITION BY lw ORDER BY n DESC, lpos DESC) = 1),
+follow AS (SELECT coalesce(lag(pos) OVER ({SENT_ORDER}), '') AS prev, pos FROM gold)"""
+
+# Best paths between words with one possible tag, each path grown word by word.
+PATHS = f"""{GOLD},
+kinds AS (SELECT pos, count(*) AS total, row_number() OVER (ORDER BY pos) AS rank FROM gold GROUP BY pos),
+pairs AS (SELECT prev, pos, count(*) AS n FROM follow GROUP BY ALL),
+outof AS (SELECT prev, sum(n) AS total FROM pairs GROUP BY ALL),
+trans AS MATERIALIZED (
+  SELECT o.prev, k.pos, coalesce(r.rank, 0) AS rank, CAST(round(ln(
+    (coalesce(n, 0) + 0.5) / (o.total + 0.5 * (SELECT count(*) FROM kinds))) * 1000000) AS BIGINT) AS t
+  FROM outof o CROSS JOIN kinds k LEFT JOIN pairs p ON p.prev = o.prev AND p.pos = k.pos
+  LEFT JOIN kinds r ON r.pos = o.prev),
+wn AS (SELECT lower(word) AS lw, pos, count(*) AS n FROM gold GROUP BY ALL),
+known AS (SELECT lw FROM wn GROUP BY lw HAVING sum(n) >= 3),
+fn AS (SELECT form, pos, count(*) AS n FROM gold GROUP BY ALL),
+may AS (
+  SELECT id, tok_no, wn.pos, n FROM gold JOIN wn ON lower(word) = lw WHERE lw IN (FROM known)
+  UNION ALL
+  SELECT id, tok_no, fn.pos, n FROM gold JOIN fn USING (form) WHERE lower(word) NOT IN (FROM known)),
+cand AS MATERIALIZED (
+  SELECT id, tok_no, pos, CAST(round(ln(n / total) * 1000000) AS BIGINT) AS s,
+         count(*) OVER (PARTITION BY id) AS ways
+  FROM may JOIN kinds USING (pos)),
+unsure AS MATERIALIZED (SELECT * FROM cand WHERE ways > 1 AND tok_no > 0),
+walk AS (
+  SELECT id, c.pos, CASE WHEN ways = 1 THEN 0 ELSE s + t END AS score, c.pos AS path
+  FROM cand c JOIN trans r ON r.prev = '' AND r.pos = c.pos WHERE ways = 1 OR tok_no = 0
+  UNION ALL
+  SELECT u.id, u.pos, max(score + t + s), arg_max(path, (score + t) * 64 - rank) || ' ' || u.pos
+  FROM walk w JOIN unsure u ON u.id = w.id + 1 JOIN trans r ON r.prev = w.pos AND r.pos = u.pos
+  GROUP BY u.id, u.pos),
+ended AS (
+  SELECT w.id, path, (score + coalesce(t, 0)) * 64 - k.rank AS score
+  FROM walk w JOIN kinds k USING (pos)
+  LEFT JOIN (SELECT DISTINCT id, tok_no, ways, CASE WHEN ways = 1 THEN pos END AS sure FROM cand) c
+    ON c.id = w.id + 1 AND c.tok_no > 0
+  LEFT JOIN trans r ON r.prev = w.pos AND r.pos = c.sure
+  WHERE c.id IS NULL OR c.ways = 1),
+run AS (SELECT id, string_split(arg_max(path, score), ' ') AS tags FROM ended GROUP BY id),
+best AS (SELECT id - len(tags) + unnest(range(len(tags))) + 1 AS id, unnest(tags) AS tag FROM run)"""
+
+
 def chunked(tokens_cte: str = TAGGED, source: str = "tagi") -> str:
     """Chunks of labelled tokens: number the starts, group the words by number."""
     return f"""{tokens_cte},
@@ -447,17 +504,17 @@ WHERE lang <> 'de' AND doc_id NOT IN (SELECT doc_id FROM labels)""",
 SELECT CAST(doc_id AS VARCHAR) AS doi, 'PMC' || doc_id AS cproject_id, {FULLTEXT} AS fulltext,
   'Abstract of ' || source AS abstract FROM documents""",
     "ingest_stream": f"SELECT CAST(doc_id AS VARCHAR) AS doi, {FULLTEXT} AS fulltext FROM documents",
-    "pos_lexicon": f"""WITH {TOKENS},
-c AS (SELECT lower(word) AS word, pos, count(*) AS n FROM tagd GROUP BY ALL)
-SELECT word, pos, n FROM c
-QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, pos DESC) = 1""",
-    "pos_tag": f"""WITH {TOKENS},
-c AS (SELECT lower(word) AS lw, pos AS lpos, count(*) AS n FROM tagd GROUP BY ALL),
-lex AS (SELECT lw, lpos, n FROM c
-  QUALIFY row_number() OVER (PARTITION BY lw ORDER BY n DESC, lpos DESC) = 1)
-SELECT doc_id, sent_no,
-  string_agg(word || '/' || coalesce(lpos, pos), '|' ORDER BY tok_no) AS tagged
-FROM tagd LEFT JOIN lex ON lower(word) = lw AND n >= 3 GROUP BY ALL""",
+    "pos_lexicon": f"WITH {GOLD} SELECT lw AS word, lpos AS pos, n FROM lex",
+    "pos_tag": f"""WITH {GOLD}
+SELECT doc_id, sent_no, string_agg(word || '/' || coalesce(lpos, form), '|' ORDER BY tok_no) AS tagged
+FROM gold LEFT JOIN lex ON lower(word) = lw AND n >= 3 GROUP BY ALL""",
+    "pos_tag_path": f"""WITH RECURSIVE {PATHS}
+SELECT doc_id, sent_no, string_agg(word || '/' || tag, '|' ORDER BY tok_no) AS tagged
+FROM gold JOIN best USING (id) GROUP BY ALL""",
+    "pos_tag_counts": f"""WITH {GOLD}
+SELECT 'next' AS feature, prev AS value, pos, count(*) AS n FROM follow GROUP BY ALL
+UNION ALL SELECT 'word', lower(word), pos, count(*) FROM gold GROUP BY ALL
+UNION ALL SELECT 'form', form, pos, count(*) FROM gold GROUP BY ALL""",
     "chunk_features": f"""WITH {FEATURES}
 SELECT doc_id, sent_no, tok_no, pos, word, prevpos, nextpos, prevpos_pos, pos_nextpos,
   tags_since_dt FROM cf""",

@@ -15,9 +15,9 @@ from factloom.catalog.tables import documents, table
 from factloom.functions import chunks as C
 from factloom.functions import gazetteer as G
 from factloom.functions import text as X
-from factloom.functions.tags import rule_tags, verb_phrase_iob
+from factloom.functions.tags import context_tags, rule_tags, verb_phrase_iob
 from factloom.functions.xml import parse_articles
-from factloom.operators import chunking, coverage, dictionary, names, relations, rows, tagging, vocabulary
+from factloom.operators import chunking, coverage, dictionary, names, path_tagging, relations, rows, tagging, vocabulary
 from factloom.operators.sentences import (
     explode_column,
     explode_rows,
@@ -443,14 +443,14 @@ def ingest_stream_(spark, sf_dir):
 
 @query
 def pos_lexicon(spark, sf_dir):
-    tokens = tagging.token_rows(tagged(spark, sf_dir))
+    tokens = tagging.token_rows(tagging.tag_sentences(D.sentences(spark, sf_dir), context_tags))
     return tagging.learn_lexicon(tokens).select("word", "pos", "n")
 
 
 @query
 def pos_tag(spark, sf_dir):
     # The lexicon holds the words seen 3 times or more; others fall back to the rule.
-    sentences = tagged(spark, sf_dir)
+    sentences = tagging.tag_sentences(D.sentences(spark, sf_dir), context_tags)
     learned = tagging.learn_lexicon(tagging.token_rows(sentences), min_count=3)
     lexicon = stage(learned, "lexicon")
     tokens = tagging.token_rows(sentences, ["words"], placed=False)
@@ -458,6 +458,20 @@ def pos_tag(spark, sf_dir):
     return found.select(*key(), joined(C.tagged_words(F.col("words"), F.col("tags"))).alias("tagged"))
 
 
+@query
+def pos_tag_path(spark, sf_dir):
+    sentences = tagging.tag_sentences(D.sentences(spark, sf_dir), context_tags)
+    model = path_tagging.load_paths(stage(path_tagging.learn_paths(sentences), "paths"))
+    found = path_tagging.tag_paths(sentences.drop("tags"), model)
+    return found.select(*key(), joined(C.tagged_words(F.col("words"), F.col("tags"))).alias("tagged"))
+
+
+@query
+def pos_tag_counts(spark, sf_dir):
+    sentences = tagging.tag_sentences(D.sentences(spark, sf_dir), context_tags)
+    return path_tagging.learn_paths(sentences)
+
+
 @query
 def chunk_features(spark, sf_dir):
     found = chunking.chunk_features(tagged(spark, sf_dir))

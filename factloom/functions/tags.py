@@ -32,6 +32,25 @@ def rule_tags(words: Column) -> Column:
     return F.transform(words, rule_tag)
 
 
+def context_tags(words: Column) -> Column:
+    """The rule's tags, mended by their neighbours.
+
+    A verb right after a determiner is a noun; a noun between a noun and a determiner is
+    a verb. Neighbours are taken as the rule tags them.
+    """
+
+    def mended(tags: Column) -> Column:
+        def one(tag: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(tags, i - 1))
+            noun = (tag == "VB") & (before == "DT")
+            verb = (tag == "NN") & (before == "NN") & (F.get(tags, i + 1) == "DT")
+            return F.when(noun, "NN").when(verb, "VB").otherwise(tag)
+
+        return F.transform(tags, one)
+
+    return let(rule_tags(words), mended)
+
+
 def verb_phrase_iob(tags: Column) -> Column:
     """IOB labels that make each run of ``VB`` one ``VP`` chunk."""
     return let(

@@ -85,6 +85,6 @@ def gather_tokens(tokens: DataFrame, columns: Sequence[str] = ("word", "pos")) -
         tokens.groupBy(*SENTENCE_KEY)
         .agg(*listed)
         .select(
-            *SENTENCE_KEY, *kept, *[F.col(f"_tokens.{c}").alias(names[c]) for c in columns]
+            *SENTENCE_KEY, *kept, *[F.col(f"_tokens.{c}").alias(names.get(c, c)) for c in columns]
         )
     )
