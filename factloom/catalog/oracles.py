@@ -34,12 +34,12 @@ MARK = quoted(rf"(^|[^\p{{L}}\p{{N}}_])((?:{KNOWN}|\p{{Lu}})\.)({BLANK})")
 BREAK = quoted(rf"([.!?]{CLOSER}{{0,2}}){BLANK}+({OPENER}{{0,2}}\p{{Lu}})")
 
 
-def marked(text: str) -> str:
-    return rf"regexp_replace({text}, {MARK}, '\1\2' || chr(2) || '\3', 'g')"
+def marked(text: str, mark: str = MARK) -> str:
+    return rf"regexp_replace({text}, {mark}, '\1\2' || chr(2) || '\3', 'g')"
 
 
-def sentence_list(text: str) -> str:
-    broken = rf"regexp_replace({marked(marked(text))}, {BREAK}, '\1' || chr(1) || '\2', 'g')"
+def sentence_list(text: str, mark: str = MARK) -> str:
+    broken = rf"regexp_replace({marked(marked(text, mark), mark)}, {BREAK}, '\1' || chr(1) || '\2', 'g')"
     return (
         f"list_filter(string_split(replace({broken}, chr(2), ''), chr(1)), "
         f"lambda s: regexp_matches(s, '[^ \\t\\n\\f\\r]'))"
@@ -396,8 +396,53 @@ utri AS (
   FROM rel WHERE regexp_matches(filler, {PATTERN}) GROUP BY ALL)
 """
 
+# Words with a period, scored as abbreviations.
+SCORED = r"""
+dotted AS (SELECT lower(unnest(regexp_extract_all(text, '\p{L}+(?:\.\p{L}+)*\.?'))) AS t FROM documents),
+periods AS (
+  SELECT rtrim(t, '.') AS word, count(*) FILTER (ends_with(t, '.')) AS n_period,
+         count(*) FILTER (NOT ends_with(t, '.')) AS n_plain
+  FROM dotted GROUP BY ALL),
+share AS (SELECT sum(n_period) / sum(n_period + n_plain) AS p FROM periods),
+measured AS (
+  SELECT *, length(replace(word, '.', '')) AS letters,
+         -2 * ((n_period * ln(p) + n_plain * ln(1 - p)) - (n_period * ln(0.99) + n_plain * ln(0.01))) AS ratio
+  FROM periods, share WHERE n_period > 0),
+scored AS (
+  SELECT word, n_period, n_plain,
+         ratio / exp(letters) * (length(word) - letters + 1) / pow(letters, n_plain) AS score
+  FROM measured)"""
+LEARNED_MARK = (
+    rf"(SELECT '(^|[^\p{{L}}\p{{N}}_])((?:{KNOWN}|(?i:' || "
+    rf"coalesce(string_agg(replace(word, '.', '\.'), '|'), 'Dr') || ')|\p{{Lu}})\.)({BLANK})' "
+    "FROM scored WHERE score >= 0.3)"
+)
+
+# A sentence's first word is a name only if it is capitalised elsewhere.
+CASING = f"""{TOKENS},
+begun AS (
+  SELECT *, min(tok_no) FILTER (regexp_matches(word, '\\p{{L}}')) OVER (PARTITION BY doc_id, sent_no) AS first
+  FROM tagd),
+cased AS (
+  SELECT lower(word) AS word, CAST(sum(CASE WHEN regexp_matches(word, '^\\p{{Lu}}') THEN 1 ELSE 0 END) AS BIGINT)
+           AS n_capital,
+         CAST(sum(CASE WHEN regexp_matches(word, '^\\p{{Ll}}') THEN 1 ELSE 0 END) AS BIGINT) AS n_small
+  FROM begun WHERE tok_no > first AND regexp_matches(word, '^[\\p{{Lu}}\\p{{Ll}}]') GROUP BY ALL)"""
+NAMED_CASED = f"""{CASING},
+isname AS (
+  SELECT *, regexp_matches(word, '^\\p{{Lu}}') AND (tok_no <> first OR lower(word) IN (
+    SELECT word FROM cased WHERE n_capital > n_small)) AS name FROM begun),
+tagi AS (
+  SELECT *, CASE WHEN NOT name THEN 'O' WHEN lag(name) OVER ({SENT_ORDER}) THEN 'I-NE'
+                 ELSE 'B-NE' END AS iob
+  FROM isname)"""
+
 ORACLES: dict[str, str] = {
     "split_sentences": f"""WITH {SENTS}
+SELECT doc_id, len(l) AS n_sentences, array_to_string(l, '|') AS sentences FROM lists""",
+    "abbreviations": f"WITH {SCORED} SELECT word, n_period, n_plain, round(score, 6) + 0.0 AS score FROM scored",
+    "split_sentences_learned": f"""WITH {SCORED},
+lists AS (SELECT doc_id, {sentence_list("text", LEARNED_MARK)} AS l FROM documents)
 SELECT doc_id, len(l) AS n_sentences, array_to_string(l, '|') AS sentences FROM lists""",
     "explode_sentences": f"WITH {SENTS} SELECT * FROM sents",
     "concat_arrays": f"""WITH {SENTS}
@@ -522,6 +567,12 @@ SELECT doc_id, sent_no, tok_no, pos, word, prevpos, nextpos, prevpos_pos, pos_ne
 SELECT fname, fval, label, n, round(ln((n + 0.5) / (total + 0.5 * bins)), 6) AS logp
 FROM nbc JOIN nbl USING (label) JOIN nbb USING (fname)
 UNION ALL SELECT '', '', label, total, round(logp, 6) FROM prior""",
+    "scan_tagged": f"""WITH {TAGGED},
+whole AS (
+  SELECT string_agg(word, '|' ORDER BY tok_no) AS words, string_agg(pos, '|' ORDER BY tok_no) AS tags,
+         string_agg(iob, '|' ORDER BY tok_no) AS iob
+  FROM tagi GROUP BY doc_id, sent_no)
+SELECT words, tags, iob, count(*) AS n FROM whole GROUP BY ALL""",
     "nb_tag": f"""WITH {NB_TAGGED}
 SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagn GROUP BY ALL""",
     "nb_tag_unseen": f"""WITH {NB_UNSEEN}
@@ -534,6 +585,8 @@ SELECT doc_id, sent_no, subj, filler, obj FROM rel WHERE regexp_matches(filler,
         chunked(), f"regexp_matches(filler, {PATTERN})", "triples_counts"
     ),
     "triples_all": with_all_sentences(chunked(NAMED), "TRUE", "n"),
+    "casing": f"WITH {CASING} SELECT word, n_capital, n_small FROM cased",
+    "triples_cased": with_all_sentences(chunked(NAMED_CASED), "TRUE", "n"),
     "gazetteer_phrases": f"WITH {phrases()} SELECT doc_id, sent_no, phrase, tag FROM phr",
     "gazetteer_iob": f"""WITH RECURSIVE {GAZETTEER}
 SELECT doc_id, sent_no, string_agg(iob, '|' ORDER BY tok_no) AS iob FROM tagg GROUP BY ALL""",
@@ -554,3 +607,4 @@ UNION ALL SELECT 'sentences with matches', count(*) FROM uhit
 UNION ALL SELECT 'sentences with enough entities', count(*) FROM uhit WHERE entity_counts >= 1
 UNION ALL SELECT 'interactions', count(*) FROM uhit JOIN utri USING (doc_id, sent_no)""",
 }
+ORACLES["nb_train_tagged"] = ORACLES["nb_train"]

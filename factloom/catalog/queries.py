@@ -17,7 +17,19 @@ from factloom.functions import gazetteer as G
 from factloom.functions import text as X
 from factloom.functions.tags import context_tags, rule_tags, verb_phrase_iob
 from factloom.functions.xml import parse_articles
-from factloom.operators import chunking, coverage, dictionary, names, path_tagging, relations, rows, tagging, vocabulary
+from factloom.operators import (
+    abbreviations,
+    casing,
+    chunking,
+    coverage,
+    dictionary,
+    names,
+    path_tagging,
+    relations,
+    rows,
+    tagging,
+    vocabulary,
+)
 from factloom.operators.sentences import (
     explode_column,
     explode_rows,
@@ -30,6 +42,7 @@ from factloom.plans.interactions import extract_interactions
 from factloom.sources import articles as A
 from factloom.sources import manifest
 from factloom.sources.dictionary import scan_dictionary
+from factloom.sources.tagged import scan_tagged, write_tagged
 from factloom.staging import fresh_path, stage
 from factloom.streaming.ingest import ingest_stream
 
@@ -88,6 +101,22 @@ def split_sentences(spark, sf_dir):
     )
 
 
+@query
+def abbreviations_(spark, sf_dir):
+    scores = abbreviations.score_abbreviations(documents(spark, sf_dir))
+    return scores.withColumn("score", F.round("score", 6))
+
+
+@query
+def split_sentences_learned(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    learned = abbreviations.learned_abbreviations(abbreviations.score_abbreviations(docs))
+    found = X.split_sentences(F.col("fulltext"), learned=learned)
+    return docs.select(
+        "doc_id", F.size(found).cast("long").alias("n_sentences"), joined(found).alias("sentences")
+    )
+
+
 @query
 def explode_sentences(spark, sf_dir):
     listed = documents(spark, sf_dir).select(
@@ -482,9 +511,40 @@ def chunk_features(spark, sf_dir):
     )
 
 
+def tagged_text(spark: SparkSession, sf_dir: str) -> str:
+    """All sentences as tagged text, with names labelled where verbs are not; the path."""
+    path = fresh_path(spark, "tagged")
+    both = F.zip_with(
+        F.col("iob"),
+        relations.capitalised_iob(F.col("words")),
+        lambda verb, name: F.when(verb == "O", name).otherwise(verb),
+    )
+    write_tagged(tagged(spark, sf_dir).withColumn("iob", both), path)
+    return path
+
+
+@query
+def scan_tagged_(spark, sf_dir):
+    found = scan_tagged(spark, tagged_text(spark, sf_dir), ["VP"])
+    return found.groupBy(
+        joined("words").alias("words"), joined("tags").alias("tags"), joined("iob").alias("iob")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def nb_train_tagged(spark, sf_dir):
+    sentences = scan_tagged(spark, tagged_text(spark, sf_dir), ["VP"])
+    return rounded(stage(chunking.train_chunker(chunking.chunk_features(sentences)), "model"))
+
+
 @query
 def nb_train(spark, sf_dir):
-    model = chunking.log_probabilities(trained(spark, sf_dir))
+    return rounded(trained(spark, sf_dir))
+
+
+def rounded(model: DataFrame) -> DataFrame:
+    """A chunk model as logarithms."""
+    model = chunking.log_probabilities(model)
     return model.select(
         F.coalesce("fname", F.lit("")).alias("fname"),
         F.coalesce("fval", F.lit("")).alias("fval"),
@@ -557,6 +617,20 @@ def triples_all(spark, sf_dir):
     )
 
 
+@query
+def casing_(spark, sf_dir):
+    return casing.learn_casing(D.sentences(spark, sf_dir))
+
+
+@query
+def triples_cased(spark, sf_dir):
+    sentences = D.sentences(spark, sf_dir)
+    table = stage(casing.learn_casing(sentences), "casing")
+    return casing.cased_triples(sentences, table).select(
+        *key(), F.size("triples").cast("long").alias("n"), spelled("triples").alias("triples")
+    )
+
+
 # --- gazetteer ----------------------------------------------------------------
 
 

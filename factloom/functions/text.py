@@ -31,14 +31,19 @@ _CLOSER = "[\"'”’)\\]]"
 _OPENER = "[\"'“‘(\\[]"
 
 
-def sentence_break(abbreviations: Iterable[str] = ABBREVIATIONS) -> str:
+def sentence_break(
+    abbreviations: Iterable[str] = ABBREVIATIONS, learned: Iterable[str] = ()
+) -> str:
     """The (Java) pattern of the white space between two sentences.
 
     It follows ``.``, ``!`` or ``?`` with up to two closing marks, comes before a
     capital letter with up to two opening marks, and does not follow a known
-    abbreviation or a single capital (an initial).
+    abbreviation or a single capital (an initial). Abbreviations that were ``learned``
+    are known whatever their case.
     """
     known = "|".join(a.replace(".", r"\.") for a in abbreviations)
+    if learned := "|".join(a.replace(".", r"\.") for a in learned):
+        known = f"{known}|(?iu:{learned})" if known else f"(?iu:{learned})"
     # The blank comes first so that the look-behinds run at blanks only.
     return (
         rf"{_ANY_BLANK}(?<=[.!?]{_CLOSER}{{0,2}}{_ANY_BLANK})"
@@ -47,9 +52,11 @@ def sentence_break(abbreviations: Iterable[str] = ABBREVIATIONS) -> str:
     )
 
 
-def split_sentences(text: Column, abbreviations: Iterable[str] = ABBREVIATIONS) -> Column:
+def split_sentences(
+    text: Column, abbreviations: Iterable[str] = ABBREVIATIONS, learned: Iterable[str] = ()
+) -> Column:
     """Sentences of ``text`` in order; blank pieces are left out, null gives ``[]``."""
-    pieces = F.split(text, sentence_break(abbreviations))
+    pieces = F.split(text, sentence_break(abbreviations, learned))
     kept = F.filter(pieces, lambda s: F.rlike(s, F.lit(f"[^{_ANY_BLANKS}]")))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
