@@ -102,6 +102,14 @@ def xml_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def xml_folders(spark: SparkSession, sf_dir: str, path: str, english: bool) -> None:
+    """The documents in English, or all others, as XML files in a folder of ``path``."""
+    is_english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    documents(spark, sf_dir).filter(is_english if english else ~is_english).select(
+        article_xml().alias("value")
+    ).write.text(f"{path}/{'english' if english else 'other'}", compression="gzip")
+
+
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article records, with the fields that documents can fill."""
     return documents(spark, sf_dir).select(

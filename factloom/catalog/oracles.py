@@ -437,6 +437,9 @@ tagi AS (
                  ELSE 'B-NE' END AS iob
   FROM isname)"""
 
+BATCHES = f"""SELECT CAST(doc_id AS VARCHAR) AS doi, {FULLTEXT} AS fulltext,
+  CAST(CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS BIGINT) AS batch FROM documents"""
+
 ORACLES: dict[str, str] = {
     "split_sentences": f"""WITH {SENTS}
 SELECT doc_id, len(l) AS n_sentences, array_to_string(l, '|') AS sentences FROM lists""",
@@ -549,6 +552,8 @@ WHERE lang <> 'de' AND doc_id NOT IN (SELECT doc_id FROM labels)""",
 SELECT CAST(doc_id AS VARCHAR) AS doi, 'PMC' || doc_id AS cproject_id, {FULLTEXT} AS fulltext,
   'Abstract of ' || source AS abstract FROM documents""",
     "ingest_stream": f"SELECT CAST(doc_id AS VARCHAR) AS doi, {FULLTEXT} AS fulltext FROM documents",
+    "ingest_pending": BATCHES,
+    "ingest_batches": BATCHES,
     "pos_lexicon": f"WITH {GOLD} SELECT lw AS word, lpos AS pos, n FROM lex",
     "pos_tag": f"""WITH {GOLD}
 SELECT doc_id, sent_no, string_agg(word || '/' || coalesce(lpos, form), '|' ORDER BY tok_no) AS tagged

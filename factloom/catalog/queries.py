@@ -37,14 +37,14 @@ from factloom.operators.sentences import (
     word_columns,
 )
 from factloom.plans.counts import StageCounts
-from factloom.plans.ingest import ingest_articles
+from factloom.plans.ingest import ingest_articles, write_batch
 from factloom.plans.interactions import extract_interactions
 from factloom.sources import articles as A
 from factloom.sources import manifest
 from factloom.sources.dictionary import scan_dictionary
 from factloom.sources.tagged import scan_tagged, write_tagged
 from factloom.staging import fresh_path, stage
-from factloom.streaming.ingest import ingest_stream
+from factloom.streaming.ingest import ingest_stream, stream_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,6 +467,38 @@ def ingest_stream_(spark, sf_dir):
     return A.assemble_records(parsed.filter("ok")).select(joined("doi").alias("doi"), "fulltext")
 
 
+def batches(spark: SparkSession, output: str) -> DataFrame:
+    """The articles of all batches, with their batch."""
+    found = spark.read.schema(A.ARTICLE).json(f"{output}/articles")
+    return found.select(joined("doi").alias("doi"), "fulltext", F.col("batch").cast("long").alias("batch"))
+
+
+@query
+def ingest_pending(spark, sf_dir):
+    path, output = fresh_path(spark, "xml"), fresh_path(spark, "out")
+    ledger = f"{output}/ledger"
+    for batch, english in enumerate((True, False)):
+        D.xml_folders(spark, sf_dir, path, english)
+        done = manifest.done_versions(spark, ledger) if batch else None
+        found = ingest_articles(spark, f"{path}/*", done=done, file_names="*.gz")
+        write_batch(found, output, ledger, batch)
+    # A batch written twice repeats nothing.
+    write_batch(found, output, ledger, batch)
+    return batches(spark, output)
+
+
+@query
+def ingest_batches(spark, sf_dir):
+    path, output = fresh_path(spark, "xml"), fresh_path(spark, "out")
+    for english in (True, False):
+        D.xml_folders(spark, sf_dir, path, english)
+        running = stream_batches(
+            spark, f"{path}/*", output, f"{output}/ledger", f"{output}/state", file_names="*.gz"
+        )
+        running.awaitTermination()
+    return batches(spark, output)
+
+
 # --- tags and chunks ----------------------------------------------------------
 
 

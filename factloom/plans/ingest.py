@@ -17,16 +17,25 @@ from factloom.sources.articles import (
     xml_lines,
     xml_parts,
 )
-from factloom.sources.manifest import base_name, pending, record_done
+from factloom.sources.manifest import (
+    base_name,
+    list_files,
+    literal_path,
+    pending,
+    pending_versions,
+    record_done,
+    record_versions,
+)
 from factloom.staging import stage
 
 
 @dataclass
 class Ingested:
-    """Article records (with their ``file``) and what could not be read."""
+    """Article records (with their ``file``), what could not be read, and the files tried."""
 
     articles: DataFrame
     rejects: DataFrame
+    files: DataFrame | None = None
 
 
 def split_parsed(parsed: DataFrame, paths: Mapping[str, str] = JATS_PATHS) -> Ingested:
@@ -55,9 +64,52 @@ def ingest_articles(
 ) -> Ingested:
     """Scan a folder, leave out files already ``done``, parse, split off rejects.
 
+    The skip happens on the listing of files, ahead of reading any of them. ``done`` has
+    the columns ``(name, length, modified)`` of a ledger by version, or ``key``: a ledger of
+    names, in which files of one base name are one. See :func:`ingest_listed`.
+    """
+    names = file_names_of(source, file_names)
+    listing = list_files(spark, path, names)
+    if done is not None and "key" in done.columns:
+        # The listing is filtered by name already.
+        below = listing.withColumnRenamed("name", "_below").withColumn("name", F.col("path"))
+        listing = pending(below, done, "").withColumn("name", F.col("_below")).drop("_below")
+    elif done is not None:
+        listing = pending_versions(listing, done)
+    listing = stage(listing, "listing")
+    inputs: str | list[str] | None = path
+    if done is not None:
+        inputs = None
+    return ingest_listed(
+        spark, listing, inputs, source=source, file_names=file_names, paths=paths,
+        spread=spread, skip_broken=skip_broken, **options,
+    )
+
+
+def file_names_of(source: str, file_names: str | None) -> str:
+    """The pattern of file names of a source, unless one is given."""
+    if source not in FILE_NAMES:
+        raise ValueError(f"unknown source {source!r}; known are {sorted(FILE_NAMES)}")
+    return file_names or FILE_NAMES[source]
+
+
+def ingest_listed(
+    spark: SparkSession,
+    listing: DataFrame,
+    inputs: str | list[str] | None = None,
+    *,
+    source: str = "EUPMC",
+    file_names: str | None = None,
+    paths: Mapping[str, str] = JATS_PATHS,
+    spread: int | None = None,
+    skip_broken: bool = True,
+    **options,
+) -> Ingested:
+    """Parse the files of ``listing``, a written table, and split off rejects.
+
     Parsed articles are written to a staged table once; records and rejects both
-    read that. The skip happens on the listing of file names, ahead of reading
-    any of them.
+    read that. ``inputs`` may name a folder with just these files; if not, their names
+    go to the reader (through the driver), with wildcards in them taken literally.
 
     Beside articles that do not parse, rejects are files in which no article was found
     (unreadable ones among them), and files whose end is missing, which shows by an
@@ -65,26 +117,14 @@ def ingest_articles(
     articles cannot be told from a whole one; ``skip_broken=False`` ends the job at any
     file that cannot be unpacked.
     """
-    if source not in FILE_NAMES:
-        raise ValueError(f"unknown source {source!r}; known are {sorted(FILE_NAMES)}")
-    file_names = file_names or FILE_NAMES[source]
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", file_names)
-        .load(path)
-        .select(F.col("path").alias("name"), F.col("_metadata.file_path").alias("file"))
-    )
-    inputs: str | list[str] = path
-    if done is not None:
-        # The listing is filtered by name already.
-        listing = pending(listing, done, "")
-    listing = stage(listing, "listing")
-    if done is not None:
+    file_names = file_names_of(source, file_names)
+    if inputs is None:
         # File names only, and only those still to be read.
-        inputs = [r["name"] for r in listing.select("name").toLocalIterator()]
+        inputs = [literal_path(r["path"]) for r in listing.select("path").toLocalIterator()]
     if not inputs:
         empty = spark.createDataFrame([], "file string, xml string")
-        return split_parsed(parse_articles(empty, paths=paths, **options), paths)
+        split = split_parsed(parse_articles(empty, paths=paths, **options), paths)
+        return Ingested(split.articles, split.rejects, listing)
     if source == "PLOS":
         raw = scan_xml_single(spark, inputs, file_names=file_names)
         raw = raw.withColumn("unclosed", F.lit(0)).withColumn("found", F.lit(True))
@@ -94,7 +134,8 @@ def ingest_articles(
         raw = raw.repartition(spread) if spread else raw
     parsed = stage(parse_articles(raw, paths=paths, **options), "parsed")
     split = split_parsed(parsed.filter("found"), paths)
-    return Ingested(split.articles, split.rejects.unionByName(broken_files(parsed, listing)))
+    rejects = split.rejects.unionByName(broken_files(parsed, listing))
+    return Ingested(split.articles, rejects, listing)
 
 
 def broken_files(parsed: DataFrame, listing: DataFrame) -> DataFrame:
@@ -130,6 +171,22 @@ def write_ingested(
     record_done(whole.select(plain.alias("key")), ledger)
 
 
+def write_batch(
+    ingested: Ingested, output: str, ledger: str, batch: int | str, compression: str | None = "gzip"
+) -> None:
+    """Write what a batch ingested, then note the versions of its files as done.
+
+    Records, rejects and ledger have a folder per batch, which is written anew: a batch
+    that is written again, after a failure or by mistake, repeats nothing. As in
+    :func:`write_ingested`, a file with a reject gives no records and is not done.
+    """
+    broken = ingested.rejects.select("file").distinct()
+    whole = ingested.articles.join(broken, "file", "left_anti")
+    write_json(whole.drop("file"), f"{output}/articles/batch={batch}", compression, "overwrite")
+    ingested.rejects.write.mode("overwrite").parquet(f"{output}/rejects/batch={batch}")
+    record_versions(ingested.files.join(broken, "file", "left_anti"), ledger, batch)
+
+
 def done_files(spark: SparkSession, ledger: str) -> DataFrame:
     """The ledger's ``key`` column."""
     return spark.read.schema("key string").parquet(ledger)
