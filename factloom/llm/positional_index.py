@@ -54,7 +54,9 @@ def windows(items: DataFrame, index: DataFrame, n: int) -> DataFrame:
 
     ``(_item, _start, _length, _first, _second, _first_term, _second_term)``; an item of
     fewer words is one window; of one word, the second place is the first. A window with
-    a term that no document has is left out.
+    a term that no document has is left out, and of windows of an item with the same words
+    only the first is kept: it is found wherever the others are, and an item that repeats a
+    word is not aligned with each place of the word once for each of its windows.
     """
     counts = stage(index.groupBy("term").agg(F.count(F.lit(1)).alias("_n")), "term_counts")
     placed = items.select("_item", F.posexplode("_words").alias("_at", "term"))
@@ -67,9 +69,10 @@ def windows(items: DataFrame, index: DataFrame, n: int) -> DataFrame:
     rows = rows.select("_item", F.least(F.lit(n), size).alias("_length"), places.alias("_places"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), size - F.col("_length"))).alias("_start"))
     part = F.slice("_places", F.col("_start") + 1, F.col("_length"))
-    rows = rows.withColumn("_part", F.array_sort(part)).filter(
-        ~F.exists("_part", lambda p: p["_n"].isNull())
-    )
+    content = F.sha2(F.array_join(F.transform(part, lambda p: p["term"]), " "), 256)
+    rows = rows.select("_item", content.alias("_content"), F.struct("_start", "_length", F.array_sort(part).alias("_part")).alias("_w"))
+    rows = rows.filter(~F.exists("_w._part", lambda p: p["_n"].isNull()))
+    rows = rows.groupBy("_item", "_content").agg(F.min("_w").alias("_w")).select("_item", "_w.*")
     first, second = F.get("_part", F.lit(0)), F.coalesce(F.get("_part", F.lit(1)), F.get("_part", F.lit(0)))
     return rows.select(
         "_item", "_start", "_length",
@@ -106,6 +109,17 @@ def intersected(index: DataFrame, wanted: DataFrame, slop: int) -> DataFrame:
     return both.select("_key", "_off", F.explode("_found").alias("_f")).select("_key", "_off", "_f.*")
 
 
+def alignments(
+    docs: DataFrame, items: DataFrame, n: int, slop: int
+) -> tuple[DataFrame, DataFrame]:
+    """The table of :func:`intersected`, and :func:`prepared_items`, both written."""
+    items = stage(prepared_items(items), "items")
+    terms = stage(items.select(F.explode("_words").alias("term")).distinct(), "terms")
+    index = build_index(docs, terms)
+    found = intersected(index, stage(windows(items, index, n), "windows"), slop)
+    return stage(found, "matches"), items
+
+
 def matches(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
     """Candidate matches of the items' windows of ``n`` words in the documents.
 
@@ -114,11 +128,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0) -> Da
     rows are proximity matches: the two rarest terms of the window stand in the document
     as far apart as in the item, up to ``slop`` words more or less.
     """
-    items = stage(prepared_items(items), "items")
-    terms = stage(items.select(F.explode("_words").alias("term")).distinct(), "terms")
-    index = build_index(docs, terms)
-    found = intersected(index, stage(windows(items, index, n), "windows"), slop)
-    return stage(joined(found, items, ["_item"]), "matches")
+    found, items = alignments(docs, items, n, slop)
+    return joined(found, items, ["_item"])
 
 
 def marked(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
@@ -131,30 +142,38 @@ def marked(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     repeated documents and items give no more than one of them; other columns are
     passed on; an empty table on either side gives no hits.
     """
-    found = matches(docs, items, n).groupBy("_key", "_item", "item_id", "_words", "_shift", "_length").agg(
-        F.sort_array(F.collect_set("_start")).alias("_starts")
+    found, items = alignments(docs, items, n, 0)
+    # An item's words go with its document once, not with each place.
+    places = found.groupBy("_key", "_item").agg(
+        F.collect_set(F.struct("_shift", "_start", "_length")).alias("_places")
     )
     found = stage(
-        found.groupBy("_key").agg(
-            F.collect_list(F.struct("item_id", "_words", "_shift", "_length", "_starts")).alias("_aligned")
+        joined(places, items, ["_item"]).groupBy("_key").agg(
+            F.collect_list(F.struct("item_id", "_words", "_places")).alias("_aligned")
         ),
         "aligned",
     )
-    rows = docs.withColumn("_key", document_key(F.col("doc_id"), F.col("text")))
+    # The row's own columns are kept apart, whatever their names.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        document_key(F.col("doc_id"), F.col("text")).alias("_key"),
+    )
     rows = rows.join(F.broadcast(found) if small(found) else found, "_key", "left")
 
     def exact(held: Column) -> Column:
-        def equal(a: Column, start: Column) -> Column:
-            return F.slice(held, a["_shift"] + start + 1, a["_length"]) == F.slice(
-                a["_words"], start + 1, a["_length"]
+        def equal(a: Column, place: Column) -> Column:
+            # Word by word: a slice would copy all words of the document first.
+            return F.forall(
+                F.sequence(place["_start"], place["_start"] + place["_length"] - 1),
+                lambda k: F.coalesce(F.get(held, place["_shift"] + k) == F.get(a["_words"], k), F.lit(False)),
             )
 
         def compared(a: Column) -> Column:
             return F.struct(
                 a["item_id"].alias("item_id"),
                 F.transform(
-                    F.filter(a["_starts"], lambda start: equal(a, start)),
-                    lambda start: F.sequence(a["_shift"] + start, a["_shift"] + start + a["_length"] - 1),
+                    F.filter(a["_places"], lambda place: equal(a, place)),
+                    lambda p: F.sequence(p["_shift"] + p["_start"], p["_shift"] + p["_start"] + p["_length"] - 1),
                 ).alias("spans"),
             )
 
@@ -164,14 +183,14 @@ def marked(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
             occurring,
             lambda o: F.struct(
                 F.size(held).cast("long").alias("n_words"),
-                F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform(o, lambda x: x["spans"]))))).alias("hit_words"),
+                F.sort_array(F.array_distinct(F.flatten(F.flatten(F.transform(o, lambda x: x["spans"]))))).alias("hit_words"),
                 F.array_sort(F.array_distinct(F.transform(o, lambda x: x["item_id"]))).alias("hit_items"),
             ),
         )
 
-    rows = rows.withColumn("_hits", let(words(F.col("text")), exact))
+    rows = rows.withColumn("_hits", let(words(F.col("_row.text")), exact))
     names = ("n_words", "hit_words", "hit_items")
-    kept = [F.col(c) for c in docs.columns if c not in names]
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in names]
     return rows.select(*kept, *[F.col(f"_hits.{name}") for name in names])
 
 

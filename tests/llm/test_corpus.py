@@ -10,7 +10,7 @@ from factloom.llm import exact_substrings, order_minhash
 from factloom.llm.bwt_merge import repeats
 from factloom.llm.mixing import mix
 from factloom.llm.order_minhash import alignment, deduplicated, near_duplicates
-from factloom.llm.positional_index import decontaminate, matches
+from factloom.llm.positional_index import decontaminate, marked, matches
 from factloom.llm.quotations import as_mail, link_quotations
 from factloom.llm.shingles import labelled
 
@@ -158,6 +158,40 @@ def test_decontamination(spark):
     assert near
 
 
+def test_decontamination_of_repeated_words(spark):
+    drawn = random.Random(9)
+    texts = [" ".join(drawn.choices("ab" if k % 3 else "abc", k=drawn.randint(5, 60))) for k in range(40)]
+    texts += ["a " * 3000, "a b " * 500, "b " * 9, None]
+    passages = [" ".join(drawn.choices("ab", k=drawn.randint(3, 16))) for _ in range(12)] + ["a " * 1500, "b a " * 40, "b"]
+
+    def windows(words):
+        return {tuple(words[k : k + 10]) for k in range(max(len(words) - 9, 1))} if words else set()
+
+    expected = {}
+    for k, text in enumerate(texts):
+        words, hit, found = (text or "").split(), set(), set()
+        for i, passage in enumerate(passages):
+            for w in windows(passage.split()):
+                places = [p for p in range(len(words) - len(w) + 1) if tuple(words[p : p + len(w)]) == w]
+                hit |= {p + j for p in places for j in range(len(w))}
+                found |= {str(i)} if places else set()
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        expected[k] = (len(words), len(hit), len(found), digest, bool(hit))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    assert {r[0]: tuple(r[1:]) for r in decontaminate(docs, items).collect()} == expected
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c", "k", 2, 3, "r", 4)],
+        "doc_id long, text string, _key string, _aligned int, _hits int, _row string, `x.y` int",
+    )
+    items = spark.createDataFrame([(7, "b c")], "item_id long, text string")
+    (row,) = marked(docs, items).collect()
+    assert tuple(row) == (1, "a b c", "k", 2, 3, "r", 4, 3, [1, 2], ["7"])
+
+
 def test_quotations(spark):
     texts = ["Hello all.\nHow is it?", "Fine, thanks.", "Hello all.\nHow is it?", "And you?"]
     rows = [(1, k, "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", None), (None, 0, "user", "x"), (2, 1, "a", "")]
