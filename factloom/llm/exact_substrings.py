@@ -11,8 +11,8 @@ chose it is a context.
 2. Anchors with different contexts may still share strings. These contexts, a small
    part of the text, are collected into blocks by anchor, and each block merges the
    Burrows-Wheeler transforms of its shards to find the repeated strings.
-3. Anchors with more contexts than a block should hold have their strings counted one
-   by one, in an aggregate that combines before the shuffle.
+3. Anchors with more contexts than a block should hold have their strings compared one
+   by one, dealt out by range in the same way as contexts.
 
 Equality of contexts is that of 128 hash bits (anchor and context).
 """
@@ -26,9 +26,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm.bwt_merge import repeats
-from factloom.llm.common import document_key, numbered, small
+from factloom.llm.common import document_key, numbered
 from factloom.llm.shingles import spread
 from factloom.staging import stage
 
@@ -214,7 +215,8 @@ def with_bytes(chosen: DataFrame, docs: DataFrame) -> DataFrame:
         chosen.groupBy("_doc").agg(F.collect_list(F.struct("anchor", "start", "strings", "many")).alias("_list")),
         "wanted",
     )
-    texts = docs.select("_doc", "text").join(F.broadcast(lists) if small(lists) else lists, "_doc")
+    # The same way at every size: a broadcast of small lists would hide what large ones cost.
+    texts = docs.select("_doc", "text").join(lists.hint("merge"), "_doc")
 
     columns = ["anchor", "_doc", "start", "strings", "many", "bytes"]
 
@@ -263,18 +265,25 @@ def repeated_in_blocks(cut: DataFrame, blocks: int) -> DataFrame:
 
 
 def repeated_one_by_one(cut: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts, string by string."""
+    """The same for anchors with very many contexts, string by string.
+
+    A string's hash takes the place of anchor and context, so a string that is in very
+    many texts spreads over many tasks.
+    """
     strings = cut.select(
         "_doc", "bytes", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strings") - 1)).alias("_k")
     )
+    digest = F.md5(F.substring("bytes", F.col("_k").cast("int") + 1, F.lit(WIDTH)))
     strings = strings.select(
-        F.unhex(F.md5(F.substring("bytes", F.col("_k").cast("int") + 1, F.lit(WIDTH)))).alias("_string"),
-        F.struct("_doc", (F.col("start") + F.col("_k")).alias("start")).alias("_at"),
+        digest.alias("_digest"), (F.col("start") + F.col("_k")).alias("place"), "_doc"
+    ).select(
+        F.conv(F.substring("_digest", 1, 16), 16, -10).cast("long").alias("anchor"),
+        F.conv(F.substring("_digest", 17, 16), 16, -10).cast("long").alias("context"),
+        "place",
+        "_doc",
     )
-    strings = stage(strings, "strings")
-    firsts = strings.groupBy("_string").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    later = strings.join(firsts.filter("_n > 1"), "_string").filter("_at > _first")
-    return later.select("_at._doc", "_at.start", (F.col("_at.start") + WIDTH).alias("end"))
+    later = repeated_contexts(strings).filter(~F.col("first"))
+    return later.select("_doc", F.col("place").alias("start"), (F.col("place") + WIDTH).alias("end"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -298,12 +307,13 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` with ``_doc``, a number in the order of the documents, and whether rows
     may share one.
 
-    That is the doc_id if no row repeats one and none is null. Else the different
-    (doc_id, text) are numbered, null ids last, texts of one id by their hash; rows
-    that repeat both have one number.
+    That is the doc_id if it is a whole number, no row repeats one and none is null. Else
+    the different (doc_id, text) are numbered, null ids last, texts of one id by their
+    hash; rows that repeat both have one number.
     """
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
-    if odd.isEmpty():
+    if whole and odd.isEmpty():
         return docs.withColumn("_doc", F.col("doc_id").cast("long")), False
     keyed = docs.withColumn("_key", document_key(F.col("doc_id"), F.col("text")))
     keys = keyed.select("doc_id", "_key").distinct()
@@ -340,8 +350,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of every row of ``docs``.
 
     Removes each byte that is in a string of 100 bytes which also starts earlier, in an
-    earlier document or earlier in the same one; strings are judged as they are in the
-    input, and never cross documents. Null texts count as empty; texts below 100 bytes
+    earlier document or earlier in the same one (ids that are no whole numbers are
+    ordered as Spark orders their type); strings are judged as they are in the input, and never cross documents. Null texts count as empty; texts below 100 bytes
     stay; a null doc_id comes after all others; rows that repeat a doc_id and its text
     are one document (nothing is removed for the sake of the other), rows that repeat
     a doc_id with another text are documents of their own; other columns are not
@@ -350,7 +360,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs, repeated = in_order(docs.select("doc_id", "text"))
     spans = repeated_spans(docs.dropDuplicates(["_doc"]) if repeated else docs)
     spans = stage(spans.groupBy("_doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
-    rows = docs.join(F.broadcast(spans) if small(spans) else spans, "_doc", "left")
+    rows = docs.join(spans.hint("merge"), "_doc", "left")
     rows = rows.withColumn("_cut", kept(F.col("text"), F.col("_spans")))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     return rows.select("doc_id", n_bytes, "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256", "_cut.kept")

@@ -56,6 +56,17 @@ def test_repeated_strings_are_removed(spark, monkeypatch, many):
     assert exact_substrings.deduplicate_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many", [2000, 1])
+def test_repeated_strings_under_text_ids(spark, monkeypatch, many):
+    monkeypatch.setattr(exact_substrings, "MANY", many)
+    passage = "".join(random.Random(3).choices("abcdefgh", k=150))
+    # In the order of text, a10 is ahead of a9; a string of one letter repeats within its row.
+    rows = [("a9", "zz" + passage), ("a10", passage), (None, passage), ("b", "q" * 400), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc_id: r.n_removed for r in exact_substrings.deduplicate_substrings(docs).collect()}
+    assert found == {"a10": 0, "a9": 150, None: 150, "b": 399, "c": 0}
+
+
 def test_mix(spark):
     rows = [(k, "w " * (k % 9), ["a", "b", None][k % 3], 5) for k in range(600)]
     rows += [(None, None, "a", 5), (1, "w", "b", 5), (1, "w", "b", 5)]
