@@ -12,6 +12,8 @@ from factloom.functions.xml import parse_articles
 from factloom.schema import JATS_PATHS
 from factloom.sources.articles import (
     assemble_records,
+    cut_inside,
+    rejoin_pieces,
     scan_xml_single,
     write_json,
     xml_lines,
@@ -111,6 +113,8 @@ def ingest_listed(
     read that. ``inputs`` may name a folder with just these files; if not, their names
     go to the reader (through the driver), with wildcards in them taken literally.
 
+    Pieces that were cut at a closing tag inside a comment or CDATA are put together again.
+
     Beside articles that do not parse, rejects are files in which no article was found
     (unreadable ones among them), and files whose end is missing, which shows by an
     element that is not closed. A gzip file cut short that has no element around its
@@ -129,15 +133,28 @@ def ingest_listed(
         raw = scan_xml_single(spark, inputs, file_names=file_names)
         raw = raw.withColumn("unclosed", F.lit(0)).withColumn("found", F.lit(True))
     else:
-        raw = xml_parts(xml_lines(spark, inputs, file_names=file_names, skip_broken=skip_broken))
-        raw = raw.withColumn("found", F.col("xml").isNotNull())
+        raw = found_parts(xml_lines(spark, inputs, file_names=file_names, skip_broken=skip_broken))
         raw = raw.repartition(spread) if spread else raw
     parsed = stage(parse_articles(raw, paths=paths, **options), "parsed")
+    # Only files with an article cut inside a comment or CDATA are read once more.
+    odd = parsed.filter("found and not ok").filter(cut_inside(F.col("reason"))).select("file").distinct()
+    odd = stage(odd, "odd") if source != "PLOS" else odd.limit(0)
+    names = listing.select("path", "file").join(odd, "file", "left_semi")
+    again = [literal_path(row["path"]) for row in names.toLocalIterator()]
+    if again:
+        placed = xml_lines(spark, again, file_names=file_names, skip_broken=skip_broken, placed=True)
+        whole = parse_articles(found_parts(rejoin_pieces(placed)), paths=paths, **options)
+        parsed = parsed.join(odd, "file", "left_anti").unionByName(stage(whole, "rejoined"))
     split = split_parsed(parsed.filter("found"), paths)
     rejects = split.rejects.unionByName(broken_files(parsed, listing))
     return Ingested(split.articles, rejects, listing)
 
 
+def found_parts(lines: DataFrame) -> DataFrame:
+    """The parts of a text scan, with ``found``: whether an article is in the part."""
+    return xml_parts(lines).withColumn("found", F.col("xml").isNotNull())
+
+
 def broken_files(parsed: DataFrame, listing: DataFrame) -> DataFrame:
     """``(file, reason)`` of the files of ``listing`` without an article or an end."""
     files = parsed.groupBy("file").agg(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Iterable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,20 +53,109 @@ def xml_lines(
     tag: str = "article",
     file_names: str = "*",
     skip_broken: bool = False,
+    placed: bool = False,
 ) -> DataFrame:
     """``(value, file)``: files cut at the closing ``tag``.
 
     A file that cannot be unpacked ends the job, or with ``skip_broken`` gives the
-    pieces ahead of the fault.
+    pieces ahead of the fault. ``placed`` adds ``block`` and ``place``, the order of the
+    pieces within a file.
     """
     reader = spark.read.option("pathGlobFilter", file_names)
     if skip_broken:
         reader = reader.option("ignoreCorruptFiles", "true")
+    order = [
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    ]
     return reader.text(path, lineSep=f"</{tag}>").select(
-        "value", F.col("_metadata.file_path").alias("file")
+        "value", F.col("_metadata.file_path").alias("file"), *(order if placed else [])
     )
 
 
+class Rejoined:
+    """Pieces of a file put together again where they were cut inside a comment or CDATA.
+
+    Comments are left out of what is put together, so that a tag in one is not taken
+    for an element. A span that is still open after ``longest`` characters, or at the
+    end of the file, is not closed at all: its pieces are given as they came.
+    """
+
+    opening = re.compile(r"<!--|<!\[CDATA\[")
+    closing = {"<!--": "-->", "<![CDATA[": "]]>"}
+
+    def __init__(self, tag: str, longest: int) -> None:
+        self.close, self.longest = f"</{tag}>", longest
+        self.start()
+
+    def start(self) -> None:
+        self.pieces: list[str] = []
+        self.clean: list[str] = []
+        self.end, self.size = "", 0
+
+    def given_up(self) -> list[str]:
+        pieces = self.pieces
+        self.start()
+        return pieces
+
+    def add(self, piece: str) -> list[str]:
+        """The texts that are settled with this piece."""
+        text = self.close + piece if self.pieces else piece
+        self.pieces.append(piece)
+        self.size += len(text)
+        at = 0
+        while True:
+            if self.end:
+                found = text.find(self.end, at)
+                stop = len(text) if found < 0 else found + len(self.end)
+                if self.end == "]]>":
+                    self.clean.append(text[at:stop])
+                if found < 0:
+                    return self.given_up() if self.size > self.longest else []
+                at, self.end = stop, ""
+            mark = self.opening.search(text, at)
+            if mark is None:
+                whole = "".join(self.clean) + text[at:]
+                self.start()
+                return [whole]
+            self.end = self.closing[mark.group()]
+            self.clean.append(text[at : mark.end() if self.end == "]]>" else mark.start()])
+            at = mark.end()
+
+
+def rejoin_pieces(placed: DataFrame, tag: str = "article", longest: int = 1 << 26) -> DataFrame:
+    """``(value, file)`` of placed pieces, without cuts inside comments or CDATA.
+
+    The pieces of a file meet in one task, in their order, and pass through it one by
+    one; no more than one article, or ``longest`` characters, is held. Meant for the few
+    files that need it (:func:`cut_inside`).
+    """
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, file = Rejoined(tag, longest), None
+        for batch in batches:
+            values: list[str] = []
+            files: list[str] = []
+            for piece, name in zip(batch["value"], batch["file"], strict=True):
+                left = state.given_up() if name != file else []
+                files += [file] * len(left)
+                done = state.add(piece)
+                files += [name] * len(done)
+                values += left + done
+                file = name
+            yield pd.DataFrame({"value": values, "file": files}, dtype=object)
+        left = state.given_up()
+        yield pd.DataFrame({"value": left, "file": [file] * len(left)}, dtype=object)
+
+    ordered = placed.repartition("file").sortWithinPartitions("file", "block", "place")
+    return ordered.select("value", "file").mapInPandas(joined, "value string, file string")
+
+
+def cut_inside(reason: Column) -> Column:
+    """Whether an article did not parse because a comment or CDATA is open at its end."""
+    return reason.startswith("unclosed CDATA section") | reason.startswith("unclosed token")
+
+
 def scan_xml(
     spark: SparkSession,
     path: str,

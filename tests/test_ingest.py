@@ -223,3 +223,41 @@ def test_stream_reads_each_file_once(spark, folder, tmp_path):
     assert run() == 2
     (folder / "PMC9.xml.gz").write_bytes(gzip.compress(FILE.encode()))
     assert run() == 4
+
+
+HIDDEN = """<article><front><article-meta><article-title>{0}</article-title></article-meta></front>
+ <body><p>before <![CDATA[a </article> b <!-- {0} </article> c]]> after</p>
+ <!-- <article> x </article> ]]> </article> --><p>last</p></body></article>"""
+
+
+def test_closing_tags_in_comments_and_cdata(spark, tmp_path):
+    articles = [FIRST, HIDDEN.format("h1"), SECOND, HIDDEN.format("h2")]
+    held = "<articles>" + "<!-- <article>no</article> -->".join(articles) + "</articles>"
+    (tmp_path / "in").mkdir()
+    for name, text in [("odd [1] é.xml.gz", held), ("plain.xml.gz", FILE)]:
+        (tmp_path / "in" / name).write_bytes(gzip.compress(text.encode()))
+    open_end = f"<articles>{FIRST}<article><body><p><!-- never closed</p></body></article>{SECOND}</articles>"
+    (tmp_path / "in" / "open.xml.gz").write_bytes(gzip.compress(open_end.encode()))
+    found = ingest_articles(spark, str(tmp_path / "in"))
+    rows = found.articles.withColumn("name", base_name(F.col("file"))).collect()
+    texts = sorted((r["article-title"][0], r["fulltext"]) for r in rows if "odd" in r["name"])
+    body = "before a </article> b <!-- {} </article> c after last"
+    assert texts == sorted(
+        [("h1", body.format("h1")), ("h2", body.format("h2"))]
+        + [("NoDoi", "Q"), ("On Apis mellifera prey", "P1 in t nested end. P2")]
+    )
+    assert sum("plain" in r["name"] for r in rows) == 2
+    # A comment without an end costs the article that it is in, and no other.
+    assert sorted(r["article-title"][0] for r in rows if "open" in r["name"]) == ["NoDoi", "On Apis mellifera prey"]
+    rejects = [r["file"] for r in found.rejects.collect()]
+    assert len(rejects) >= 1 and all("open.xml" in f for f in rejects)
+
+
+def test_spans_beyond_the_bound_are_given_as_they_came():
+    state = A.Rejoined("article", 30)
+    assert state.add("<article>a<![CDATA[b") == []
+    assert state.add("]]>c") == ["<article>a<![CDATA[b</article>]]>c"]
+    assert state.add("x<!-- y") == []
+    assert state.add("z" * 30) == ["x<!-- y", "z" * 30]
+    assert state.add("plain <!-- gone -->text") == ["plain text"]
+    assert state.add("<!-- open") == [] and state.given_up() == ["<!-- open"]
