@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
 from factloom.llm.common import cut_words, joined
+from factloom.operators.lookup import lookup_join
 from factloom.staging import stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+# Parts that the rows of one text are spread over.
+COPIES = 8
 
 
 def lines(text: Column) -> Column:
@@ -90,65 +93,81 @@ def host(source: Column) -> Column:
     return F.when(source.isNull(), F.lit(0)).otherwise(F.xxhash64(source))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """``(_host, _frequent)``: of each host that has any, the hashes of its frequent lines.
+def text_key(source: Column, text: Column) -> Column:
+    """A key of a text within its host."""
+    return F.unhex(F.md5(F.concat(host(source).cast("string"), F.lit("\n"), text)))
+
+
+def line_hashes(text: Column) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(normalised(line)))
+
+
+def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
+    """``(_key, _frequent)``: of each text that has any, the hashes of the lines that more
+    than ``limit`` different documents of its host have.
 
     Documents are counted by their text: copies of one text are one document, so that
-    copying alone makes no line frequent. A host has at most ``1 / min_share`` times as
-    many frequent lines as its documents have lines on average.
+    copying alone makes no line frequent. The limit is the same for hosts of any size,
+    so a host may have any number of such lines: they meet the lines of the texts in a
+    join, and only those of one text are ever gathered.
     """
-    texts = docs.select(host(F.col("source")).alias("_host"), F.coalesce("text", F.lit("")).alias("_text"))
-    texts = texts.withColumn("_key", F.unhex(F.md5("_text")))
-    found = texts.select(
-        "_host", "_key",
-        F.explode(F.array_distinct(F.transform(F.split("_text", "\n", -1), lambda x: F.xxhash64(normalised(x))))).alias("_line"),
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(
+        host(F.col("source")).alias("_host"),
+        text_key(F.col("source"), text).alias("_key"),
+        F.explode(F.array_distinct(line_hashes(text))).alias("_line"),
     ).filter(F.col("_line") != F.xxhash64(F.lit("")))
-    counts = found.distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
-    hosts = texts.select("_host", "_key").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
-    counts = stage(counts.filter(F.col("_docs") >= min_docs), "line_counts")
-    over = joined(counts, stage(hosts, "hosts"), ["_host"]).filter(
-        F.col("_docs") >= min_share * F.col("_host_docs")
-    )
-    return stage(over.groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("_frequent")), "frequent")
+    found = stage(found.distinct(), "lines")
+    counts = found.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+    over = stage(counts.filter(F.col("_docs") > limit).drop("_docs"), "frequent")
+    held = joined(found, over, ["_host", "_line"])
+    return held.groupBy("_key").agg(F.sort_array(F.collect_list("_line")).alias("_frequent"))
 
 
 def apply_rules(
     docs: DataFrame,
-    min_docs: int = 20,
-    min_share: float = 0.1,
+    limit: int = 20,
     min_words: int = 10,
     min_left: float = 0.3,
 ) -> DataFrame:
     """``docs`` with the counts of the rules, ``base_failed``, ``n_words_left``,
     ``kept`` and ``cleaned`` (the text without its host's frequent lines).
 
-    A line is frequent if at least ``min_docs`` different documents of its host have
-    it, and at least the share ``min_share`` of them. A document is kept if it passes
-    the base rules and at least ``min_words`` words and the share ``min_left`` of its
-    words are left. Null texts count as empty, and fail; documents without a source
-    are one host; repeated rows are judged alike; other columns are passed on (the
-    operator's own names replace equal ones); an empty table gives an empty result.
+    A line is frequent if more than ``limit`` different documents of its host have it.
+    A document is kept if it passes the base rules and at least ``min_words`` words and
+    the share ``min_left`` of its words are left. Null texts count as empty, and fail;
+    documents without a source are one host; repeated rows are judged alike; other
+    columns are passed on, whatever their names (the operator's own names above replace
+    equal ones); an empty table gives an empty result.
     """
-    limits = frequent_lines(docs, min_docs, min_share)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_host", host(F.col("source")))
-    rows = joined(rows.drop("_frequent"), limits, ["_host"], "left")
+    limits = stage(frequent_lines(docs.select("source", "text"), limit), "limits")
+    # The caller's columns travel in one, so that no name of theirs meets one of these.
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"))
+    rows = rows.withColumn("_key", text_key(F.col("_row.source"), text))
+    # The same way at every size; copies of one text are spread by their id.
+    rows = rows.withColumn("_id", F.xxhash64("_row.doc_id"))
+    rows = lookup_join(rows, limits, ["_key"], "left", broadcast=False, spread_by=["_id"], salts=COPIES)
     kept_lines = F.filter(
         F.split(text, "\n", -1), lambda x: ~F.array_contains("_frequent", F.xxhash64(normalised(x)))
     )
-    cleaned = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
-    rows = rows.withColumn("_m", measured(text)).withColumn(
-        "cleaned", F.when(F.col("text").isNotNull(), cleaned)
+    cleaned = F.when(F.col("_frequent").isNull(), text).otherwise(F.array_join(kept_lines, "\n"))
+    rows = rows.select(
+        "_row", measured(text).alias("_m"), F.when(F.col("_row.text").isNotNull(), cleaned).alias("cleaned")
     )
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rows = rows.withColumns({name: F.col("_m")[name] for name in names})
+    n_words = F.col("_m.n_words")
     same = F.length(F.coalesce("cleaned", F.lit(""))) == F.length(text)
-    left = F.when(same, F.col("n_words")).otherwise(word_count(F.coalesce("cleaned", F.lit(""))))
-    depleted = (F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_left * F.col("n_words"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (
-        rows.withColumn("n_words_left", left)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & ~depleted)
-        .drop("_host", "_frequent", "_m")
+    left = F.when(same, n_words).otherwise(word_count(F.coalesce("cleaned", F.lit(""))))
+    rows = rows.withColumn("_left", left).withColumn(
+        "_failed", (n_words < 10) | (100 * F.col("_m.n_repeat_words") > 20 * n_words)
     )
+    depleted = (F.col("_left") < min_words) | (F.col("_left") < min_left * n_words)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    made = {name: F.col("_m")[name] for name in names} | {
+        "cleaned": F.col("cleaned"),
+        "n_words_left": F.col("_left"),
+        "base_failed": F.col("_failed"),
+        "kept": ~F.col("_failed") & ~depleted,
+    }
+    passed = [F.col("_row")[name].alias(name) for name in docs.columns if name not in made]
+    return rows.select(*passed, *[value.alias(name) for name, value in made.items()])

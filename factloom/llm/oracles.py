@@ -69,11 +69,9 @@ normal as (
          lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '0', 'g'),
               '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as norm
   from lines),
-hosts as (select host, count(distinct text) as n from docs group by host),
 frequent as (
-  select l.host, norm from normal l join hosts h on l.host is not distinct from h.host
-  where norm <> '' group by l.host, norm, h.n
-  having count(distinct text) >= 20 and count(distinct text) >= 0.1::double * h.n),
+  select host, norm from normal where norm <> '' group by host, norm
+  having count(distinct text) > 20),
 remaining as (
   select rid, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as n
   from normal l left join frequent f on l.host is not distinct from f.host and l.norm = f.norm

@@ -70,7 +70,7 @@ def after_rules(rows):
     frequent = {}
     for source, held in texts.items():
         n = Counter(key for t in held for key in {line_key(line) for line in t.split("\n")} if key)
-        frequent[source] = {key for key, docs in n.items() if docs >= 20 and docs >= 0.1 * len(held)}
+        frequent[source] = {key for key, docs in n.items() if docs > 20}
     for doc, text, source in rows:
         held = words(text or "")
         windows = [tuple(held[k : k + 5]) for k in range(len(held) - 4)]

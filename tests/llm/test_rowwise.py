@@ -86,6 +86,15 @@ def test_frequent_lines_go_and_depleted_documents(spark):
     assert all(found[k].kept and found[k].cleaned == own[k] for k in range(60))
     assert not found[100].kept
     assert found[101].n_words_left == found[101].n_words
+    # The columns of the table come through, and the limit is one of documents, not a share.
+    assert {(r._key, r._host) for r in found.values()} == {(1, 2)}
+    few = [r for r in rows if r[0] < 20]
+    many = few + [(1000 + k, own[k], "en", "h") for k in range(40)]
+    assert all(r.n_words_left == r.n_words for r in apply_rules(documents(spark, few)).collect())
+    several = documents(spark, many + [(99, f"home | next 55\n{own[50]}", "en", "h")])
+    left = {r.doc_id: r.cleaned for r in apply_rules(several).collect()}
+    assert all(left[k] == own[k] for k in range(20)) and left[99] == own[50]
+    assert all(r.cleaned for r in apply_rules(several, limit=21).filter("kept").collect())
 
 
 def test_secrets_against_plain_patterns(spark):
