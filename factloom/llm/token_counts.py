@@ -63,6 +63,28 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+def refuse_unknown(content: dict) -> None:
+    """Raise for a vocabulary with a setting that would be counted wrongly here."""
+    model, before = content["model"], content.get("pre_tokenizer") or {}
+    faults = [name for name in ("normalizer", "truncation", "padding") if content.get(name)]
+    unused = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+    faults += [name for name in unused if model.get(name)]
+    if model.get("type", "BPE") != "BPE":
+        faults.append("model")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        faults.append("pre_tokenizer")
+    # Without a normalizer, the flag "normalized" changes nothing.
+    flags = ("single_word", "lstrip", "rstrip")
+    faults += [
+        f"{flag} of {token['content']!r}"
+        for token in content.get("added_tokens") or []
+        for flag in flags
+        if token.get(flag)
+    ]
+    if faults:
+        raise ValueError(f"settings that are not handled: {', '.join(faults)}")
+
+
 @dataclass
 class Merges:
     """A vocabulary's merges as arrays: sorted pair keys, their ranks, what each rank makes."""
@@ -78,6 +100,7 @@ class Merges:
         """Read a byte-level BPE vocabulary in the JSON form of the tokenizers library."""
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        refuse_unknown(content)
         model = content["model"]
         ids = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]

@@ -1,5 +1,6 @@
 """Operators that judge documents, against plain Python and the libraries."""
 
+import json
 import re
 
 import pytest
@@ -48,6 +49,26 @@ def test_tokens_equal_the_library(spark):
     assert [found[k] for k in range(len(texts) + 1)] == [*expected, 0]
 
 
+@pytest.mark.parametrize(
+    "part, name, value",
+    [
+        (None, "normalizer", {"type": "NFC"}),
+        (None, "pre_tokenizer", {"type": "Whitespace"}),
+        ("pre_tokenizer", "add_prefix_space", True),
+        ("model", "ignore_merges", True),
+    ],
+)
+def test_vocabularies_with_other_settings_are_refused(tmp_path, part, name, value):
+    content = {
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False},
+        "model": {"type": "BPE", "vocab": {}, "merges": []},
+    }
+    (content[part] if part else content)[name] = value
+    (tmp_path / "other.json").write_text(json.dumps(content))
+    with pytest.raises(ValueError, match="not handled: " + (part if part == "pre_tokenizer" else name)):
+        Merges.load(str(tmp_path / "other.json"))
+
+
 def test_odd_rows(spark, odd):
     rules = apply_rules(odd).select("doc_id", "n_words", "kept").collect()
     assert len(rules) == 6 and not any(r.kept for r in rules)
