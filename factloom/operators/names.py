@@ -54,28 +54,49 @@ def match_names(
     ``names`` come from ``build_names``; ``at`` counts words from 0. Occurrences may
     overlap. A word carries only as many of its followers as the longest name has. Both
     lookups are broadcast if measured to be within the bounds; if not, the words are
-    shuffled by first word, spread over parts, so a very common word is not one task.
+    shuffled, those of very common words or phrases spread over parts. Of the names only
+    phrases found common in a sample of the sentences are copied for that.
     """
     longest = names.agg(F.max("n")).first()[0] or 0
     index = stage(name_index(names), "name-index")
+    small = fits_broadcast(index, max_rows, max_bytes)
+    grams = _grams(sentences, index, longest, small)
+    listed = names.select("phrase", "n", "tag")
+    if fits_broadcast(names, max_rows, max_bytes):
+        return grams.join(F.broadcast(listed), ["phrase", "n"]).select(*KEY, "at", "n", "phrase", "tag")
+    some = _grams(sentences.sample(HOT_SHARE, seed=7), index, longest, small)
+    return lookup_join(
+        grams,
+        listed,
+        ["phrase", "n"],
+        broadcast=False,
+        spread_by=[*KEY, "at"],
+        hot=stage(_most_common(some, ["phrase", "n"]), "hot"),
+    ).select(*KEY, "at", "n", "phrase", "tag")
+
+
+# Which phrases are spread over several tasks is found out from this share of the sentences.
+HOT_SHARE = 0.01
+HOT_KEYS = 1_000
+
+
+def _most_common(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys with the most rows, ``HOT_KEYS`` at most, if there are ten rows or more."""
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 10")
+    return counted.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*key)
+
+
+def _grams(sentences: DataFrame, index: DataFrame, longest: int, broadcast: bool) -> DataFrame:
+    """``(doc_id, sent_no, at, n, phrase)``: words that may be a name, by its first word and length."""
     words = sentences.select(*KEY, tokenize_wordpunct(F.col("sentence")).alias("_words"))
     starts = words.select(*KEY, "_words", F.posexplode("_words").alias("at", "first")).select(
         *KEY, "at", "first", F.slice("_words", F.col("at") + 1, longest).alias("_next")
     )
-    found = lookup_join(
-        starts, index, ["first"], broadcast=fits_broadcast(index, max_rows, max_bytes), spread_by=[*KEY, "at"]
-    )
+    found = lookup_join(starts, index, ["first"], broadcast=broadcast, spread_by=[*KEY, "at"])
     lengths = F.filter("lengths", lambda n: n <= F.size("_next"))
-    grams = found.select(*KEY, "at", "_next", F.explode(lengths).alias("n")).select(
+    return found.select(*KEY, "at", "_next", F.explode(lengths).alias("n")).select(
         *KEY, "at", "n", F.array_join(F.slice("_next", F.lit(1), F.col("n")), " ").alias("phrase")
     )
-    return lookup_join(
-        grams,
-        names.select("phrase", "n", "tag"),
-        ["phrase", "n"],
-        broadcast=fits_broadcast(names, max_rows, max_bytes),
-        spread_by=[*KEY, "at"],
-    ).select(*KEY, "at", "n", "phrase", "tag")
 
 
 def label_names(
