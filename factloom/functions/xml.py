@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -65,6 +66,29 @@ def paragraph_texts(article: ElementTree.Element, section: str, nested_twice: bo
     return ["".join(p.itertext()) for p in paragraphs]
 
 
+# A batch of articles is parsed in pieces of no more rows and, unless one article has more, bytes.
+PIECE_ROWS = 256
+PIECE_BYTES = 1 << 20
+
+
+def batch_pieces(
+    batch: pa.RecordBatch, column: str, max_rows: int = PIECE_ROWS, max_bytes: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in pieces, cut by the size of their ``column``.
+
+    Parsed texts take many times the room of the raw ones, so what is held at a time
+    must not depend on how many rows Spark puts into a batch.
+    """
+    start, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size = size or 0
+        if at > start and (at - start >= max_rows or held + size > max_bytes):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    yield batch.slice(start)
+
+
 def parse_articles(
     raw: DataFrame,
     xml: str = "xml",
@@ -103,7 +127,7 @@ def parse_articles(
         return values, None
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (piece for whole in source for piece in batch_pieces(whole, xml)):
             read_rows = [read(text) for text in batch.column(xml).to_pylist()]
             columns = list(zip(*[values for values, _ in read_rows], strict=True))
             reasons = [reason for _, reason in read_rows]
