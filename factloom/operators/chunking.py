@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.context import following, previous, tags_since
-from factloom.operators.lookup import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, lookup_join
+from factloom.operators.lookup import (
+    MAX_BROADCAST_BYTES,
+    MAX_BROADCAST_ROWS,
+    lookup_join,
+    lookup_tokens,
+    most_frequent,
+)
 from factloom.operators.sentences import SENTENCE_KEY, explode_rows
 from factloom.staging import stage
 
@@ -154,6 +160,7 @@ class ChunkModel:
     ``contexts`` has ``(prevpos, pos, nextpos, l0, l1, …)``: what the features made of
     these three add up to, for each combination of the tags ``seen`` in each place; None
     if there are too many. ``broadcast`` says of each feature if its values may be.
+    ``frequent`` has the rows of the most frequent words if not all words may be.
     """
 
     labels: list[str]
@@ -163,6 +170,7 @@ class ChunkModel:
     broadcast: dict[str, bool]
     contexts: DataFrame | None
     seen: dict[str, list[str]]
+    frequent: DataFrame | None = None
 
 
 def load_chunker(model: DataFrame, max_labels: int = 256) -> ChunkModel:
@@ -206,14 +214,20 @@ def load_chunker(model: DataFrame, max_labels: int = 256) -> ChunkModel:
         for name, fval in table.filter(F.col("fname").isin(list(CONTEXT))).select("fname", "fval").collect():
             seen.setdefault(name, []).append(fval)
         contexts = stage(_contexts(table, seen, unseen), "contexts")
+    broadcast, frequent = _broadcasts(table), None
+    if not broadcast.get("word", True):
+        counted = model.filter("fname = 'word'").groupBy("fval").agg(F.sum("n").alias("n"))
+        rows = table.filter("fname = 'word'").join(most_frequent(counted), "fval")
+        frequent = stage(rows.select("fval", *[f"l{i}" for i in range(len(totals))]), "frequent")
     return ChunkModel(
         labels=list(totals),
         priors=[math.log((n + SMOOTHING) / everything) for n in totals.values()],
         unseen=unseen,
         table=table,
-        broadcast=_broadcasts(table),
+        broadcast=broadcast,
         contexts=contexts,
         seen=seen,
+        frequent=frequent,
     )
 
 
@@ -252,14 +266,15 @@ def _labels(model: DataFrame, max_labels: int) -> list[str]:
     return [row["label"] for row in found]
 
 
-def tag_chunks(features: DataFrame, model: ChunkModel) -> DataFrame:
+def tag_chunks(features: DataFrame, model: ChunkModel, words: DataFrame | None = None) -> DataFrame:
     """Add ``iob``: the most probable label of each token, ties to the last label.
 
     The five features made of a tag and its neighbours are scored beforehand for every
     combination of tags, so three lookup joins do: that combination, the tags since the
     last determiner, and the word. Each brings one column per label; a value the model
     has not seen gets the smoothed zero. What is small enough is broadcast, each by
-    itself: a large table of words is the only one that shuffles the tokens.
+    itself: a large table of words is the only one that shuffles tokens, those of words
+    that are not frequent. ``words`` may give the tokens' keys and words from a shorter plan.
     """
     scored, scores = features, [F.lit(prior) for prior in model.priors]
     names = dict(FEATURES)
@@ -276,18 +291,25 @@ def tag_chunks(features: DataFrame, model: ChunkModel) -> DataFrame:
         scores = [score + F.col(f"_c_{i}") for i, score in enumerate(scores)]
         names = {name: names[name] for name in ("word", "tags-since-dt")}
     for f, (name, column) in enumerate(names.items()):
-        lookup = model.table.filter(F.col("fname") == name).select(
+        values = [
             F.col("fval").alias(f"_v{f}"),
             *[F.col(f"l{i}").alias(f"_f{f}_{i}") for i in range(len(scores))],
-        )
-        scored = lookup_join(
-            scored.withColumn(f"_v{f}", F.col(column)),
-            lookup,
-            [f"_v{f}"],
-            "left",
-            broadcast=model.broadcast.get(name, True),
-            spread_by=TOKEN_KEY,
-        )
+        ]
+        lookup = model.table.filter(F.col("fname") == name).select(*values)
+        scored = scored.withColumn(f"_v{f}", F.col(column))
+        if name == "word" and model.frequent is not None and not model.broadcast["word"]:
+            if words is not None:
+                words = words.withColumnRenamed("word", f"_v{f}")
+            scored = lookup_tokens(scored, lookup, model.frequent.select(*values), f"_v{f}", words)
+        else:
+            scored = lookup_join(
+                scored,
+                lookup,
+                [f"_v{f}"],
+                "left",
+                broadcast=model.broadcast.get(name, True),
+                spread_by=TOKEN_KEY,
+            )
         scores = [
             score + F.coalesce(f"_f{f}_{i}", F.lit(model.unseen[name][i]))
             for i, score in enumerate(scores)
