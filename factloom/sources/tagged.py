@@ -18,6 +18,13 @@ def chosen_labels(iob: Column, chunk_types: Collection[str] | None) -> Column:
     return F.transform(iob, lambda label: F.when(F.substr(label, F.lit(3)).isin(chosen), label).otherwise("O"))
 
 
+def _fields(line: Column) -> Column:
+    """The fields of a line; cut at one character, which takes no pattern to be compiled per line."""
+    other = line.contains("\t") | line.contains("\r")
+    plain = F.when(other, F.translate(line, "\t\r", "  ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def scan_tagged(
     spark: SparkSession,
     path: str,
@@ -35,12 +42,14 @@ def scan_tagged(
     records = spark.read.text(path, lineSep=line_end * 2).select(
         F.xxhash64(F.col("_metadata.file_path")).alias("doc_id"),
         F.monotonically_increasing_id().alias("sent_no"),
-        F.split("value", line_end).alias("_lines"),
+        "value",
     )
-    lines = F.transform("_lines", lambda line: F.array_remove(F.split(line, r"[ \t\r]+"), ""))
+    # Whether there is a word is seen from the text: of the lists, a filter would make a second copy.
+    records = records.filter(F.rlike(F.regexp_replace("value", line_end, ""), F.lit(r"[^ \t\r]")))
+    lines = F.transform(F.split("value", line_end), _fields)
     rows = records.withColumn("_lines", F.filter(lines, lambda fields: F.size(fields) > 0))
     label = F.transform("_lines", lambda f: F.coalesce(F.get(f, F.lit(2)), F.lit("O")))
-    return rows.filter(F.size("_lines") > 0).select(
+    return rows.select(
         "doc_id",
         "sent_no",
         F.transform("_lines", lambda f: F.get(f, F.lit(0))).alias("words"),
