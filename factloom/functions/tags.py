@@ -14,14 +14,19 @@ VERB_ENDINGS = "ing ed er en re ar".split()
 
 def rule_tag(word: Column) -> Column:
     """``DT``, ``IN``, ``SYM`` (no letter), ``VB`` (by ending), else ``NN``."""
-    lowered = F.lower(word)
+    return _lowered_tag(F.lower(word))
+
+
+def _lowered_tag(lowered: Column) -> Column:
+    """The tag of a word in lower case; of most words no pattern has to be searched for."""
     verb = F.lit(False)
     for ending in VERB_ENDINGS:
         verb = verb | lowered.endswith(ending)
+    begins_with_letter = (lowered >= "a") & (lowered < "{")
+    listed = F.when(lowered.isin(DETERMINERS), "DT").otherwise("IN")
     return (
-        F.when(lowered.isin(DETERMINERS), "DT")
-        .when(lowered.isin(PREPOSITIONS), "IN")
-        .when(~word.rlike(r"\p{L}"), "SYM")
+        F.when(lowered.isin(DETERMINERS + PREPOSITIONS), listed)
+        .when(~(begins_with_letter | lowered.rlike(r"\p{L}")), "SYM")
         .when(verb, "VB")
         .otherwise("NN")
     )
@@ -29,7 +34,8 @@ def rule_tag(word: Column) -> Column:
 
 def rule_tags(words: Column) -> Column:
     """The rule's tag of each word of a list."""
-    return F.transform(words, rule_tag)
+    # In a list's lambda a column used twice is evaluated twice, so words are lowered first.
+    return F.transform(F.transform(words, F.lower), _lowered_tag)
 
 
 def context_tags(words: Column) -> Column:
