@@ -359,7 +359,9 @@ def scan_xml_single(spark, sf_dir):
         F.lit("</p></body></article>"),
     )
     pages = table(spark, sf_dir, "pages").select("page_id", article.alias("value"))
-    pages.write.partitionBy("page_id").text(path)
+    # Each task moves its own files into place; by default the driver moves all of them, one by one.
+    in_place = pages.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    in_place.partitionBy("page_id").text(path)
     parsed = parse_articles(A.scan_xml_single(spark, path))
     return A.assemble_records(parsed).select(joined("doi").alias("doi"), "fulltext")
 
