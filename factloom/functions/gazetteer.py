@@ -47,12 +47,16 @@ def phrase_iob(
     listed = F.transform(
         phrases, lambda p, k: F.struct(p["phrase"].alias("phrase"), k.alias("k"), p["tag"].alias("tag"))
     )
+    # A short list is looked through from its first pattern on, so it need not be sorted.
+    ordered = F.when(F.size(phrases) <= _LOOKED_THROUGH, listed).otherwise(F.sort_array(listed))
     return let(
         F.struct(
             words.alias("words"),
             # Taken out once: each look at a field of an array of structs would copy it.
-            F.array_sort(listed).alias("phrases"),
-            F.array_sort(listed)["phrase"].alias("texts"),
+            ordered.alias("phrases"),
+            ordered["phrase"].alias("texts"),
+            # Null if they are many.
+            F.when(F.size(phrases) <= _LOOKED_THROUGH, _beginnings(phrases["phrase"])).alias("begin"),
             # How many words the longest phrase has.
             (
                 F.coalesce(
@@ -92,6 +96,18 @@ def span_iob(words: Column, candidates: Column, join_adjacent: bool = False) ->
 _LOOKED_THROUGH = 24
 
 
+def _beginnings(texts: Column) -> Column:
+    """The first 1, 2, … blank-separated words of each text, up to the whole of it."""
+
+    def of(text: Column) -> Column:
+        words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+        return F.transform(
+            F.sequence(F.lit(1), words), lambda n: F.call_function("substring_index", text, F.lit(" "), n)
+        )
+
+    return F.array_distinct(F.flatten(F.transform(texts, of)))
+
+
 def _candidates(s: Column, longest_first: bool) -> Column:
     """``array<struct<at, until, tag>>``: for each word, the span tried first that hits, or null."""
     phrases, texts = s["phrases"], s["texts"]
@@ -140,7 +156,8 @@ def _candidates(s: Column, longest_first: bool) -> Column:
             )
 
         hits = F.filter(F.transform(lengths, tried), lambda h: h.isNotNull())
-        return F.get(hits, F.lit(0))
+        # Most words begin no phrase, and need not be joined to those after them.
+        return F.when(F.coalesce(F.exists(s["begin"], lambda b: b == word), F.lit(True)), F.get(hits, F.lit(0)))
 
     return F.transform(s["words"], span)
 

@@ -122,5 +122,19 @@ def gazetteer_triples(
     sentences: DataFrame, patterns: G.Patterns, tagger=rule_tags, **options
 ) -> DataFrame:
     """``(doc_id, sent_no, triples)``: all relations between gazetteer names."""
-    labelled = gazetteer_sentences(sentences, patterns, **options)
-    return sentence_triples(labelled.withColumn("tags", tagger(F.col("words"))), pattern=None)
+    # A sentence without a name has no chunk, so it is not cut into words.
+    named = sentences.withColumn("_phrases", G.find_phrases(F.col("sentence"), patterns))
+    cut = tokenize_wordpunct(F.col("sentence"))
+    none = F.array().cast("array<string>")
+    words = F.when(F.size("_phrases") > 0, cut).otherwise(none)
+    # Nor are its words labelled and tagged if fewer of them begin a name than a relation has chunks.
+    begin = let(
+        F.transform("_phrases", lambda p: F.substring_index(p["phrase"], " ", 1)),
+        lambda firsts: F.size(F.filter("words", lambda word: F.exists(firsts, lambda f: f == word))),
+    )
+    iob = G.phrase_iob(F.col("words"), F.col("_phrases"), **options)
+    labelled = named.withColumn("words", words).withColumn(
+        "iob", F.when(begin >= C.CHUNKS_NEEDED, iob).otherwise(none)
+    )
+    tags = F.when(F.size("iob") > 0, tagger(F.col("words"))).otherwise(none)
+    return sentence_triples(labelled.withColumn("tags", tags), pattern=None)

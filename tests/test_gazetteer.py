@@ -96,6 +96,24 @@ def test_triples(spark):
     assert [tuple(t) for t in row["triples"]] == [("ant/NN", "eats/NN", "bee/NN")]
 
 
+def test_sentences_with_too_few_names_are_not_tagged(spark):
+    def failing(words):
+        return F.transform(words, lambda w: F.raise_error(F.lit("tagged")).cast("string"))
+
+    texts = ["nothing here at all", "ant eats bee", "ants and bees and cats", "", None]
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, sent_no int, sentence string")
+    found = gazetteer_triples(df, [("ant|bee|cat", "T")], tagger=failing).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["triples"]) for r in found] == [(k, []) for k in range(5)]
+
+
+def test_phrases_that_begin_alike(spark):
+    words = "of the sea of a sea of".split()
+    listed = [("of the sea of b", "P"), ("of a", "Q"), ("the", "R"), ("sea of", "S")]
+    df = spark.createDataFrame([(words, listed)], "words array<string>, phrases array<struct<phrase string, tag string>>")
+    got = df.select(G.phrase_iob(F.col("words"), F.col("phrases")).alias("iob")).first()["iob"]
+    assert got == ["O", "B-R", "B-S", "I-S", "O", "B-S", "I-S"]
+
+
 def test_very_many_hits_and_phrases_take_no_square(spark):
     drawn = random.Random(4)
     words = [f"w{drawn.randint(0, 9_000)}" for _ in range(20_000)]
