@@ -6,6 +6,7 @@ Lists are returned joined by ``|``, so that each column has a plain type.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,26 +292,24 @@ def threshold_filter(spark, sf_dir):
 
 @query
 def stage_counts(spark, sf_dir):
-    texts = documents(spark, sf_dir)
-    papers = texts.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.size(X.split_sentences(F.col("fulltext")))).alias("sentences"),
-    ).select(F.explode(F.create_map(F.lit("papers"), "n", F.lit("sentences"), "sentences")))
-    sentences = D.sentences(spark, sf_dir)
+    # Texts are cut into sentences once, and the vocabulary is fitted once.
+    sentences = stage(D.sentences(spark, sf_dir), "sentences")
     taxa = D.taxa(spark)
-    terms = dictionary.dictionary_terms(taxa).agg(F.count(F.lit(1)))
-    fitted = vocabulary.fit_vocabulary(marked_terms(sentences)).agg(F.count(F.lit(1)))
-    known = dictionary.dictionary_vocabulary(sentences, taxa).agg(F.count(F.lit(1)))
-    hits = dictionary.match_dictionary(sentences, taxa).agg(F.count(F.lit(1)))
-    counts = papers.toDF("stage", "n")
-    for name, df in (
-        ("entity terms", terms),
-        ("vocabulary", fitted),
-        ("entity matches", known),
-        ("sentences with matches", hits),
-    ):
-        counts = counts.union(df.toDF("n").select(F.lit(name), "n"))
-    return counts
+    fitted = stage(vocabulary.fit_vocabulary(marked_terms(sentences)), "vocabulary")
+    # Written whole, the sentences with matches are found in one pass for both their readers.
+    matched = stage(dictionary.match_dictionary(sentences, taxa), "matched")
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+        for name, df in (
+            ("papers", documents(spark, sf_dir)),
+            ("sentences", sentences),
+            ("entity terms", dictionary.dictionary_terms(taxa)),
+            ("vocabulary", fitted),
+            ("entity matches", dictionary.dictionary_vocabulary(sentences, taxa, vocabulary=fitted)),
+            ("sentences with matches", matched),
+        )
+    ]
+    return reduce(DataFrame.union, counts)
 
 
 # --- ingest -------------------------------------------------------------------

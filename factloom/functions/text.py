@@ -66,13 +66,20 @@ def tokenize_ws(sentence: Column) -> Column:
     Two blanks in a row leave an empty token, blanks at the end leave none, and a
     text of blanks alone has no tokens at all.
     """
-    # Cutting at one character takes no pattern to be compiled for each sentence.
-    other = F.rlike(sentence, F.lit("[\t\n\\x0B\f\r]"))
-    sentence = F.when(other, F.translate(sentence, _BLANKS[1:], " " * 5)).otherwise(sentence)
-    trimmed = F.rtrim(sentence, F.lit(" "))
-    only_blanks = (F.length(sentence) > 0) & (F.length(trimmed) == 0)
-    words = F.split(F.lower(trimmed), " ")
-    return F.when(only_blanks, F.array().cast("array<string>")).otherwise(words)
+
+
+    def cut(blanked: Column) -> Column:
+        # Cutting at one character takes no pattern to be compiled for each sentence.
+        return F.split(F.lower(F.rtrim(blanked)), " ")
+
+    other = F.lit(False)
+    for blank in _BLANKS[1:]:
+        other = other | sentence.contains(blank)
+    # Only a sentence that begins with a blank can be one of blanks alone.
+    blanked = F.translate(sentence, _BLANKS[1:], " " * 5)
+    only_blanks = (F.length(blanked) > 0) & (F.length(F.rtrim(blanked)) == 0)
+    odd = F.when(only_blanks, F.array().cast("array<string>")).otherwise(cut(blanked))
+    return F.when(~(sentence.startswith(" ") | other), cut(sentence)).otherwise(odd)
 
 
 def tokenize_wordpunct(sentence: Column, stopwords: Iterable[str] = ()) -> Column:

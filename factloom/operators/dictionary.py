@@ -52,14 +52,22 @@ def dictionary_terms(dictionary: DataFrame) -> DataFrame:
 
 
 def dictionary_vocabulary(
-    sentences: DataFrame, dictionary: DataFrame, min_df: float = 3, rows: int | None = None
+    sentences: DataFrame,
+    dictionary: DataFrame,
+    min_df: float = 3,
+    rows: int | None = None,
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
     """``(term, df, tf)`` of the vocabulary terms that are dictionary aliases.
 
     The dictionary is applied before the terms are grouped. The frequencies of
-    the terms kept are the same as in the whole vocabulary.
+    the terms kept are the same as in the whole vocabulary. Where that was written
+    already, ``vocabulary`` gives it, and the sentences are not counted again.
     """
     wanted = dictionary_terms(dictionary)
+    if vocabulary is not None:
+        known = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+        return vocabulary.join(known, "term", "left_semi")
     if fits_broadcast(wanted):
         terms = marked_terms(sentences).join(F.broadcast(wanted), "term", "left_semi")
     else:

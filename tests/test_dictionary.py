@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.catalog.queries import QUERIES
 from factloom.functions.text import sentence_features
 from factloom.operators import lookup
 from factloom.operators.dictionary import (
@@ -14,6 +15,8 @@ from factloom.operators.dictionary import (
     matched_entities,
 )
 from factloom.operators.lookup import fits_broadcast, lookup_join
+from factloom.operators.sentences import marked_terms
+from factloom.operators.vocabulary import fit_vocabulary
 from factloom.schema import DICTIONARY
 from factloom.sources.dictionary import scan_dictionary
 
@@ -114,6 +117,15 @@ def test_shared_alias_names_every_taxon(corpus, taxa):
     assert entities == {"x bee", "y bee"}
 
 
+def test_dictionary_vocabulary_of_a_fitted_one(corpus, taxa, monkeypatch):
+    whole = {tuple(r) for r in dictionary_vocabulary(corpus, taxa).collect()}
+    fitted = fit_vocabulary(marked_terms(corpus))
+    assert whole
+    assert {tuple(r) for r in dictionary_vocabulary(corpus, taxa, vocabulary=fitted).collect()} == whole
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in dictionary_vocabulary(corpus, taxa, vocabulary=fitted).collect()} == whole
+
+
 def test_dictionary_vocabulary_both_ways(corpus, taxa, monkeypatch):
     small = {tuple(r) for r in dictionary_vocabulary(corpus, taxa).collect()}
     monkeypatch.setattr("factloom.operators.dictionary.fits_broadcast", lambda df: False)
@@ -164,3 +176,15 @@ def test_hot_key_is_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) > 1
     assert lookup.SALTS > 1
+
+
+def test_stage_counts_cut_texts_once(spark, tmp_path):
+    text = "Der der der hund. " * 3 + "No taxon here! Der der der again."
+    rows = [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (3, None, "en", "a", 1), (4, "", "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    found = QUERIES["stage_counts"](spark, str(tmp_path))
+    assert "fulltext" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["stage"]: r["n"] for r in found.collect()}
+    assert (got["papers"], got["sentences"], got["sentences with matches"]) == (4, 10, 8)

@@ -199,3 +199,14 @@ def test_blanks_of_publishers(spark):
     assert df.select(X.split_sentences(F.col("s"))).first()[0] == ["One ended.", "Two began."]
     df = spark.createDataFrame([("A\x0bb",)], "s string")
     assert df.select(X.tokenize_ws(F.col("s"))).first()[0] == ["a", "b"]
+
+
+def test_tokens_of_sentences_with_odd_blanks(spark):
+    texts = ["a b", " a  b ", "a\tb\x0b", "\t a", "a\n", "   ", "\t\t", "", "ÄB c\u00a0d ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    words = X.tokenize_ws(F.col("s"))
+    assert "rlike" not in str(words).lower()
+    got = [r["w"] for r in df.select(words.alias("w")).collect()]
+    assert got == [
+        ["a", "b"], ["", "a", "", "b"], ["a", "b"], ["", "", "a"], ["a"], [], [], [""], ["äb", "c\u00a0d"], None
+    ]
