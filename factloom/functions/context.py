@@ -31,19 +31,27 @@ def tags_since(tags: Column, mark: str = "DT") -> Column:
 
     def stretch_sets(stretch: Column) -> Column:
         # Different tags in the order of their first occurrence.
-        return let(F.array_distinct(stretch), lambda tags_in: sets_of(stretch, tags_in))
+        return let(
+            F.array_distinct(stretch),
+            lambda tags_in: let(
+                F.transform(tags_in, lambda tag: first_place(stretch, tag)),
+                lambda places: sets_of(stretch, tags_in, places),
+            ),
+        )
+
+    def first_place(stretch: Column, tag: Column) -> Column:
+        # array_position leaves its loop by an exception, which costs more than going on.
+        return F.array_min(F.transform(stretch, lambda other, i: F.when(other == tag, i)))
 
-    def sets_of(stretch: Column, tags_in: Column) -> Column:
-        def repeated(tag: Column, j: Column) -> Column:
-            last = F.size(stretch).cast("long")
-            until = F.coalesce(F.array_position(stretch, F.get(tags_in, j + 1)), last)
+    def sets_of(stretch: Column, tags_in: Column, places: Column) -> Column:
+        def repeated(place: Column, j: Column) -> Column:
+            until = F.coalesce(F.get(places, j + 1), F.size(stretch) - 1)
             return F.array_repeat(
-                F.array_join(F.array_sort(F.slice(tags_in, 1, j + 1)), "+"),
-                (until - F.array_position(stretch, tag)).cast("int"),
+                F.array_join(F.sort_array(F.slice(tags_in, 1, j + 1)), "+"), until - place
             )
 
         return F.when(F.size(stretch) == 0, F.array().cast("array<string>")).otherwise(
-            F.concat(F.array(F.lit("")), F.flatten(F.transform(tags_in, repeated)))
+            F.concat(F.array(F.lit("")), F.flatten(F.transform(places, repeated)))
         )
 
     def in_sentence(all_tags: Column) -> Column:

@@ -310,3 +310,12 @@ def test_long_sentence(spark):
     df = spark.createDataFrame([(1, 0, words, tags, ["B-X", "O"] * (size // 2))], TAGGED)
     assert chunking.chunk_features(df).count() == size
     assert relation_rows(df).count() == size // 2 - 2
+
+
+def test_places_of_tags_are_not_looked_up(spark):
+    tags = ["NN", "VB", "DT", "DT", "IN", "NN", "IN", "VB"]
+    since = context.tags_since(F.col("tags"))
+    assert "array_position" not in str(since)
+    df = spark.createDataFrame([(tags,), ([],), (None,)], "tags array<string>")
+    got = [r["s"] for r in df.select(since.alias("s")).collect()]
+    assert got == [["", "NN", "NN+VB", "", "", "IN", "IN+NN", "IN+NN"], [], None]
