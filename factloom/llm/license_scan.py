@@ -207,30 +207,40 @@ def train(docs: DataFrame, sample: int = SAMPLE, miss: float = 0.001) -> Classif
 
 def classified(found: DataFrame, learned: Classifier) -> DataFrame:
     """The paragraphs of ``found`` that are a licence, with ``family`` and ``probability``."""
-    rows = learned.model.transform(featured(found)).drop("features", "probability", "prediction")
+    rows = learned.model.transform(featured(found))
     raw = F.transform(vector_to_array("rawPrediction"), lambda v: v / learned.temperature)
+    families = F.array(*[F.lit(f) for f in learned.families])
 
     def chances(z: Column) -> Column:
         top = F.array_max(z)
         parts = F.transform(z, lambda v: F.exp(v - top))
         return let(parts, lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)))
 
-    rows = rows.withColumn("_chance", let(raw, chances)).drop("rawPrediction")
-    licence = F.slice("_chance", 2, len(learned.families) - 1)
-    rows = rows.withColumn("probability", F.array_max(licence))
-    place = F.array_position("_chance", F.col("probability")).cast("int") - 1
-    families = F.array(*[F.lit(f) for f in learned.families])
-    rows = rows.filter(F.col("probability") >= learned.threshold).withColumn("family", F.get(families, place))
-
-    confirmed = F.lit(False)
-    for family, notices in NOTICES.items():
-        for notice in notices:
-            own = sorted(bigrams_of(notice))
-            common = F.size(F.array_intersect(F.col("_bigrams"), F.array(*[F.lit(b) for b in own])))
-            enough = (common >= COMMON * F.size("_bigrams")) | (common >= COMMON * len(own))
-            confirmed = confirmed | ((F.col("family") == family) & (common > 0) & enough)
-    rows = rows.withColumn("_bigrams", F.array_distinct(let(words(F.col("_paragraph")), bigrams)))
-    return rows.filter(confirmed).drop("_bigrams", "_chance")
+    def likeliest(chance: Column) -> Column:
+        def told(licence: Column) -> Column:
+            place = F.array_position(chance, licence).cast("int") - 1
+            return F.struct(licence.alias("probability"), F.get(families, place).alias("family"))
+
+        return let(F.array_max(F.slice(chance, 2, len(learned.families) - 1)), told)
+
+    # A list of one prediction or none, not a filter: the optimizer would merge that with the
+    # confirmation, and compare each paragraph with all notices instead of the few predicted.
+    predicted = F.array(let(let(raw, chances), likeliest))
+    rows = rows.select(
+        *found.columns, F.inline(F.filter(predicted, lambda b: b["probability"] >= learned.threshold))
+    )
+
+    def confirmed(held: Column) -> Column:
+        some = F.lit(False)
+        for family, notices in NOTICES.items():
+            for notice in notices:
+                own = sorted(bigrams_of(notice))
+                common = F.size(F.array_intersect(held, F.array(*[F.lit(b) for b in own])))
+                needed = F.greatest(F.lit(1.0), COMMON * F.least(F.size(held), F.lit(len(own))))
+                some = some | ((F.col("family") == family) & (common >= needed))
+        return some
+
+    return rows.filter(let(F.array_distinct(let(words(F.col("_paragraph")), bigrams)), confirmed))
 
 
 def scan_licences(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

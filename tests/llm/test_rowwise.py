@@ -1,6 +1,7 @@
 """Operators that judge documents, against plain Python and the libraries."""
 
 import json
+import math
 import re
 
 import pytest
@@ -9,7 +10,16 @@ from pyspark.sql import functions as F
 from factloom.llm import randomness
 from factloom.llm.language_id import identify_languages, learn
 from factloom.llm.line_frequency import apply_rules
-from factloom.llm.license_scan import scan_licences
+from factloom.llm.license_scan import (
+    COMMON,
+    NOTICES,
+    bigrams_of,
+    classified,
+    featured,
+    paragraphs,
+    scan_licences,
+    train,
+)
 from factloom.llm.token_counts import Counter, Merges, count_tokens
 
 DOCS = "doc_id long, text string, lang string, source string, _key int, _host int"
@@ -169,3 +179,31 @@ def test_licences(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.families for r in scan_licences(docs, sample=100).collect()}
     assert found[0] == "mit" and not any(found[k] for k in range(1, len(texts)))
+
+
+def test_only_predicted_paragraphs_are_compared_with_notices(spark):
+    texts = [f"plain paragraph number {k} of the corpus about nothing" for k in range(40)]
+    texts += ["\n".join(["Some prose.", notice, notice.upper(), "It says: " + notice]) for v in NOTICES.values() for notice in v]
+    texts += ["He renewed his driving license at the office.", "licensed under the license", "MIT", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[50]), (50, texts[50])], "doc_id long, text string")
+    learned = train(docs, sample=100)
+    found = classified(paragraphs(docs), learned)
+
+    expected = []
+    for r in learned.model.transform(featured(paragraphs(docs))).collect():
+        z = [v / learned.temperature for v in r.rawPrediction]
+        parts = [math.exp(v - max(z)) for v in z]
+        top = max(parts[1:])
+        family, probability = learned.families[parts.index(top)], top / sum(parts)
+        held = bigrams_of(r._paragraph)
+        common = [(len(held & own), len(own)) for own in map(bigrams_of, NOTICES.get(family, []))]
+        if probability >= learned.threshold and any(n and (n >= COMMON * len(held) or n >= COMMON * of) for n, of in common):
+            expected.append((str(r.doc_id), r._paragraph, family, round(probability, 9)))
+    got = [(str(r.doc_id), r._paragraph, r.family, round(r.probability, 9)) for r in found.collect()]
+    assert len(got) > 50 and sorted(got) == sorted(expected)
+
+    # Words are taken once to classify and once, above the predictions, to confirm.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 2
+    above, below = plan.split("Generate inline", 1)
+    assert "array_intersect" in above and "array_intersect" not in below
