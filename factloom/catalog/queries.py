@@ -343,6 +343,14 @@ def scan_xml(spark, sf_dir):
     )
 
 
+# Over so many folders the files of single articles are spread.
+FOLDERS = 64
+PLAIN_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
+
 @query
 def scan_xml_single(spark, sf_dir):
     # One file per article, which is how such collections come.
@@ -357,10 +365,15 @@ def scan_xml_single(spark, sf_dir):
         D.escaped(F.col("html")),
         F.lit("</p></body></article>"),
     )
-    pages = table(spark, sf_dir, "pages").select("page_id", article.alias("value"))
+    # The files lie in a few folders, as a folder for each is listed and committed by itself.
+    folder = F.pmod(F.xxhash64("page_id"), F.lit(FOLDERS)).alias("folder")
+    pages = table(spark, sf_dir, "pages").select(folder, article.alias("value"))
     # Each task moves its own files into place; by default the driver moves all of them, one by one.
     in_place = pages.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    in_place.partitionBy("page_id").text(path)
+    # On a local disk a checksum beside each file would take as long again as the file.
+    for option, value in PLAIN_FILES.items():
+        in_place = in_place.option(option, value)
+    in_place.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
     parsed = parse_articles(A.scan_xml_single(spark, path))
     return A.assemble_records(parsed).select(joined("doi").alias("doi"), "fulltext")
 

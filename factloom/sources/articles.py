@@ -173,15 +173,33 @@ def scan_xml(
     return pieces.repartition(spread) if spread else pieces
 
 
+# So many of a scan's tasks become one, unless it then reads more than so many bytes.
+JOINED_TASKS = 64
+TASK_BYTES = 32 * 1024 * 1024
+
+
+def joined_tasks(planned: int, size: int, cores: int) -> int:
+    """How many tasks to read ``size`` bytes of small files with, of those Spark ``planned``."""
+    return max(1, min(planned, max(4 * cores, planned // JOINED_TASKS, size // TASK_BYTES)))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The size of a scan's files, as the planner has it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def scan_xml_single(
     spark: SparkSession, path: str, tag: str = "article", file_names: str = "*"
 ) -> DataFrame:
-    """``(file, xml)``: one row per file that holds one article after a prolog."""
-    files = (
-        spark.read.option("pathGlobFilter", file_names)
-        .text(path, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
+    """``(file, xml)``: one row per file that holds one article after a prolog.
+
+    Spark counts a small file as several megabytes, so that a task would have only a few
+    of them; tasks are put together until they have enough to do.
+    """
+    read = spark.read.option("pathGlobFilter", file_names).text(path, wholetext=True)
+    files = read.select("value", F.col("_metadata.file_path").alias("file"))
+    planned = files.rdd.getNumPartitions()
+    files = files.coalesce(joined_tasks(planned, table_bytes(read), spark.sparkContext.defaultParallelism))
     return files.select("file", F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)", 1).alias("xml"))
 
 
