@@ -32,6 +32,7 @@ from factloom.operators import (
     vocabulary,
 )
 from factloom.operators.sentences import (
+    SENTENCE_KEY,
     explode_column,
     explode_rows,
     marked_terms,
@@ -91,6 +92,20 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(chunking.train_chunker(features), "model")
 
 
+def chunker_of(sentences: DataFrame, tags: list[str] | None) -> chunking.ChunkModel:
+    """The chunk model learned from written sentences with verb-phrase labels."""
+    features = chunking.chunk_features(sentences.withColumn("iob", verb_phrase_iob(F.col("tags"))), tags=tags)
+    return chunking.load_chunker(stage(chunking.train_chunker(features), "model"))
+
+
+def chunk_labels(sentences: DataFrame, model: chunking.ChunkModel, tags: list[str] | None) -> DataFrame:
+    """The labels the model gives to written sentences."""
+    features, known = chunking.chunk_features(sentences, tags=tags), model.frequent_words()
+    rare = None if known is None else chunking.chunk_features(sentences, tags=tags, without=known)
+    found = tagging.gather_labels(chunking.tag_chunks(features, model, rare=rare), model.labels)
+    return found.select(*key(), joined("iob").alias("iob"))
+
+
 # --- text ---------------------------------------------------------------------
 
 
@@ -602,11 +617,10 @@ def rounded(model: DataFrame) -> DataFrame:
 
 @query
 def nb_tag(spark, sf_dir):
-    model = chunking.load_chunker(trained(spark, sf_dir))
-    sentences = tagged(spark, sf_dir).drop("iob")
-    features, words = chunking.chunk_features(sentences, placed=False), tagging.token_rows(sentences, ["words"])
-    found = tagging.gather_tokens(chunking.tag_chunks(features, model, words), ["word", "iob"])
-    return found.select(*key(), joined("iob").alias("iob"))
+    # Texts are cut into words once for learning and for both ways of looking words up.
+    sentences = stage(tagged(spark, sf_dir).select(*SENTENCE_KEY, "words", "tags"), "tagged")
+    tags = chunking.seen_tags(sentences)
+    return chunk_labels(sentences, chunker_of(sentences, tags), tags)
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +77,62 @@ def tags_since(tags: Column, mark: str = "DT") -> Column:
         )
 
     return let(tags, in_sentence)
+
+
+# What is put before and after each tag before tags are replaced by one letter each.
+_OPEN, _CLOSE = "\x01", "\x02"
+_FIRST_LETTER, _LETTERS = ord("!"), 94
+# Letters are looked for from the start of a sentence, which a very long one has done in lists.
+LONGEST_CODE = 1_000
+
+
+def code_letters(known: Sequence[str]) -> dict[str, str]:
+    """A letter for each of the tags ``known``, in their order; none if they are too many."""
+    tags = sorted(known)
+    if len(tags) > _LETTERS or any(tag == "" or min(tag) < " " for tag in tags):
+        return {}
+    return {tag: chr(_FIRST_LETTER + k) for k, tag in enumerate(tags)}
+
+
+def tag_code(tags: Column, known: Sequence[str]) -> Column:
+    """The tags as one string with a letter each, if they are all ``known`` (see :func:`is_code`)."""
+    letters = code_letters(known)
+    if not letters:
+        return F.lit(None).cast("string")
+    code = F.concat(F.lit(_OPEN), F.array_join(tags, _CLOSE + _OPEN), F.lit(_CLOSE))
+    for tag, letter in letters.items():
+        code = F.replace(code, F.lit(f"{_OPEN}{tag}{_CLOSE}"), F.lit(letter))
+    return F.when(F.size(tags) <= LONGEST_CODE, code)
+
+
+def is_code(code: Column, tags: Column) -> Column:
+    """Whether a string of :func:`tag_code` has a letter for each tag.
+
+    A tag that is not known, or null, leaves a string of another length.
+    """
+    return F.coalesce(F.length(code) == F.size(tags), F.lit(False))
+
+
+def tags_ahead(code: Column, at: Column, known: Sequence[str], mark: str = "DT") -> Column:
+    """The letters of the tags before the word at ``at`` (from 0) and after the last ``mark``."""
+    ahead, letter = F.substr(code, F.lit(1), at), code_letters(known).get(mark)
+    return F.substring_index(ahead, letter, -1) if letter else ahead
+
+
+# For so many tags, or fewer, all their sets are listed.
+_LISTED = 8
+
+
+def set_ahead(ahead: Column, known: Sequence[str], mark: str = "DT") -> Column:
+    """The set that :func:`tags_since` has, of the letters of :func:`tags_ahead`."""
+    letters = [(tag, letter) for tag, letter in code_letters(known).items() if tag != mark]
+    if not letters or len(letters) > _LISTED:
+        found = [F.when(F.contains(ahead, F.lit(letter)), F.lit(tag)) for tag, letter in letters]
+        return F.concat_ws("+", *found)
+    sets = [
+        F.lit("+".join(tag for k, (tag, _) in enumerate(letters) if n >> k & 1)) for n in range(1 << len(letters))
+    ]
+    number = F.lit(0)
+    for k, (_, letter) in enumerate(letters):
+        number = number + F.when(F.contains(ahead, F.lit(letter)), 1 << k).otherwise(0)
+    return F.get(F.array(*sets), number)

@@ -10,11 +10,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.context import following, previous, tags_since
+from factloom.functions.context import (
+    END,
+    START,
+    is_code,
+    set_ahead,
+    tag_code,
+    tags_ahead,
+    tags_since,
+)
 from factloom.operators.lookup import (
     MAX_BROADCAST_BYTES,
     MAX_BROADCAST_ROWS,
@@ -42,8 +52,19 @@ TOKEN_KEY = (*SENTENCE_KEY, "tok_no")
 SMOOTHING = 0.5
 
 
+def seen_tags(tagged: DataFrame, column: str = "tags", most: int = 256) -> list[str] | None:
+    """The different tags of sentences, which should be a written table; None if they are more than ``most``."""
+    tags = tagged.select(F.explode(F.array_distinct(column)).alias("tag")).filter("tag is not null")
+    found = [r["tag"] for r in tags.distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
+
+
 def chunk_features(
-    tagged: DataFrame, keep: Sequence[str] = (), placed: bool = True
+    tagged: DataFrame,
+    keep: Sequence[str] = (),
+    placed: bool = True,
+    tags: Sequence[str] | None = None,
+    without: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, sent_no, tok_no, word, pos, …)``: one row of features per token.
 
@@ -53,27 +74,43 @@ def chunk_features(
     and a later aggregate by sentence finds its rows in place.
 
     The columns ``keep`` travel as a struct ``kept`` on the first token only.
+
+    If ``tags`` are given, all tags that occur or most of them, tags since a determiner come
+    from a string with a letter per tag; only sentences with other tags, or very long ones,
+    have lists of them made. Tokens with a ``word`` of the small table ``without`` are left out.
     """
     if not placed:
         tagged = tagged.repartition(*SENTENCE_KEY)
-    lists = {
-        "word": F.col("words"),
-        "pos": F.col("tags"),
-        "prevpos": previous(F.col("tags")),
-        "nextpos": following(F.col("tags")),
-        "tags_since_dt": tags_since(F.col("tags")),
-    }
-    if "iob" in tagged.columns:
-        lists["iob"] = F.col("iob")
-    zipped = F.arrays_zip(*[c.alias(name) for name, c in lists.items()])
-    tokens = explode_rows(tagged, [*SENTENCE_KEY, *keep], zipped, "_t", "tok_no")
-    kept = [F.when(F.col("tok_no") == 0, F.struct(*keep)).alias("kept")] if keep else []
-    return tokens.select(
+    lists = ["words", "tags", *(["iob"] if "iob" in tagged.columns else [])]
+    # Each step is a projection of its own: what is used twice in one would be made twice.
+    listed = tagged.select(*SENTENCE_KEY, *keep, *lists, tag_code(F.col("tags"), tags or ()).alias("_code"))
+    coded = is_code(F.col("_code"), F.col("tags"))
+    listed = listed.withColumns({"_code": F.when(coded, F.col("_code")), "_coded": coded})
+    listed = listed.withColumn("_since", F.when(~F.col("_coded"), tags_since(F.col("tags"))))
+    # Neighbours are looked up from the token, so that no list of them has to be made.
+    whole = F.when(reduce(and_, [F.col(c).isNotNull() for c in lists]), F.col("words"))
+    tokens = explode_rows(listed, ["*"], whole, "word", "tok_no")
+    if without is not None:
+        tokens = tokens.join(F.broadcast(without), "word", "left_anti")
+    at, size = F.col("tok_no"), F.size("tags")
+    before = F.when(at == 0, F.lit(START)).otherwise(F.get("tags", at - 1))
+    after = F.when(at == size - 1, F.lit(END)).otherwise(F.get("tags", at + 1))
+    tokens = tokens.withColumn("_ahead", tags_ahead(F.col("_code"), at, tags or ()))
+    coded = F.when(F.col("_ahead").isNotNull(), set_ahead(F.col("_ahead"), tags or ()))
+    tokens = tokens.select(
         *TOKEN_KEY,
-        *kept,
-        *[F.col(f"_t.{name}") for name in lists],
-        F.concat_ws("+", "_t.prevpos", "_t.pos").alias("prevpos_pos"),
-        F.concat_ws("+", "_t.pos", "_t.nextpos").alias("pos_nextpos"),
+        *([F.when(at == 0, F.struct(*keep)).alias("kept")] if keep else []),
+        "word",
+        F.get("tags", at).alias("pos"),
+        before.alias("prevpos"),
+        after.alias("nextpos"),
+        F.coalesce(coded, F.get("_since", at)).alias("tags_since_dt"),
+        *([F.get("iob", at).alias("iob")] if "iob" in lists else []),
+    )
+    return tokens.select(
+        "*",
+        F.concat_ws("+", "prevpos", "pos").alias("prevpos_pos"),
+        F.concat_ws("+", "pos", "nextpos").alias("pos_nextpos"),
     )
 
 
@@ -172,6 +209,12 @@ class ChunkModel:
     seen: dict[str, list[str]]
     frequent: DataFrame | None = None
 
+    def frequent_words(self) -> DataFrame | None:
+        """``(word)``: the words that are broadcast if not all may be, else None."""
+        if self.frequent is None or self.broadcast["word"]:
+            return None
+        return self.frequent.select(F.col("fval").alias("word"))
+
 
 def load_chunker(model: DataFrame, max_labels: int = 256) -> ChunkModel:
     """Make the counts of a saved model ready; done once however often it is used.
@@ -266,7 +309,9 @@ def _labels(model: DataFrame, max_labels: int) -> list[str]:
     return [row["label"] for row in found]
 
 
-def tag_chunks(features: DataFrame, model: ChunkModel, words: DataFrame | None = None) -> DataFrame:
+def tag_chunks(
+    features: DataFrame, model: ChunkModel, words: DataFrame | None = None, rare: DataFrame | None = None
+) -> DataFrame:
     """Add ``iob``: the most probable label of each token, ties to the last label.
 
     The five features made of a tag and its neighbours are scored beforehand for every
@@ -275,7 +320,20 @@ def tag_chunks(features: DataFrame, model: ChunkModel, words: DataFrame | None =
     has not seen gets the smoothed zero. What is small enough is broadcast, each by
     itself: a large table of words is the only one that shuffles tokens, those of words
     that are not frequent. ``words`` may give the tokens' keys and words from a shorter plan.
+
+    ``rare`` may give the features of the tokens without a frequent word. Then they stay where
+    they were shuffled to, in place of bringing what was found back to their sentence: that
+    is for tokens that nothing has placed.
     """
+    if rare is not None and model.frequent_words() is not None:
+        return _labelled(features, model, "frequent").unionByName(_labelled(rare, model, "rare"))
+    return _labelled(features, model, "all", words)
+
+
+def _labelled(
+    features: DataFrame, model: ChunkModel, which: str, words: DataFrame | None = None
+) -> DataFrame:
+    """Tokens of all words, or of only ``frequent`` or ``rare`` ones, with their ``iob``."""
     scored, scores = features, [F.lit(prior) for prior in model.priors]
     names = dict(FEATURES)
     if model.contexts is not None:
@@ -297,7 +355,12 @@ def tag_chunks(features: DataFrame, model: ChunkModel, words: DataFrame | None =
         ]
         lookup = model.table.filter(F.col("fname") == name).select(*values)
         scored = scored.withColumn(f"_v{f}", F.col(column))
-        if name == "word" and model.frequent is not None and not model.broadcast["word"]:
+        if name == "word" and which == "frequent":
+            scored = scored.join(F.broadcast(model.frequent.select(*values)), f"_v{f}")
+        elif name == "word" and which == "rare":
+            # The few tokens go to the words; words that only the model has are of no use.
+            scored = scored.join(lookup, f"_v{f}", "left")
+        elif name == "word" and model.frequent is not None and not model.broadcast["word"]:
             if words is not None:
                 words = words.withColumnRenamed("word", f"_v{f}")
             scored = lookup_tokens(scored, lookup, model.frequent.select(*values), f"_v{f}", words)
@@ -314,10 +377,27 @@ def tag_chunks(features: DataFrame, model: ChunkModel, words: DataFrame | None =
             score + F.coalesce(f"_f{f}_{i}", F.lit(model.unseen[name][i]))
             for i, score in enumerate(scores)
         ]
+    keep = [c for c in features.columns if c != "iob"]
+    scored = scored.select(*keep, *[score.alias(f"_s{i}") for i, score in enumerate(scores)])
+    return scored.select(*keep, best_label([f"_s{i}" for i in range(len(scores))], model.labels).alias("iob"))
+
+
+# Scores are compared as rounded to so many places.
+PLACES = 9
+
+
+def best_label(scores: Sequence[str], labels: Sequence[str]) -> Column:
+    """The label of the column with the highest score; of equal ones the last label.
+
+    Rounding takes longer than all else, so it is left to scores as close as it could move.
+    """
     ranked = [
-        F.struct(F.round(score, 9).alias("score"), F.lit(label).alias("label"))
-        for score, label in zip(scores, model.labels, strict=True)
+        F.struct(F.round(F.col(score), PLACES).alias("score"), F.lit(label).alias("label"))
+        for score, label in zip(scores, labels, strict=True)
     ]
-    best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-    keep = [c for c in features.columns if c != "iob"]
-    return scored.select(*keep, best["label"].alias("iob"))
+    if len(ranked) == 1:
+        return ranked[0]["label"]
+    near = F.greatest(*[F.col(s) for s in scores]) - F.lit(3 * 10.0**-PLACES)
+    count = reduce(add, [F.when(F.col(s) >= near, 1).otherwise(0) for s in scores])
+    clear = F.coalesce(*[F.when(F.col(s) >= near, F.lit(label)) for s, label in zip(scores, labels, strict=True)])
+    return F.when(count == 1, clear).otherwise(F.greatest(*ranked)["label"])
