@@ -36,6 +36,7 @@ from factloom.operators.sentences import (
     explode_column,
     explode_rows,
     marked_terms,
+    sentences_of,
     word_columns,
 )
 from factloom.plans.counts import StageCounts
@@ -626,14 +627,27 @@ def nb_tag(spark, sf_dir):
 @query
 def nb_tag_unseen(spark, sf_dir):
     """The model is learned from the English documents, so the others have values it lacks."""
-    english = documents(spark, sf_dir).select("doc_id", (F.col("lang") == "en").alias("english"))
-    sentences = tagged(spark, sf_dir).join(english, "doc_id")
-    features = chunking.chunk_features(sentences.filter("english"))
-    model = chunking.load_chunker(stage(chunking.train_chunker(features), "model"))
-    rest = sentences.filter("not english").drop("iob")
-    others, words = chunking.chunk_features(rest, placed=False), tagging.token_rows(rest, ["words"])
-    found = tagging.gather_tokens(chunking.tag_chunks(others, model, words), ["word", "iob"])
-    return found.select(*key(), joined("iob").alias("iob"))
+    flagged = tagging.tag_sentences(sentences_of(english_documents(spark, sf_dir), keep=["doc_id", "english"]))
+    sentences = stage(flagged.select(*SENTENCE_KEY, "words", "tags", "english"), "tagged")
+    tags = chunking.seen_tags(sentences)
+    model = chunker_of(sentences.filter("english").drop("english"), tags)
+    return chunk_labels(sentences.filter("not english").drop("english"), model, tags)
+
+
+def english_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``english``, as if joined by ``doc_id`` to a table of their languages.
+
+    Only documents whose ``doc_id`` comes more than once have to be joined for that.
+    """
+    texts = documents(spark, sf_dir).filter("doc_id is not null")
+    flag = (F.col("lang") == "en").alias("english")
+    counted = texts.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = stage(counted, "repeated")
+    if repeated.isEmpty():
+        return texts.select("*", flag)
+    once = texts.join(repeated, "doc_id", "left_anti").select("*", flag)
+    more = texts.join(repeated, "doc_id", "left_semi")
+    return once.unionByName(more.join(more.select("doc_id", flag), "doc_id"))
 
 
 @query

@@ -73,3 +73,16 @@ def test_rare_words_stay_where_they_are_looked_up(spark, monkeypatch):
     plan = apart._jdf.queryExecution().executedPlan().toString()
     # No token goes back to its sentence, for which two lists would be joined.
     assert "hashpartitioning(doc_id" not in plan and "collect_list" not in plan
+
+
+def test_repeated_documents_meet_all_their_languages(spark, tmp_path):
+    from factloom.catalog.queries import english_documents
+
+    rows = [(1, "A b.", "en", "s"), (2, "C d.", "de", "s"), (2, "E f.", "en", "t"), (3, "G.", None, "s"), (None, "H.", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for n, some in enumerate((docs, docs.filter("text <> 'E f.'"))):
+        some.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = english_documents(spark, f"{tmp_path}/{n}").select("doc_id", "fulltext", "english")
+        left = some.select("doc_id", F.col("text").alias("fulltext"))
+        plain = left.join(some.select("doc_id", (F.col("lang") == "en").alias("english")), "doc_id")
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
