@@ -743,7 +743,8 @@ def gazetteer_names(spark, sf_dir):
 @query
 def gazetteer_names_iob(spark, sf_dir):
     listed = names.build_names(D.names(spark, sf_dir))
-    return names.label_names(D.sentences(spark, sf_dir), listed).select(*key(), joined("iob").alias("iob"))
+    found = names.label_names(D.sentences(spark, sf_dir), listed, with_words=False)
+    return found.select(*key(), joined("iob").alias("iob"))
 
 
 # --- whole --------------------------------------------------------------------

@@ -29,13 +29,12 @@ def build_names(names: DataFrame) -> DataFrame:
     of names with several tags the least one counts.
     """
     words = names.select(tokenize_wordpunct(F.col("name")).alias("_words"), "tag").filter("size(_words) > 0")
-    spelled = words.select(
-        F.array_join("_words", " ").alias("phrase"),
-        F.get("_words", F.lit(0)).alias("first"),
-        F.size("_words").alias("n"),
-        "tag",
-    )
-    return stage(spelled.groupBy("phrase", "first", "n").agg(F.min("tag").alias("tag")), "names")
+    spelled = words.select(F.array_join("_words", " ").alias("phrase"), "tag")
+    # No word has a blank in it, so the rest is told by the phrase and need not be shuffled.
+    once = spelled.groupBy("phrase").agg(F.min("tag").alias("tag"))
+    blanks = F.length("phrase") - F.length(F.replace(F.col("phrase"), F.lit(" "), F.lit("")))
+    first = F.substring_index("phrase", " ", 1)
+    return stage(once.select("phrase", first.alias("first"), (blanks + 1).alias("n"), "tag"), "names")
 
 
 def name_index(names: DataFrame) -> DataFrame:
@@ -104,10 +103,14 @@ def label_names(
     names: DataFrame,
     longest_first: bool = False,
     join_adjacent: bool = False,
+    with_words: bool = True,
     **bounds: int,
 ) -> DataFrame:
     """``sentences`` with ``words`` and the ``iob`` labels of the names in them.
 
+    With ``with_words=False`` only ``(doc_id, sent_no, iob)``: then the texts stay where they
+    are, and only their numbers of words are shuffled.
+
     As with patterns, words are gone through from left to right, the shortest name that
     begins at a word is taken (the longest if ``longest_first``), and its words are
     skipped. Sentences without a name are labelled ``O``. One shuffle brings the hits of
@@ -116,14 +119,24 @@ def label_names(
     hits = match_names(sentences, names, **bounds).select(
         *KEY, "at", F.when(F.lit(longest_first), -F.col("n")).otherwise(F.col("n")).alias("_first"), "n", "tag"
     )
-    # Of the names that begin at a word the first one is taken, before they are gathered.
+    # Of the names that begin at a word the first one is taken, before they are gathered; hits
+    # placed by sentence are shuffled for neither of both.
+    hits = hits.repartition(*KEY)
     taken = hits.groupBy(*KEY, "at").agg(F.min(F.struct("_first", "n", "tag")).alias("_name"))
     span = F.struct("at", (F.col("at") + F.col("_name.n")).alias("until"), F.col("_name.tag").alias("tag"))
     spans = taken.groupBy(*KEY).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
-    met = sentences.withColumn("words", tokenize_wordpunct(F.col("sentence"))).join(spans, KEY, "left")
+    words = tokenize_wordpunct(F.col("sentence"))
+    if with_words:
+        met = sentences.withColumn("words", words).join(spans, KEY, "left")
+    else:
+        # Labels depend on the number of words only, so a list of that length stands in.
+        sized = sentences.select(*KEY, words.alias("words")).select(
+            *KEY, F.when(F.col("words").isNotNull(), F.size("words")).alias("_size")
+        )
+        met = sized.join(spans, KEY, "left").withColumn("words", F.array_repeat(F.lit(""), F.col("_size")))
     words = met.withColumn("_spans", F.coalesce("_spans", F.array().cast(_SPANS)))
     labelled = words.withColumn("iob", span_iob(F.col("words"), _by_word(), join_adjacent))
-    return labelled.drop("_spans")
+    return labelled.drop("_spans") if with_words else labelled.select(*KEY, "iob")
 
 
 _SPAN = "struct<at:int,until:int,tag:string>"
